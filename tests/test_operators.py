@@ -1,0 +1,415 @@
+"""Operators against plain restatements on small hand-made inputs, and the properties that must hold."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqlattice.functions import text as tx
+from seqlattice.operators import evaluate as ev
+from seqlattice.operators import explain as ex
+from seqlattice.operators import folds as fo
+from seqlattice.operators import lattice as la
+from seqlattice.operators import layout as ly
+from seqlattice.operators import ngram as ng
+from seqlattice.operators import pairing as pa
+from seqlattice.operators import selector as se
+from seqlattice.sources import ingest
+
+
+# --- text
+
+
+def test_greek_maps(spark):
+    rows = [("Υπὲρ Χρυσοῦ Ψ͂\u0003",)]
+    df = spark.createDataFrame(rows, "t string")
+    new, old = df.select(tx.convert(F.col("t")), tx.convert(F.col("t"), True)).first()
+    assert new == "YPER CRYSOY U͂ " and old == "UPER YRUSOU CN\u0003"
+    assert len(tx.NEW_MAP[0]) == len(tx.NEW_MAP[1]) == len(set(tx.NEW_MAP[0]))
+    assert len(tx.OLD_MAP[0]) == len(tx.OLD_MAP[1]) == len(set(tx.OLD_MAP[0]))
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("a b//c",), ("___",), ("hf://datasets/x/y z/",), ("",)], "t string")
+    got = [tuple(r) for r in df.select(tx.safe_name(F.col("t")), tx.data_set_slug(F.col("t")), tx.safe_base(F.col("t"))).collect()]
+    assert got == [("a_b_c", "a_b_c", "a_b__c"), ("none", "input", "squeeze"), ("hf_datasets_x_y_z", "x_y_z", "hf:__datasets_x_y_z"), ("none", "input", "squeeze")]
+    names = spark.createDataFrame([("d/IG1_Rotation2_300dpi.png",), ("IG1_Merged_Rotation1_300dpi.txt",), ("_Merged",)], "t string")
+    t = F.col("t")
+    assert [tuple(r) for r in names.select(tx.base_id(t), tx.rotation(t), tx.clip_squeeze(t)).collect()] == [("IG1", "Rotation2", "d/IG1"), ("IG1", "Rotation1", "IG1"), ("", None, "_Merged")]
+
+
+# --- evaluation
+
+
+def plain_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def traced_masked(ref, clear, hyp):
+    """Full table and traceback."""
+    n, m = len(ref), len(hyp)
+    d = np.zeros((n + 1, m + 1), int)
+    d[0] = range(m + 1)
+    for i in range(1, n + 1):
+        d[i, 0] = d[i - 1, 0] + clear[i - 1]
+        for j in range(1, m + 1):
+            d[i, j] = min(d[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), d[i - 1, j] + clear[i - 1], d[i, j - 1] + 1)
+    i, j, hits = n, m, 0
+    while i and j:
+        if d[i, j] == d[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+            hits += (not clear[i - 1]) and ref[i - 1] == hyp[j - 1]
+            i, j = i - 1, j - 1
+        elif d[i, j] == d[i - 1, j] + clear[i - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return int(d[n, m]), hits
+
+
+def test_masked_edits():
+    rng = random.Random(1)
+    for _ in range(2000):
+        ref = "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 7)))
+        hyp = "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 7)))
+        clear = [rng.random() < 0.6 for _ in ref]
+        assert ev.masked_edits(ref, clear, hyp) == traced_masked(ref, clear, hyp)
+        assert ev.masked_edits(ref, [True] * len(ref), hyp) == (plain_levenshtein(ref, hyp), 0)
+
+
+def test_masked_score_needs_one_flag_a_character(spark):
+    df = spark.createDataFrame([("k", "AB", [True, False], "A"), ("n", "", [], None)], "key string, truth string, flags array<boolean>, pred string")
+    assert sorted(map(tuple, ev.masked_score(df).collect())) == [("k", 0, 1), ("n", 0, 0)]
+    with pytest.raises(Exception, match="flags"):
+        ev.masked_score(df.withColumn("flags", F.lit(None).cast("array<boolean>")).withColumn("flags", F.array(F.lit(True)))).collect()
+
+
+def test_break_confidence_by_hand(spark):
+    flags = [[False], [True], [False], [True], [True]]
+    df = spark.createDataFrame([("b", i, 0, "A", f[0]) for i, f in enumerate(flags)], "base string, row_idx int, pos int, ch string, conf boolean")
+    got = [r.conf for r in ev.break_confidence(df, ["base"]).orderBy("row_idx").collect()]
+    want, flip = [], False
+    for i in range(4):
+        if not flip:
+            flip = any(flags[i])
+            want.append(flip and any(flags[i + 1]))
+        else:
+            want.append(any(flags[i + 1]))
+    assert got == want
+
+
+def test_versions_of_object_scores(spark):
+    df = spark.createDataFrame([("AB\nC", "AB\nC"), ("", "A B"), ("ΑΒ", "AB")], "pred string, truth string")
+    assert [(r.errors, r.chars) for r in ev.first_version_score(df).collect()] == [(1, 5), (4, 4), (1, 3)]
+    assert [(r.n_all_err, r.n_all_char) for r in ev.all_letter_score(df).collect()] == [(0, 4), (2, 2), (0, 2)]
+
+
+# --- selector
+
+
+def test_grid_with_and_without_pruning(spark):
+    rng = random.Random(3)
+    rows = [(r % 3, r, c, 10, rng.randint(0, 5), -float(rng.randint(0, 6)), -float(rng.randint(0, 6))) for r in range(40) for c in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(rows, "fold bigint, row_key bigint, candidate_index bigint, chars bigint, edit_distance bigint, visual_sum double, ppm_sum double")
+    a, b = (sorted(map(tuple, se.grid_errors(df, 21, 0.1, prune).select("fold", "i", "errors", "chars").collect())) for prune in (True, False))
+    assert a == b
+    at_zero = {f: e for f, i, e, _ in a if i == 0}
+    for fold in range(3):
+        best = {}
+        for f, r, c, _, e, vis, _ in rows:
+            if f == fold and (r not in best or vis > best[r][0]):
+                best[r] = (vis, e)
+        assert at_zero[fold] == sum(e for _, e in best.values())
+    ladder = {r.step: r.errors for r in se.error_ladder(df, 0.5).collect()}
+    assert ladder["oracle"] <= ladder["tuned"]
+
+
+def test_published_arithmetic():
+    for errors, chars, cer in ((2672, 53687, 0.049770), (93, 4056, 0.022929), (100, 4503, 0.022207), (664, 7919, 0.083849)):
+        assert round(errors / chars, 6) == pytest.approx(cer, abs=1e-6)
+
+
+# --- n-grams
+
+
+def plain_counts(texts, order):
+    counts = {}
+    for t in texts:
+        for i, ch in enumerate(t):
+            for m in range(1, min(order, i + 1) + 1):
+                counts.setdefault((m, t[i - m + 1 : i]), {}).setdefault(ch, 0)
+                counts[m, t[i - m + 1 : i]][ch] += 1
+    return counts
+
+
+def plain_ppm(counts, order, prefix, ch):
+    p = 1.0
+    for m in range(min(order, len(prefix) + 1), 0, -1):
+        seen = counts.get((m, prefix[len(prefix) - m + 1 :] if m > 1 else ""))
+        if not seen:
+            continue
+        tot, dis = sum(seen.values()), len(seen)
+        if ch in seen:
+            return math.log(max(p * seen[ch] / (tot + dis), 1e-12))
+        p *= dis / (tot + dis)
+    return math.log(max(p / 27, 1e-12))
+
+
+def plain_interpolated(counts, order, prefix, ch, share):
+    p = 1 / 27
+    for m in range(1, min(order, len(prefix) + 1) + 1):
+        seen = counts.get((m, prefix[len(prefix) - m + 1 :] if m > 1 else ""), {})
+        p = share * (seen.get(ch, 0) / sum(seen.values()) if seen else 0) + (1 - share) * p
+    return math.log(max(p, 1e-12))
+
+
+def test_scorers(spark):
+    train, test = ["ABABC", "ABCABD", "A", ""], ["ABABD", "ZZ", "CAB", ""]
+    counts = plain_counts(train, 3)
+    model = ng.counts(spark.createDataFrame([(t,) for t in train], "text string"), 3)
+    assert {(r.m, r.ctx): None for r in model.collect()}.keys() == counts.keys()
+    texts = spark.createDataFrame(list(enumerate(test)), "id int, text string")
+    got = {(r.id, r.pos): r for r in ng.step_scores(texts, model, 3, ["id"], share=0.7).collect()}
+    for i, t in enumerate(test):
+        for k, ch in enumerate(t):
+            assert got[i, k].ppm == pytest.approx(plain_ppm(counts, 3, t[:k], ch))
+            assert got[i, k].interpolated == pytest.approx(plain_interpolated(counts, 3, t[:k], ch, 0.7))
+    sums = {r.id: r.ppm for r in ng.text_scores(ng.step_scores(texts, model, 3, ["id"]), texts, ["id"], "text", "text").collect()}
+    assert sums[3] == 0 and sums[0] == pytest.approx(sum(got[0, k].ppm for k in range(5)))
+
+
+def test_ppm_probabilities_of_the_alphabet_add_to_at_most_one():
+    counts = plain_counts(["ABABC", "ABCABD"], 3)
+    for prefix in ("", "A", "AB", "ZZ"):
+        assert sum(math.exp(plain_ppm(counts, 3, prefix, c)) for c in tx.ALPHABET) <= 1 + 1e-9
+
+
+def test_excluded_counts(spark):
+    rows = [(0, "ABAB"), (1, "ABC"), (2, "B"), (2, "AB")]
+    folds = spark.createDataFrame([(0,), (1,), (2,)], "fold bigint")
+    got = ng.excluded(ng.counts(spark.createDataFrame(rows, "fold bigint, text string"), 2, by=["fold"]), folds).collect()
+    for f in range(3):
+        want = {(m, ctx, ch): n for (m, ctx), own in plain_counts([t for k, t in rows if k != f], 2).items() for ch, n in own.items()}
+        assert {(r.m, r.ctx, r.ch): r.n for r in got if r.fold == f} == want
+
+
+# --- lattices
+
+
+def logits_frame(spark, rows):
+    return spark.createDataFrame(rows, "base bigint, row_idx bigint, chunk_idx bigint, label bigint, logits array<double>")
+
+
+def random_logits(spark, lengths, seed=4):
+    rng = np.random.default_rng(seed)
+    return logits_frame(spark, [(b, 0, 2 * c, int(rng.integers(27)), rng.normal(size=27).tolist()) for b, n in enumerate(lengths) for c in range(n)])
+
+
+def test_ties_follow_the_alphabet(spark):
+    df = logits_frame(spark, [(0, 0, 0, 3, [1.0] * 27), (0, 0, 5, 0, [0.0] * 26 + [2.0])])
+    lat = la.lattice(df, 3)
+    assert [(r.pos, r.ch) for r in lat.orderBy("pos", "ch_id").collect()] == [(0, "A"), (0, "B"), (0, "C"), (1, "A"), (1, "B"), (1, ")")]
+    assert la.argmax_read(lat).first().text == "A)"
+    assert [r.text for r in la.visual_beam(lat, 4).orderBy("rank").collect()] == ["A)", "B)", "C)", "AA"]
+    assert la.top_k_accuracy(df).first()[:] == (2, 2, 0.0, 0.5, 1.0)
+
+
+def test_language_beam(spark):
+    df, order, beam = random_logits(spark, [1, 3, 6]), 3, 5
+    lat = la.lattice(df, 4)
+    train = ["ABABCD", "HELLO", "&:)"]
+    counts = plain_counts(train, order)
+    model = ng.counts(spark.createDataFrame([(t,) for t in train], "text string"), order)
+    got = {}
+    for r in la.language_beam(lat, model, order, 0.8, beam).collect():
+        got.setdefault(r.base, []).append((r.rank, r.text, r.score))
+    cells = {}
+    for r in lat.orderBy(F.desc("lp"), "ch_id").collect():
+        cells.setdefault((r.base, r.pos), []).append((r.ch, r.lp))
+    for base, n in enumerate([1, 3, 6]):
+        state = [("", 0.0)]
+        for pos in range(n):
+            grown = [(t + ch, s + lp + 0.8 * plain_ppm(counts, order, t, ch)) for t, s in state for ch, lp in cells[base, pos]]
+            state = sorted(grown, key=lambda x: -x[1])[:beam]
+        assert [t for _, t, _ in sorted(got[base])] == [t for t, _ in state]
+        assert [s for _, _, s in sorted(got[base])] == pytest.approx([s for _, s in state])
+    plain = {(r.base, r.rank): r.text for r in la.visual_beam(lat, beam).collect()}
+    assert {(r.base, r.rank): r.text for r in la.language_beam(lat, model, order, 0.0, beam).collect()} == plain
+
+
+def test_candidate_table_and_decode(spark):
+    df = random_logits(spark, [2, 4])
+    truth = spark.createDataFrame([(0, 0, "AB"), (1, 0, "abCD")], "base bigint, row_idx bigint, truth string")
+    model = ng.counts(spark.createDataFrame([("ABCD",)], "text string"), 2)
+    table = la.candidate_table(df, truth, model, order=2, beam=4, top=3, include_truth=True)
+    rows = table.collect()
+    assert {r.text for r in rows} >= {"AB", "abCD"}
+    for r in rows:
+        assert r.edit_distance == plain_levenshtein(r.text, r.truth) and r.chars == len(r.truth)
+    by_row = {}
+    for r in sorted(rows, key=lambda r: r.text):
+        by_row.setdefault(r.base, []).append(r)
+    assert all([r.candidate_index for r in own] == list(range(len(own))) for own in by_row.values())
+    wanted = df.select("base", "row_idx").distinct().unionByName(spark.createDataFrame([(9, 0)], "base bigint, row_idx bigint"))
+    got = {r.base: r for r in la.decode(table, 0.5, wanted).collect()}
+    assert got[9].pred == "" and got[9].candidates == 0
+    for base, own in by_row.items():
+        assert got[base].pred == max(own, key=lambda r: (r.visual_sum + 0.5 * r.ppm_sum, -r.candidate_index)).text
+
+
+def test_aligned_scores_must_agree(spark):
+    a = random_logits(spark, [2])
+    assert la.average_aligned(a, a, ["base", "chunk_idx"]).count() == 2
+    with pytest.raises(Exception, match="differ"):
+        la.average_aligned(a, a.limit(1), ["base", "chunk_idx"]).collect()
+
+
+# --- layout
+
+
+def test_link_repair_and_walk():
+    left, right = np.array([-1, 0, 1, 1]), np.array([1, 2, -1, 2])
+    ly.repair_links(left, right)
+    assert left.tolist() == [-1, 0, 1, -2] and right.tolist() == [1, 2, -1, -2]
+    assert ly.walk_rows(left, right) == [[0, 1, 2], [3]]
+    left, right = np.array([-1, -1]), np.array([1, -1])
+    ly.repair_links(left, right)
+    assert left.tolist() == [-1, 0]
+    one_sided = [np.array([-1, 0, 0]), np.array([1, -1, -1])]
+    first = [x.copy() for x in one_sided]
+    ly.repair_links(*first, cut=False)
+    cut = [x.copy() for x in one_sided]
+    ly.repair_links(*cut)
+    assert first[0][2] == cut[0][2] == -2
+
+
+def test_rows_of_a_grid(spark):
+    rows = [(1, i, 100.0 + 40 * (i % 5) + i % 3, 100.0 + 60 * (i // 5), 30.0, 40.0) for i in range(15)]
+    boxes = spark.createDataFrame(rows, "file_id bigint, box_id bigint, cx double, cy double, w double, h double")
+    order = ly.reading_order(ly.row_clusters(ly.neighbours(boxes)), boxes)
+    assert [(r.row_idx, r.pos) for r in order.orderBy("box_id").collect()] == [(i // 5, i % 5) for i in range(15)]
+    letters = boxes.select("file_id", "box_id", F.substring(F.lit("ABCDEFGHIKLMNOP"), F.col("box_id").cast("int") + 1, F.lit(1)).alias("ch"), (F.col("box_id") != 7).alias("conf"))
+    assert ly.row_transcripts(order, letters, end="\n").first().text == "ABCDE\nFGHIK\nLMNOP\n"
+    assert ly.row_transcripts(order, letters, only_confident=True).first().text == "ABCDE\nFGIK\nLMNOP"
+    chunks = ly.assemble(order, boxes, letters, F.lit(1000), F.lit(900), most=3).orderBy("row_idx", "chunk_idx").collect()
+    assert [c.text for c in chunks] == ["ABC", "DE", "FGH", "IK", "LMN", "OP"]
+    assert (chunks[0].x0, chunks[0].y0) == (77, 72)
+    assert ly.differing_files(order, order).count() == 0
+
+
+def test_tiling():
+    for n in range(1, 60):
+        for k in range(1, 12):
+            q = -(-n // k)
+            sizes = [n // q + (c < n % q) for c in range(q)]
+            b, r = n // q, n % q
+            got = [i // (b + 1) if i < r * (b + 1) else r + (i - r * (b + 1)) // b for i in range(n)]
+            assert [got.count(c) for c in range(q)] == sizes and max(sizes) - min(sizes) <= 1
+
+
+def test_angles_wrap(spark):
+    for a in (-7.0, -math.pi, 0.0, math.pi, 3.2, 100.0):
+        got = spark.range(1).select(ly.wrap_angle(F.lit(a))).first()[0]
+        assert -math.pi < got <= math.pi + 1e-12 and math.isclose(math.cos(got), math.cos(a), abs_tol=1e-9)
+
+
+# --- pairing and explanations
+
+
+def test_pairs_by_policy(spark):
+    schema = "base bigint, row_idx bigint, chunk_idx bigint, t string"
+    one = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c"), (2, 0, 0, "x")], schema)
+    two = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "d")], schema)
+    assert sorted((r.base, r.row_idx, r.dual) for r in pa.pair_rows(one, two).dropDuplicates(["base", "row_idx"]).collect()) == [(1, 0, True), (1, 1, False), (2, 0, False)]
+    assert sorted((r.t, r.kind) for r in pa.training_pairs(one, two).collect()) == [("a", "pair"), ("b", "pair"), ("c", "rot1"), ("d", "rot2"), ("x", "rot1")]
+    assert pa.training_pairs(one, two, "rot1").count() == 4
+
+
+def test_windows_of_disagreement(spark):
+    rows = [(0, "A" * 20, "A" * 10 + "B" + "A" * 9, ""), (1, "ABCDEF", "ABCDEG", ""), (2, "A" * 9, "A" * 9, ""), (3, "A" * 12, "B" + "A" * 11, ""), (4, "A" * 12, "A" * 11 + "B", "A" * 12)]
+    df = spark.createDataFrame(rows, "k int, visual string, chosen string, truth string")
+    assert [(r.lo, r.hi) for r in ex.disagreement_window(df, ["k"]).orderBy("k").collect()] == [(7, 12), (0, 5), (0, 8), (0, 5), (6, 11)]
+
+
+def test_example_row_prefers_a_right_change(spark):
+    schema = "k int, visual string, chosen string, truth string"
+    rows = [(0, "A", "A", "A"), (1, "A", "B", "C"), (2, "A", "B", "B")]
+    for n, want in ((1, 0), (2, 1), (3, 2)):
+        assert ex.find_example(spark.createDataFrame(rows[:n], schema), ["k"]).first().k == want
+
+
+# --- folds and sources
+
+
+def test_folds(spark):
+    objects = spark.createDataFrame([(i,) for i in range(23)] * 2, "base bigint")
+    folds = fo.assign_folds(objects)
+    sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 23
+    lists = spark.createDataFrame([(1, "train"), (1, "test"), (2, "val"), (2, "train")], "base bigint, split string")
+    got = {r.base: r.split for r in fo.attach_split(objects.distinct(), lists).collect()}
+    assert got[1] == "test" and got[2] == "val" and got[3] is None
+    assert fo.unassigned(objects.distinct(), lists).count() == 21
+
+
+LETTERS = "# angle\r\n0.02\r\n0.03\n# Boxes\n100 100 100 140 130 140 130 100\n1 1 1 2 2 2 2 1\n1 2 3\n140 101 140 141 170 141 170 101\n\n*\n# Transcript\nA B*\nC\n# Lines\n80 120 200 120\n1 1 1 1\nnan 0 1 1\n# Confidence\n10\n"
+
+
+def test_letter_files(spark, tmp_path):
+    (tmp_path / "IG_1_Rotation2_300dpi_letters.txt").write_bytes(LETTERS.encode())
+    (tmp_path / "x.txt").write_text("stray\n# a\n# b\n0 0 0 9 9 9 9 0\n# t\nA\n# l\n# c\n111\n")
+    t = ingest.letter_tables(ingest.read_letter_texts(spark, str(tmp_path)))
+    files = {r.file: r for r in t["files"].collect()}
+    name = "IG_1_Rotation2_300dpi_letters.txt"
+    assert (files[name].base, files[name].rotation, files[name].angle) == ("IG_1", 2, 0.02)
+    assert [(r.box_id, r.xnw) for r in t["boxes"].where(F.col("file") == name).orderBy("box_id").collect()] == [(0, 100.0), (1, 140.0)]
+    assert [r.text for r in t["transcript_lines"].where(F.col("file") == name).orderBy("line_no").collect()] == ["AB", "C"]
+    assert t["segments"].count() == 1
+    assert [(r.box_id, r.conf) for r in t["confidence"].where(F.col("file") == name).orderBy("box_id").collect()] == [(0, True), (1, False)]
+    reasons = sorted(r.reason for r in t["parse_errors"].collect())
+    assert reasons == ["as many digits as boxes are needed", "box with a very small area", "box without eight numbers", "line before the first head", "more than one angle", "segment with NaN", "segment without length"]
+
+
+def test_metadata(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"file_name": "a_Rotation1_300dpi.png", "base_id": "B", "x": 1}\n{"file_name": "b.png", "rotation": "Rotation2", "squeeze_id": "S", "base_id": "B"}\n{"file_name": "c_Rotation3_300dpi.png"}\n')
+    good, bad = ingest.resolve_metadata(ingest.read_metadata(spark, str(tmp_path)))
+    assert sorted((r.base, r.rotation) for r in good.collect()) == [("B", "Rotation1"), ("S", "Rotation2")]
+    assert [r.file_name for r in bad.collect()] == ["c_Rotation3_300dpi.png"]
+
+
+def test_canonical_views(spark):
+    rows = [(1, "Rotation1", "a"), (2, "Rotation2", "b"), (2, "Rotation2", "c"), (3, "Rotation1", "d"), (3, "Rotation1", "e"), (3, "Rotation2", "f")]
+    got = ingest.canonical_views(spark.createDataFrame(rows, "base int, rotation string, file_name string"))
+    assert sorted((r.base, r.slot, r.file_name) for r in got.collect()) == [(1, 1, "a"), (1, 2, "a"), (2, 1, "b"), (2, 2, "c"), (3, 1, "d"), (3, 2, "f")]
+
+
+def test_example_and_score_tables(spark, tmp_path):
+    rows = [("test", "b", None, None, 1, 0, "AB", "A", True, 0), ("test", "b", None, None, 0, 1, "AB", "J", True, 0), ("train", "c", None, None, 0, 0, "A", "A", True, 1), ("test", "b", None, None, 0, 0, "AB", "B", True, 0)]
+    e = spark.createDataFrame(rows, ingest.EXAMPLES)
+    ingest.write_examples(e, str(tmp_path / "e"))
+    back = ingest.read_examples(spark, str(tmp_path / "e"))
+    assert back.count() == 4
+    assert [(r.row_idx, r.label) for r in ingest.filter_examples(back, "test", limit=5).collect()] == [(0, "B"), (1, "A")]
+    with pytest.raises(ValueError, match="no examples"):
+        e.limit(0).write.parquet(str(tmp_path / "none"))
+        ingest.read_examples(spark, str(tmp_path / "none"))
+    lg = random_logits(spark, [2]).withColumns({"tag": F.lit("t"), "split": F.lit("test")})
+    ingest.write_logits(lg, str(tmp_path / "l"))
+    assert all(r.n_bad == 0 for r in ingest.logits_checks(spark.read.parquet(str(tmp_path / "l"))).collect())
+    bad = {r.check: r.n_bad for r in ingest.logits_checks(lg.withColumn("label", F.lit(27))).collect()}
+    assert bad == {"rows": 0, "width": 0, "label": 2, "keys": 0}
+
+
+def test_shards(spark):
+    good = spark.createDataFrame([(0, 2, 3, 3), (1, 2, 4, 4)], "shard_id bigint, n_shards bigint, n_rows bigint, expected_rows bigint")
+    parts = spark.range(7)
+    assert ingest.merge_shards(parts, good).count() == 7
+    for bad in (good.limit(1), good.unionByName(good.limit(1)), good.withColumn("expected_rows", F.lit(9))):
+        with pytest.raises(Exception, match="not complete"):
+            ingest.merge_shards(parts, bad).count()
