@@ -53,13 +53,14 @@ def apportion(votes: DataFrame, *, seats: Column, vote: str, within: list[str],
     """
     group = Window.partitionBy(*within)
     share = F.when(F.col("__all") > 0, F.col(vote) / F.col("__all") * F.col("__seats")).otherwise(F.lit(0.0))
-    base = votes.withColumn("__all", F.sum(vote).over(group).cast("double")).withColumn("__seats", seats.cast("bigint")).withColumn("__base", F.floor(share + 0.5)).withColumn("__left", F.when(F.col("__all") > 0, F.col("__seats") - F.sum("__base").over(group)).otherwise(F.lit(0)))
+    base = votes.withColumn("__all", F.sum(vote).over(group).cast("double")).withColumn("__seats", seats.cast("bigint")).withColumn("__base", F.floor(share + 0.5)).withColumn("__left", F.when(F.col("__all") > 0, F.col("__seats") - F.sum("__base").over(group)).otherwise(F.lit(0))).withColumn("__t", F.row_number().over(group.orderBy(*[F.col(t).asc_nulls_last() for t in tie])))
     # the quotients that may still change hands: as many a row as there are seats left
     step = F.sequence(F.lit(0), F.greatest(F.abs("__left") - 1, F.lit(0))).cast("array<bigint>")
     next_up = F.when(F.col("__left") > 0, F.transform(step, lambda j: F.col("__base") + j))
     last_down = F.when(F.col("__left") < 0, F.filter(F.transform(step, lambda j: F.col("__base") - 1 - j), lambda k: k >= 0))
-    edge = base.select(*within, *tie, vote, "__left", F.explode(F.coalesce(next_up, last_down)).alias("__k")).withColumn("__q", F.col(vote) / (2 * F.col("__k") + 1))
-    by_quotient = Window.partitionBy(*within).orderBy(F.when(F.col("__left") > 0, -F.col("__q")).otherwise(F.col("__q")), *[F.col(t).asc_nulls_last() for t in tie], F.col("__k"))
+    edge = base.select(*within, *tie, vote, "__left", "__t", F.explode(F.coalesce(next_up, last_down)).alias("__k")).withColumn("__q", F.col(vote) / (2 * F.col("__k") + 1))
+    up = F.when(F.col("__left") > 0, 1).otherwise(-1)
+    by_quotient = Window.partitionBy(*within).orderBy(-up * F.col("__q"), up * F.col("__t"), up * F.col("__k"))
     moved = edge.withColumn("__r", F.row_number().over(by_quotient)).where(F.col("__r") <= F.abs("__left")).groupBy(*within, *tie).agg(F.sum(F.signum("__left")).cast("bigint").alias("__moved"))
     names = [*within, *[t for t in tie if t not in within]]
     moved = moved.select(*[F.col(n).alias(f"__{n}") for n in names], "__moved")

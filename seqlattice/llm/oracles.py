@@ -1,3 +1,56 @@
 """DuckDB SQL that gives the rows of the queries whose operators SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) a),
+f AS (SELECT key, min(doc_id) AS first_doc FROM k GROUP BY key),
+g AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT k.doc_id, k.i FROM k JOIN f ON k.key = f.key WHERE f.first_doc < k.doc_id) b CROSS JOIN (SELECT unnest(range(0, 13)) AS o) c),
+p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d WHERE len(w) > 0),
+t AS (SELECT p.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN p.word END, ' ' ORDER BY p.i), '') AS kept FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+LINES = """
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS key FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM w WHERE key IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM r CROSS JOIN (SELECT unnest(range(0, 3)) AS o) c WHERE n > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS text
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+"""
+
+#: Seats by ranking every quotient that can win one.
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+wgt AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS cap FROM src),
+lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wgt),
+tgt AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM lev WHERE cap >= level * weight)) AS target FROM lev),
+sq AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS r FROM (SELECT source, target, unnest(range(0, CAST(ceil(target / 4) AS BIGINT) + 2)) AS k FROM tgt) a),
+ss AS (SELECT source, count(*) AS seats FROM sq WHERE r <= (SELECT round(sum(source_size) / 4.0) FROM src) GROUP BY source),
+shd AS (SELECT source, substring(hash, 1, 2) AS shard, sum(size)::BIGINT AS shard_size FROM d GROUP BY 1, 2),
+cell AS (SELECT h.source, h.shard, h.shard_size, t.source_size, t.target, coalesce(s.seats, 0) AS all_seats FROM shd h JOIN tgt t ON h.source IS NOT DISTINCT FROM t.source LEFT JOIN ss s ON h.source IS NOT DISTINCT FROM s.source),
+cq AS (SELECT source, shard, all_seats, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k + 1)::DOUBLE DESC, shard, k) AS r FROM (SELECT *, unnest(range(0, CAST(ceil(all_seats * shard_size / greatest(source_size, 1)::DOUBLE) AS BIGINT) + 2)) AS k FROM cell) a),
+cs AS (SELECT source, shard, count(*) AS seats FROM cq WHERE r <= all_seats GROUP BY source, shard),
+quo AS (SELECT c.*, least(coalesce(s.seats, 0) * 4, 3 * c.shard_size) AS quota FROM cell c LEFT JOIN cs s ON c.source IS NOT DISTINCT FROM s.source AND c.shard = s.shard),
+pl AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, substring(hash, 1, 2) ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM d)
+SELECT p.doc_id, p.size, q.source_size, q.target, CAST(CASE WHEN q.shard_size > 0 THEN (q.quota // q.shard_size) * p.size + greatest(0, least(q.quota % q.shard_size - p.lo, p.size)) ELSE 0 END AS BIGINT) AS taken
+FROM pl p JOIN quo q ON p.source IS NOT DISTINCT FROM q.source AND substring(p.hash, 1, 2) = q.shard
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op7_mix_sources": MIXING, "op10_line_dedup": LINES}
