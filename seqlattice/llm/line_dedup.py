@@ -15,14 +15,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def window_hashes(lines: Column, width: int) -> Column:
-    """128 bits for each ``width`` consecutive lines, as an array of two-number structs in the order of positions."""
+def window_hashes(text: Column, width: int) -> Column:
+    """128 bits for each ``width`` consecutive lines, as an array of two-number structs in the order of positions.
 
-    def at(i: Column) -> Column:
-        window = F.slice(lines, i + 1, width)
-        return F.struct(F.xxhash64(window).alias("a"), F.xxhash64(F.lit(width), window).alias("b"))
+    Every line is hashed once; a window hashes the numbers of its lines.  The array of lines is bound by a transform over
+    one element, since an expression inside a lambda function is evaluated anew for every element.
+    """
+    hashed = F.transform(_lines(text), lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(width), line).alias("b")))
+
+    def windows(lines: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.struct(*[F.xxhash64(*[F.get(lines, i + j)[x] for j in range(width)]).alias(x) for x in ("a", "b")])
+
+        return F.when(F.size(lines) >= width, F.transform(F.sequence(F.lit(0), F.size(lines) - width), at))
 
-    return F.when(F.size(lines) >= width, F.transform(F.sequence(F.lit(0), F.size(lines) - width), at))
+    return F.element_at(F.transform(F.array(hashed), windows), 1)
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -31,7 +38,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A window's first occurrence has the smallest (id, position); ``gone`` holds, sorted and once each, the positions that
     any later occurrence covers.  ``mark`` is xxhash64 of the text, so rows of one id with different texts stay apart.
     """
-    windows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.posexplode(window_hashes(_lines(F.col(text_col)), width)).alias("pos", "w")).where("doc_id IS NOT NULL").select("doc_id", "mark", "pos", "w.a", "w.b")
+    windows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.posexplode(window_hashes(F.col(text_col), width)).alias("pos", "w")).where("doc_id IS NOT NULL").select("doc_id", "mark", "pos", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     later = windows.join(first, ["a", "b"]).where(F.struct("doc_id", "pos", "mark") > F.col("first"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + (width - 1))))))
@@ -49,16 +56,21 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     on = (F.col(id_col).cast("bigint") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
-    lines = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    text = F.col(text_col)
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+    def without(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    kept = F.element_at(F.transform(F.array(_lines(text)), without), 1)
     return (
         docs.join(gone, on, "left")
         .withColumns(
             {
-                "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+                "n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
                 "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"),
-                text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
+                text_col: F.when(F.col("__gone").isNull(), text).otherwise(kept),
             }
         )
         .drop("__id", "__mark", "__gone")

@@ -44,31 +44,37 @@ RATIO_BINS = 400
 MOST_CHI, MOST_RUNS, MOST_SERIAL = 2.71, 2.94, 2.94
 
 
-def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Matches of a pattern and their starts in code points: what lies between matches tells where they are."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    n = F.size(found)
-    walk = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct((acc["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(F.get(between, i)))).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    return found, F.when(n > 0, walk).otherwise(F.array().cast("array<int>"))
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_MATCHES = "array<struct<start:int,end:int,value:string>>"
 
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a lambda function in it, names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of ``start, end, value`` for the matches of a pattern, in code points: what lies between matches tells where they are."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
+
+    def located(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(x["between"], i))
+            end = start + F.length(F.get(x["m"], i))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(x["v"], i).alias("value")))).alias("out"))
+
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), first, step, lambda acc: acc["out"])
+
+    return F.when(text.rlike(pattern), _let(parts, located)).otherwise(F.array().cast(_MATCHES))
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     """Spans of one kind; with ``least``, of the matches whose second group has as many characters."""
-    found, starts = _matches(text, pattern)
-    all_spans = F.transform(F.arrays_zip(found.alias("m"), starts.alias("s")), lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end")))
+    found = _matches(text, pattern, 2 if least else 0)
     if least:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        all_spans = F.filter(all_spans, lambda x, i: F.length(F.get(values, i)) >= least)
-    return F.when(text.rlike(pattern), all_spans).otherwise(F.array()).cast(_SPANS)
+        found = F.filter(found, lambda x: F.length(x["value"]) >= least)
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))).cast(_SPANS)
 
 
 def base_spans(text: Column) -> Column:
@@ -80,11 +86,6 @@ def _count(t: Column, chars: str) -> Column:
     return F.length(t) - F.length(F.translate(t, chars, ""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _total(values: Column, of: Callable[[Column], Column] = lambda v: v) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + of(v))
 
@@ -153,10 +154,8 @@ def _tested(t: Column) -> Column:
 
 def tested_runs(text: Column) -> Column:
     """Array of ``start, end, ratio, random`` for every run of encoding characters; trailing ``=`` are padding and not tested."""
-    found, starts = _matches(text, RUN)
-    runs = F.transform(F.arrays_zip(found.alias("m"), starts.alias("s")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), _tested(F.regexp_replace(x["m"], "(?<=.)=+$", "")).alias("t")))
     kind = "array<struct<start:int,end:int,t:struct<ratio:double,random:boolean>>>"
-    return F.when(text.rlike(RUN), runs).otherwise(F.array()).cast(kind)
+    return F.transform(_matches(text, RUN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tested(F.regexp_replace(x["value"], "(?<=.)=+$", "")).alias("t"))).cast(kind)
 
 
 def least_ratio(docs: DataFrame, text_col: str = "text", false_discoveries: float = 0.01) -> DataFrame:
