@@ -18,10 +18,10 @@ MISSING = -1e9
 
 
 def log_softmax(scores: Column) -> Column:
-    """Log probabilities of an array of scores."""
+    """Log probabilities of an array of scores; the norm is bound first, so that it is computed once for an array."""
     top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    return F.transform(scores, lambda v: v - (top + F.log(total)))
+    norm = F.element_at(F.transform(F.array(top), lambda t: t + F.log(F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + F.exp(v - t)))), 1)
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(scores, lambda v: v - n)), 1)
 
 
 def average_scores(scores: DataFrame, keys: list[str], column: str = "logits") -> DataFrame:
