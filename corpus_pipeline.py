@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqlattice.llm import bpe, line_dedup, mixing, near_dedup, quality
 from seqlattice.llm.queries import LEAST_TAIL, ratings, table
+from seqlattice.llm.session import new_folder
 
 #: SQL can express neither the fitted classifier nor the sampled signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -64,8 +65,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = new_folder(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
