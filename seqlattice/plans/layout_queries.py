@@ -107,12 +107,13 @@ def g10_row_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.row_transcripts(order, _letters(spark, sf_dir), only_confident=True)
 
 
-@query(v.sql("SELECT base, pos AS box_id, bool_or(conf) AS conf FROM (SELECT base, row_idx * 64 + pos AS pos, conf FROM v_conf UNION ALL SELECT base, row_idx * 64 + pos, NOT conf AND pos % 2 = 0 FROM v_conf WHERE base % 9 <> 4) a WHERE base % 9 <> 4 GROUP BY base, pos", "v_conf"))
+@query(v.sql("SELECT base, line, count(*) AS n, count(*) FILTER (WHERE conf) AS confident FROM (SELECT base, CAST(floor(pos / 64.0) AS BIGINT) AS line, pos, bool_or(conf) AS conf FROM (SELECT base, row_idx * 64 + pos AS pos, conf FROM v_conf UNION ALL SELECT base, row_idx * 64 + pos, NOT conf AND pos % 2 = 0 FROM v_conf WHERE base % 9 <> 4) a WHERE base % 9 <> 4 GROUP BY base, pos) b GROUP BY base, line", "v_conf"))
 def g11_confidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = v.confidence(spark, sf_dir).select("base", (F.col("row_idx") * 64 + F.col("pos")).alias("box_id"), "pos", "conf")
     one = c.select("base", F.lit(1).alias("file_id"), "box_id", "conf")
     two = c.where("base % 9 <> 4").select("base", F.lit(2).alias("file_id"), "box_id", (~F.col("conf") & (F.col("pos") % 2 == 0)).alias("conf"))
-    return ly.confidence_union(one.unionByName(two))
+    union = ly.confidence_union(one.unionByName(two))
+    return union.groupBy("base", F.floor(F.col("box_id") / 64).alias("line")).agg(F.count("*").alias("n"), F.count_if("conf").alias("confident"))
 
 
 @query(v.sql("SELECT count(DISTINCT base) AS files, count(*) AS boxes, count(*) FILTER (WHERE NOT conf) AS obscured FROM v_conf", "v_conf"))
@@ -130,11 +131,11 @@ def g13_grouping_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TILE = "SELECT base, row_idx, i, n, CAST(ceil(n / 8.0) AS BIGINT) AS q FROM (SELECT base, row_idx, length(text) AS n, unnest(range(0, length(text))) AS i FROM v_rows WHERE length(text) > 0) a"
 
 
-@query(v.sql("SELECT base, row_idx, i, CAST(CASE WHEN i < (n % q) * (n // q + 1) THEN i // (n // q + 1) ELSE n % q + (i - (n % q) * (n // q + 1)) // (n // q) END AS BIGINT) AS chunk FROM tiles", "v_rows", tiles=_TILE))
+@query(v.sql("SELECT base, row_idx, chunk, min(i) AS first, max(i) AS last FROM (SELECT base, row_idx, i, CAST(CASE WHEN i < (n % q) * (n // q + 1) THEN i // (n // q + 1) ELSE n % q + (i - (n % q) * (n // q + 1)) // (n // q) END AS BIGINT) AS chunk FROM tiles) a GROUP BY base, row_idx, chunk", "v_rows", tiles=_TILE))
 def g14_balanced_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.rows(spark, sf_dir).where("length(text) > 0").withColumn("n", F.length("text"))
     items = rows.select("base", "row_idx", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return items.select("base", "row_idx", F.col("i").cast("bigint").alias("i"), ly.tile(F.col("i"), F.col("n"), 8).alias("chunk"))
+    return items.groupBy("base", "row_idx", ly.tile(F.col("i"), F.col("n"), 8).alias("chunk")).agg(F.min("i").cast("bigint").alias("first"), F.max("i").cast("bigint").alias("last"))
 
 
 @query(v.sql("SELECT file_id, chunk, x0, y0, x1, y1 FROM (SELECT file_id, chunk, greatest(CAST(trunc(a) AS BIGINT) - 8, 0) AS x0, greatest(CAST(trunc(b) AS BIGINT) - 8, 0) AS y0, least(CAST(trunc(c) AS BIGINT) + 8, 900) AS x1, least(CAST(trunc(d) AS BIGINT) + 8, 700) AS y1 FROM (SELECT file_id, CAST(floor(box_id / 5.0) AS BIGINT) AS chunk, min(xnw) AS a, min(ynw) AS b, max(xse) AS c, max(yse) AS d FROM corners GROUP BY 1, 2) e) f WHERE x1 - x0 >= 8 AND y1 - y0 >= 8", "v_boxes", corners=_CORNERS))

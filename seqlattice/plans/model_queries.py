@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explain as ex
@@ -56,21 +56,33 @@ def l2_fold_excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ng.excluded(by_fold, spark.range(5).withColumnRenamed("id", "fold")).select("fold", F.col("m").cast("bigint").alias("m"), "ctx", "ch", "n")
 
 
-@query(_model_sql("SELECT base, row_idx, pos, round(lp, 6) AS lp FROM inter"))
+def _by_row(scores: DataFrame, lp: Column) -> DataFrame:
+    """Sum, least and number of a row's log probabilities."""
+    return scores.groupBy("base", "row_idx").agg(F.round(F.sum(lp), 5).alias("total"), F.round(F.min(lp), 6).alias("least"), F.count("*").alias("n"))
+
+
+def _by_row_sql(source: str, lp: str = "lp") -> str:
+    return _model_sql(f"SELECT base, row_idx, round(sum({lp}), 5) AS total, round(min({lp}), 6) AS least, count(*) AS n FROM {source} GROUP BY base, row_idx")
+
+
+@query(_by_row_sql("inter"))
 def l3_interpolated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("base", "row_idx", F.col("pos").cast("bigint").alias("pos"), F.round("interpolated", 6).alias("lp"))
+    return _by_row(_scores(spark, sf_dir), F.col("interpolated"))
+
+
+_PROFILE = f"SELECT f.base, f.row_idx, f.pos, f.k, ln(greatest(sum({SHARE} * pow({1 - SHARE}, f.k - f.m) * coalesce(f.n / f.tot::DOUBLE, 0)) + pow({1 - SHARE}, f.k) / 27, 1e-12)) AS lp FROM (SELECT a.base, a.row_idx, a.pos, b.m AS k, a.m, a.n, a.tot FROM found a JOIN found b ON a.base = b.base AND a.row_idx = b.row_idx AND a.pos = b.pos AND a.m <= b.m) f GROUP BY f.base, f.row_idx, f.pos, f.k"
 
 
-@query(_model_sql(f"SELECT f.base, f.row_idx, f.pos, f.k, round(ln(greatest(sum({SHARE} * pow({1 - SHARE}, f.k - f.m) * coalesce(f.n / f.tot::DOUBLE, 0)) + pow({1 - SHARE}, f.k) / 27, 1e-12)), 6) AS lp FROM (SELECT a.base, a.row_idx, a.pos, b.m AS k, a.m, a.n, a.tot FROM found a JOIN found b ON a.base = b.base AND a.row_idx = b.row_idx AND a.pos = b.pos AND a.m <= b.m) f GROUP BY f.base, f.row_idx, f.pos, f.k"))
+@query(_model_sql(f"SELECT base, row_idx, k, round(sum(lp), 5) AS total, count(*) AS n FROM ({_PROFILE}) p GROUP BY base, row_idx, k"))
 def l4_order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ng._looked_up(v.rows(spark, sf_dir), _train(spark, sf_dir), ORDER, "text", ["base", "row_idx"], [])
-    out = h.select("base", "row_idx", F.col("pos").cast("bigint").alias("pos"), F.posexplode(ng.interpolated_profile(F.col("h"), SHARE)).alias("k", "lp"))
-    return out.select("base", "row_idx", "pos", (F.col("k") + 1).cast("bigint").alias("k"), F.round("lp", 6).alias("lp"))
+    profile = ng.step_profiles(v.rows(spark, sf_dir), _train(spark, sf_dir), ORDER, ["base", "row_idx"], share=SHARE)
+    out = profile.select("base", "row_idx", F.posexplode("profile").alias("k", "lp"))
+    return out.groupBy("base", "row_idx", (F.col("k") + 1).cast("bigint").alias("k")).agg(F.round(F.sum("lp"), 5).alias("total"), F.count("*").alias("n"))
 
 
-@query(_model_sql("SELECT base, row_idx, pos, round(lp, 6) AS lp FROM ppm"))
+@query(_by_row_sql("ppm"))
 def l5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("base", "row_idx", F.col("pos").cast("bigint").alias("pos"), F.round("ppm", 6).alias("lp"))
+    return _by_row(_scores(spark, sf_dir), F.col("ppm"))
 
 
 _TEXT = "SELECT r.base, r.row_idx, round(coalesce(i.s, 0) * (length(r.text) + 2), 5) AS interpolated, round(coalesce(p.s, 0) * (length(r.text) + 2), 5) AS ppm FROM v_rows r LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM inter GROUP BY base, row_idx) i ON r.base = i.base AND r.row_idx = i.row_idx LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM ppm GROUP BY base, row_idx) p ON r.base = p.base AND r.row_idx = p.row_idx"
@@ -88,18 +100,18 @@ def l7_model_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ng.model_statistics(v.rows(spark, sf_dir), ORDER)
 
 
-@query(_model_sql(f"SELECT i.base, i.row_idx, i.pos, round({1 - MIX} * i.lp + {MIX} * p.lp, 6) AS lp FROM inter i JOIN ppm p ON i.base = p.base AND i.row_idx = p.row_idx AND i.pos = p.pos"))
+@query(_by_row_sql(f"(SELECT i.base, i.row_idx, {1 - MIX} * i.lp + {MIX} * p.lp AS lp FROM inter i JOIN ppm p ON i.base = p.base AND i.row_idx = p.row_idx AND i.pos = p.pos) x"))
 def l8_mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("base", "row_idx", F.col("pos").cast("bigint").alias("pos"), F.round(ng.mixed(F.col("interpolated"), F.col("ppm"), MIX), 6).alias("lp"))
+    return _by_row(_scores(spark, sf_dir), ng.mixed(F.col("interpolated"), F.col("ppm"), MIX))
 
 
-@query(_model_sql("SELECT base, row_idx, pos, round(total - coalesce(lag(total) OVER (PARTITION BY base, row_idx ORDER BY pos), 0), 5) AS delta FROM (SELECT base, row_idx, pos, avg(lp) OVER w * (pos + 1) AS total FROM ppm WINDOW w AS (PARTITION BY base, row_idx ORDER BY pos ROWS UNBOUNDED PRECEDING)) a"))
+@query(_model_sql("SELECT base, row_idx, round(sum(delta), 5) AS total, round(min(delta), 5) AS least, round(max(delta), 5) AS most FROM (SELECT base, row_idx, pos, total - coalesce(lag(total) OVER (PARTITION BY base, row_idx ORDER BY pos), 0) AS delta FROM (SELECT base, row_idx, pos, avg(lp) OVER w * (pos + 1) AS total FROM ppm WINDOW w AS (PARTITION BY base, row_idx ORDER BY pos ROWS UNBOUNDED PRECEDING)) a) b GROUP BY base, row_idx"))
 def b11_incremental_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     so_far = Window.partitionBy("base", "row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     totals = _scores(spark, sf_dir).withColumn("total", F.avg("ppm").over(so_far) * (F.col("pos") + 1))
-    return ng.increments(totals, ["base", "row_idx"]).select("base", "row_idx", F.col("pos").cast("bigint").alias("pos"), F.round("delta", 5).alias("delta"))
+    return ng.increments(totals, ["base", "row_idx"]).groupBy("base", "row_idx").agg(F.round(F.sum("delta"), 5).alias("total"), F.round(F.min("delta"), 5).alias("least"), F.round(F.max("delta"), 5).alias("most"))
 
 
 # --- class scores

@@ -134,10 +134,13 @@ def b9_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.preds(spark, sf_dir).select("base", "row_idx", ev.edits(F.col("pred"), F.col("truth")).cast("bigint").alias("edits"))
 
 
-#: Lines of the letters that occur in a document; an object text is then some hundred characters of any document.
+#: Rows of an object: a document is several objects of some hundred letters each.
+PART = 4
+
+
 def _object_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base, truth, pred``: for each 16 rows of a document the joined rows and their reading."""
-    rows = v.preds(spark, sf_dir).withColumn("part", F.floor(F.row_number().over(_by_base()) / 16))
+    """``base, truth, pred``: for each PART rows of a document the joined rows and their reading."""
+    rows = v.preds(spark, sf_dir).withColumn("part", F.floor(F.row_number().over(_by_base()) / PART))
     t = ev.joined_rows(rows, "truth", ["base", "part"]).withColumnRenamed("text", "truth")
     p = ev.joined_rows(rows, "pred", ["base", "part"]).withColumnRenamed("text", "pred")
     return t.join(p, ["base", "part"])
@@ -149,7 +152,7 @@ def _by_base():  # noqa: ANN202
     return Window.partitionBy("base").orderBy("row_idx")
 
 
-_PARTS = "SELECT base, CAST(floor(rn / 16.0) AS BIGINT) AS part, string_agg(truth, chr(10) ORDER BY row_idx) AS truth, string_agg(pred, chr(10) ORDER BY row_idx) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY row_idx) AS rn FROM v_preds) a GROUP BY 1, 2"
+_PARTS = f"SELECT base, CAST(floor(rn / {PART}.0) AS BIGINT) AS part, string_agg(truth, chr(10) ORDER BY row_idx) AS truth, string_agg(pred, chr(10) ORDER BY row_idx) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY row_idx) AS rn FROM v_preds) a GROUP BY 1, 2"
 
 
 @query(v.sql("SELECT base, part, levenshtein(pred, truth || chr(10)) AS errors, length(truth) + 1 AS chars FROM parts", "v_preds", parts=_PARTS))
