@@ -143,9 +143,7 @@ def language_beam(lat: DataFrame, ngrams: DataFrame, order: int, weight: float,
     saved every few steps.  Rows that have ended wait aside.
     """
     keys = keys or KEYS
-    tot = ngram.totals(ngrams)
-    whole = saved(ngrams.join(tot, ["m", "ctx"]).select("m", "ctx", "ch", "n"))
-    tot = saved(tot)
+    ngrams = saved(ngrams)
     lat = saved(lat.withColumn("rank_in", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(F.desc("lp"), "ch_id"))))
     lengths = lat.groupBy(*keys).agg((F.max("pos") + 1).alias("len"))
     longest = lengths.agg(F.max("len")).first()[0] or 0
@@ -154,12 +152,9 @@ def language_beam(lat: DataFrame, ngrams: DataFrame, order: int, weight: float,
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "rank", "rank_in")
     for pos in range(longest):
         grown = state.join(lat.where(F.col("pos") == pos).drop("pos"), keys)
-        asked = grown.select(F.substring("text", -(order - 1), order - 1).alias("tail"), "ch").distinct() if order > 1 else grown.select(F.lit("").alias("tail"), "ch").distinct()
-        m = F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.length("tail") + 1))).alias("m")
-        wanted = asked.select("tail", "ch", m).withColumn("ctx", F.when(F.col("m") > 1, F.expr("right(tail, m - 1)")).otherwise(F.lit("")))
-        found = wanted.join(tot, ["m", "ctx"], "left").join(whole, ["m", "ctx", "ch"], "left").groupBy("tail", "ch").agg(F.array_sort(F.collect_list(F.struct("m", "tot", "dis", "n"))).alias("h"))
-        step = found.select("tail", "ch", ngram.ppm(F.col("h")).alias("lm"))
         tail = F.substring("text", -(order - 1), order - 1) if order > 1 else F.lit("")
+        found = ngram.histories(grown.select(tail.alias("tail"), "ch").distinct(), ngrams, order)
+        step = found.select("tail", "ch", ngram.ppm(F.col("h")).alias("lm"))
         scored = grown.withColumn("tail", tail).join(step, ["tail", "ch"]).withColumn("score", F.col("score") + F.col("lp") + weight * F.col("lm"))
         state = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select(*keys, "len", (F.col("r") - 1).cast("bigint").alias("rank"), F.concat("text", "ch").alias("text"), "score")
         if pos % every == every - 1 or pos == longest - 1:
