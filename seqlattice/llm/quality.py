@@ -125,7 +125,8 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     there is no model, and the result is None.
     """
     rated = ratings.select(F.col(id_col).alias("__id"), F.col("grade").cast("int").alias("grade")).where(F.col("__id").isNotNull() & F.col("grade").between(0, n_grades - 1)).orderBy(F.xxhash64("__id"), "__id", "grade").limit(most_labels)
-    rows = docs.join(F.broadcast(rated), F.col(id_col) == F.col("__id")).select("grade", F.col(text_col).alias("text")).mapInArrow(lambda it: _slots(it, bits), "grade int, slots array<int>").toPandas()
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select("grade", "text").mapInArrow(lambda it: _slots(it, bits), "grade int, slots array<int>").toPandas()
     if rows["grade"].nunique() < 2:
         return None
     return fit_rows([np.asarray(s, np.int64) for s in rows["slots"]], rows["grade"].to_numpy(np.int64), n_grades, bits)

@@ -478,3 +478,27 @@ def test_line_dedup_repeated_rows(spark):
     df = documents(spark, ["a\nb\nc", "a\nb\nc", "a\nb\nc\nd", None], ids=[5, 5, None, None])
     assert sorted((r.doc_id or -1, r.n_removed) for r in line_dedup.line_dedup(df).collect()) == [(-1, 0), (-1, 0), (5, 0), (5, 0)]
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+# --- further columns
+
+
+def test_further_columns_may_have_any_name(spark):
+    names = ["grade", "size", "taken", "target", "shard", "hash", "seats", "band", "node", "label", "spans", "mark", "pos", "w", "gone", "base", "runs", "least", "kept", "key_a", "ids", "name", "payload", "error", "id", "v", "rank", "score", "html", "url", "page_id"]
+    plain = documents(spark, ["a\nb\nc d e f", None, "a\nb\nc d e f", "token=abcdef1"])
+    wide = plain.withColumns({n: F.lit("clash") for n in names})
+    rated = spark.createDataFrame([(0, 0), (3, 2)], "doc_id bigint, grade int")
+    for work in (
+        secrets.scan_secrets,
+        lambda d: quality.grade(d, quality.fit(d, rated)),
+        substring_dedup.substring_dedup,
+        mixing.mix_sources,
+        near_dedup.near_duplicates,
+        lambda d: bpe.encode_digest(d, PATH),
+        media.media_columns,
+        lambda d: line_dedup.line_dedup(d).select("doc_id", "n_lines", "n_removed", "text"),
+        lambda d: html_text.extract_text(d.drop("page_id", "html").withColumnsRenamed({"doc_id": "page_id", "text": "html"}) if "grade" in d.columns else d.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("clash"))),
+    ):
+        assert sorted(map(str, work(wide).collect())) == sorted(map(str, work(plain).collect()))
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<double>")
+    assert topk.exact_top_k(vectors.withColumns({n: F.lit("clash") for n in names if n not in ("vec_id",)})).collect() == topk.exact_top_k(vectors).collect()
