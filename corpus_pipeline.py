@@ -40,13 +40,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; of a pass that ends inside a document, the words that it takes."""
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), "size", "taken").where("taken > 0").distinct()
+    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0").distinct()
     # a text is cut behind its last word taken; whole passes keep it unchanged
-    passes = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("taken") / F.col("size"))))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & (mixing.n_words(docs["text"]) == F.col("size"))).withColumn("__pass", passes)
-    words = F.least(F.col("size"), F.col("taken") - (F.col("__pass") - 1) * F.col("size"))
+    passes = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("__taken") / F.col("__size"))))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & (mixing.n_words(docs["text"]) == F.col("__size"))).withColumn("__pass", passes)
+    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__pass") - 1) * F.col("__size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
+    text = F.when(words < F.col("__size"), cut).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
