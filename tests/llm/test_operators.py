@@ -403,6 +403,23 @@ def test_near_duplicates(spark):
     assert got == plain_classes(dict(enumerate(made)))
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE_BAND", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 90)]
+    made = []
+    for j in range(24):
+        c = list(base)
+        for at in rng.integers(0, len(c), 1 + j % 4):
+            c[at] = f"edit{j}x{at}"
+        made.append(" ".join(c))
+    got = {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(documents(spark, made))).items()}
+    assert got == plain_classes(dict(enumerate(made)))
+    assert len(set(got.values())) > 1
+
+
 def test_near_duplicates_of_table(docs, texts):
     short = {i: t for i, t in texts.items() if len(t) < 4000}
     got = {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(docs.where(F.length("text") < 4000))).items()}
