@@ -75,22 +75,24 @@ class OrdinalModel:
 def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, balance: float = 0.5, penalty: float = 2e-4, steps: int = 200, least_documents: int = 4) -> OrdinalModel:
     """Maximum likelihood with an absolute-value penalty by Adam and soft thresholds over all rows; slots seen in fewer than ``least_documents`` rows weigh nothing."""
     size = 1 << bits
-    counts = np.array([len(s) for s in slots], np.int64)
-    flat = np.concatenate(slots).astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(slots)), counts)
-    often = np.bincount(flat, minlength=size) >= least_documents
-    flat, row = flat[often[flat]], row[often[flat]]
+    counts = np.array([len(x) for x in slots], np.int64)
+    flat = np.concatenate([np.asarray(x, np.int32) for x in slots])
+    often = sum((np.bincount(part, minlength=size) for part in np.array_split(flat, 16)), np.zeros(size, np.int64)) >= least_documents
+    # rare slots become the one behind the last, which weighs nothing and keeps every row from being empty
+    flat = np.insert(np.where(often[flat], flat, np.int32(size)), np.cumsum(counts), np.int32(size))
+    counts = counts + 1
+    starts = np.cumsum(counts) - counts
     share = np.bincount(grades, minlength=n_grades)[grades] / len(grades)
     weight = share**-balance / np.sum(share**-balance)  # of each row in the likelihood
     above = np.array([(np.sum(grades >= k) + 0.5) / (len(grades) + 1) for k in range(1, n_grades)])
     theta = np.sort(np.log(1 / above - 1)) if len(above) else np.zeros(0)
     gaps = np.log(np.maximum(np.diff(theta), 1e-2))
-    w = np.zeros(size)
+    w = np.zeros(size + 1, np.float32)
     first = theta[:1].copy()
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, first, gaps)]
     for step in range(1, steps + 1):
         theta = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.bincount(row, weights=w[flat], minlength=len(slots))
+        score = np.add.reduceat(w[flat], starts).astype(np.float64)
         cdf = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))  # P(grade >= k)
         edge = np.hstack([np.ones((len(slots), 1)), cdf, np.zeros((len(slots), 1))])
         here = np.arange(len(slots))
@@ -101,7 +103,9 @@ def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: i
         d_low, d_high = d_low * weight, d_high * weight
         d_score = -(d_low - d_high)
         d_theta = np.array([np.sum(d_low[grades == k]) - np.sum(d_high[grades == k - 1]) for k in range(1, n_grades)])
-        grads = [np.bincount(flat, weights=d_score[row], minlength=size), np.array([d_theta.sum()]), np.cumsum(d_theta[::-1])[::-1][1:] * np.exp(gaps)]
+        slope_w = np.bincount(flat, weights=np.repeat(d_score, counts), minlength=size + 1)
+        slope_w[size] = 0
+        grads = [slope_w, np.array([d_theta.sum()]), np.cumsum(d_theta[::-1])[::-1][1:] * np.exp(gaps)]
         for x, g, (m, v) in zip((w, first, gaps), grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -109,7 +113,7 @@ def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: i
             x -= scale * m / (1 - 0.9**step)
             if x is w:
                 w[:] = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale, 1e3) * penalty, 0)
-    return OrdinalModel(w.astype(np.float32), np.concatenate([first, first + np.cumsum(np.exp(gaps))]), bits)
+    return OrdinalModel(w[:size], np.concatenate([first, first + np.cumsum(np.exp(gaps))]), bits)
 
 
 def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
