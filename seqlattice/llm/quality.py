@@ -72,16 +72,24 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, balance: float = 0.5, penalty: float = 2e-4, steps: int = 200, least_documents: int = 4) -> OrdinalModel:
+def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, **options: float) -> OrdinalModel:
+    """:func:`fit_flat` of an array of slots for each row."""
+    return fit_flat(np.concatenate([np.asarray(x, np.int32) for x in slots]), np.array([len(x) for x in slots], np.int64), grades, n_grades, bits, **options)
+
+
+def fit_flat(flat: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades: int, bits: int, *, balance: float = 0.5, penalty: float = 2e-4, steps: int = 200, least_documents: int = 4) -> OrdinalModel:
     """Maximum likelihood with an absolute-value penalty by Adam and soft thresholds over all rows; slots seen in fewer than ``least_documents`` rows weigh nothing."""
     size = 1 << bits
-    counts = np.array([len(x) for x in slots], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int32) for x in slots])
-    often = sum((np.bincount(part, minlength=size) for part in np.array_split(flat, 16)), np.zeros(size, np.int64)) >= least_documents
+    often = np.zeros(size, np.int64)
+    for start in range(0, len(flat), 500_000):
+        often += np.bincount(flat[start : start + 500_000], minlength=size)
     # rare slots become the one behind the last, which weighs nothing and keeps every row from being empty
-    flat = np.insert(np.where(often[flat], flat, np.int32(size)), np.cumsum(counts), np.int32(size))
+    flat = np.insert(np.where(often[flat] >= least_documents, flat, np.int32(size)), np.cumsum(counts), np.int32(size))
     counts = counts + 1
     starts = np.cumsum(counts) - counts
+    n_rows = len(counts)
+    portions = [(a, min(a + 2000, n_rows)) for a in range(0, n_rows, 2000)]
+    slots_of = [flat[starts[a] : starts[z - 1] + counts[z - 1]] for a, z in portions]
     share = np.bincount(grades, minlength=n_grades)[grades] / len(grades)
     weight = share**-balance / np.sum(share**-balance)  # of each row in the likelihood
     above = np.array([(np.sum(grades >= k) + 0.5) / (len(grades) + 1) for k in range(1, n_grades)])
@@ -92,10 +100,10 @@ def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: i
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, first, gaps)]
     for step in range(1, steps + 1):
         theta = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.add.reduceat(w[flat], starts).astype(np.float64)
+        score = np.concatenate([np.add.reduceat(w[own], starts[a:z] - starts[a]) for (a, z), own in zip(portions, slots_of, strict=True)]).astype(np.float64)
         cdf = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))  # P(grade >= k)
-        edge = np.hstack([np.ones((len(slots), 1)), cdf, np.zeros((len(slots), 1))])
-        here = np.arange(len(slots))
+        edge = np.hstack([np.ones((n_rows, 1)), cdf, np.zeros((n_rows, 1))])
+        here = np.arange(n_rows)
         low, high = edge[here, grades], edge[here, grades + 1]
         p = np.maximum(low - high, 1e-9)
         slope = edge * (1 - edge)
@@ -103,7 +111,9 @@ def fit_rows(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: i
         d_low, d_high = d_low * weight, d_high * weight
         d_score = -(d_low - d_high)
         d_theta = np.array([np.sum(d_low[grades == k]) - np.sum(d_high[grades == k - 1]) for k in range(1, n_grades)])
-        slope_w = np.bincount(flat, weights=np.repeat(d_score, counts), minlength=size + 1)
+        slope_w = np.zeros(size + 1)
+        for (a, z), own in zip(portions, slots_of, strict=True):
+            slope_w += np.bincount(own, weights=np.repeat(d_score[a:z], counts[a:z]), minlength=size + 1)
         slope_w[size] = 0
         grads = [slope_w, np.array([d_theta.sum()]), np.cumsum(d_theta[::-1])[::-1][1:] * np.exp(gaps)]
         for x, g, (m, v) in zip((w, first, gaps), grads, moments, strict=True):
@@ -130,10 +140,11 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     """
     rated = ratings.select(F.col(id_col).alias("__id"), F.col("grade").cast("int").alias("grade")).where(F.col("__id").isNotNull() & F.col("grade").between(0, n_grades - 1)).orderBy(F.xxhash64("__id"), "__id", "grade").limit(most_labels)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select("grade", "text").mapInArrow(lambda it: _slots(it, bits), "grade int, slots array<int>").toPandas()
-    if rows["grade"].nunique() < 2:
+    rows = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select("grade", "text").mapInArrow(lambda it: _slots(it, bits), "grade int, slots array<int>").toArrow()
+    grades, slots = rows["grade"].to_numpy().astype(np.int64), rows["slots"].combine_chunks()
+    if len(np.unique(grades)) < 2:
         return None
-    return fit_rows([np.asarray(s, np.int64) for s in rows["slots"]], rows["grade"].to_numpy(np.int64), n_grades, bits)
+    return fit_flat(slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy()).astype(np.int64), grades, n_grades, bits)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
