@@ -73,29 +73,39 @@ def break_confidence(letters: DataFrame, by: list[str]) -> DataFrame:
     has = letters.groupBy(*by, "row_idx").agg(F.bool_or("conf").alias("has"))
     order = Window.partitionBy(*by).orderBy("row_idx")
     seen = F.max(F.col("has")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return has.withColumn("conf", seen & F.lead("has").over(order)).where(F.col("conf").isNotNull()).select(*by, "row_idx", "conf")
+    return has.withColumns({"conf": seen, "__next": F.lead("has").over(order)}).where(F.col("__next").isNotNull()).select(*by, "row_idx", (F.col("conf") & F.col("__next")).alias("conf"))
+
+
+def object_letters(letters: DataFrame, by: list[str]) -> DataFrame:
+    """``by, truth, flags``: the rows of each object joined by line feeds, and for each character of that text whether it is
+    confident, from ``row_idx, pos, ch, conf``; the line feeds' flags are those of :func:`break_confidence`."""
+    row = F.array_sort(F.collect_list(F.struct("pos", "ch", "conf")))
+    rows = letters.groupBy(*by, "row_idx").agg(row.alias("__l")).select(*by, "row_idx", F.array_join(F.transform("__l", lambda x: x["ch"]), "").alias("__t"), F.transform("__l", lambda x: x["conf"]).alias("__f"))
+    breaks = break_confidence(rows.withColumn("conf", F.exists("__f", lambda f: f)), by).withColumnRenamed("conf", "__b")
+    parts = rows.join(breaks, [*by, "row_idx"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row_idx", "__t", "__f", "__b"))).alias("__r"))
+    flags = F.flatten(F.transform("__r", lambda x: F.when(x["__b"].isNull(), x["__f"]).otherwise(F.concat(x["__f"], F.array(x["__b"])))))
+    return parts.select(*by, F.array_join(F.transform("__r", lambda x: x["__t"]), "\n").alias("truth"), flags.alias("flags"))
 
 
 def masked_edits(reference: str, clear: np.ndarray, hypothesis: str) -> tuple[int, int]:
     """Least cost and, along the preferred alignment, the matched unclear characters.
 
     Leaving out an unclear character is free.  Ties prefer the diagonal, then leaving out, then inserting; that choice does
-    not depend on the way taken later, so the count goes forward with the cost.
+    not depend on the way taken later, so the count goes forward with the cost, a whole row of the table at a time.
     """
-    cost = list(range(len(hypothesis) + 1))
-    hits = [0] * len(cost)
+    other = np.frombuffer(hypothesis.encode("utf-32-le"), "<u4")
+    at = np.arange(len(other) + 1, dtype=np.int32)
+    cost, hits = at.copy(), np.zeros_like(at)
     for ch, is_clear in zip(reference, clear, strict=True):
-        drop = 1 if is_clear else 0
-        diag_cost, diag_hits = cost[0], hits[0]
-        cost[0] += drop
-        for j, other in enumerate(hypothesis, 1):
-            same = ch == other
-            diagonal, leave, insert = diag_cost + (not same), cost[j] + drop, cost[j - 1] + 1
-            best = min(diagonal, leave, insert)
-            came = (diag_hits + (same and not is_clear)) if best == diagonal else hits[j] if best == leave else hits[j - 1]
-            diag_cost, diag_hits = cost[j], hits[j]
-            cost[j], hits[j] = best, came
-    return cost[-1], hits[-1]
+        same = other == ord(ch)
+        diagonal, best = cost[:-1] + ~same, cost + np.int32(bool(is_clear))
+        np.minimum(best[1:], diagonal, out=best[1:])
+        cost = np.minimum.accumulate(best - at) + at
+        came = hits.copy()
+        np.copyto(came[1:], hits[:-1] if is_clear else hits[:-1] + same, where=cost[1:] == diagonal)
+        # an inserted character keeps the count of the last cell before it that was not reached by inserting
+        hits = came[np.maximum.accumulate(np.where(cost == best, at, 0))]
+    return int(cost[-1]), int(hits[-1])
 
 
 def masked_score(scored: DataFrame) -> DataFrame:
@@ -114,6 +124,37 @@ def masked_score(scored: DataFrame) -> DataFrame:
     return scored.select(F.col("key").cast("string").alias("key"), "truth", "flags", "pred").mapInArrow(run, "key string, n_opt_err bigint, n_opt_char bigint")
 
 
+def object_pairs(preds: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:
+    """``by, key, pred, truth, flags, text, n_char``: each object's normalised prediction, its whole text with flags as in
+    :func:`object_letters`, and its confident text as in :func:`confident_rows`.
+
+    ``preds`` has one text ``pred`` for each object, missing ones are empty; ``letters`` are the normalised letters of the
+    truth, ``row_idx, pos, ch, conf``.
+    """
+    truth = object_letters(letters, by).join(confident_rows(letters, by), by, "left").fillna({"text": "", "n_char": 0})
+    pred = F.array_join(normalise(F.coalesce("pred", F.lit(""))), "\n")
+    pairs = truth.join(preds.select(*by, "pred"), by, "left").withColumns({"pred": pred, "key": F.concat_ws(":", *by)})
+    # the distances take long for the size of the texts, so their tasks aren't put together by it
+    return pairs.repartition(int(letters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def confident_score(pairs: DataFrame) -> DataFrame:
+    """``n_err`` of rows ``pred, text``: the prediction against the confident letters."""
+    return pairs.withColumn("n_err", edits(F.col("pred"), F.col("text")).cast("bigint"))
+
+
+def object_scores(preds: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and errors and characters of the three scores of each object of :func:`object_pairs`: ``n_err, n_char``
+    (confident letters only), ``n_all_err, n_all_char`` (all letters) and ``n_opt_err, n_opt_char`` (masked), line breaks counted."""
+    pairs = object_pairs(preds, letters, by)
+    counted = all_letter_score(confident_score(pairs)).select(*by, "key", "n_err", "n_char", "n_all_err", "n_all_char")
+    return counted.join(masked_score(pairs), "key").drop("key")
+
+
+#: The three scores of :func:`object_scores`, for :func:`micro`.
+SCORES = {"cer": ("n_err", "n_char"), "all_cer": ("n_all_err", "n_all_char"), "opt_cer": ("n_opt_err", "n_opt_char")}
+
+
 def micro(scores: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """One row with the ratio of sums for each named pair of error and character columns."""
     return scores.agg(*[error_rate(F.col(e), F.col(n)).alias(name) for name, (e, n) in pairs.items()])

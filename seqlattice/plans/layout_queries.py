@@ -361,9 +361,9 @@ def s3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def e10_score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import evaluate as ev
-    from .selector_queries import _masked_input
+    from .selector_queries import _whole_objects
 
-    m = ev.micro(ev.masked_score(_masked_input(spark, sf_dir)), {"opt_cer": ("n_opt_err", "n_opt_char")})
+    m = ev.micro(ev.object_scores(*_whole_objects(spark, sf_dir)), ev.SCORES)
     c = ly.confidence_coverage(v.confidence(spark, sf_dir).withColumnRenamed("base", "file_id"))
     g = g13_grouping_agreement(spark, sf_dir).agg(F.count("*").alias("files_grouped_differently"))
     return ev.score_card(m, c, g)

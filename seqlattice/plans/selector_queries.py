@@ -175,14 +175,19 @@ def e5_break_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.break_confidence(v.confidence(spark, sf_dir), ["base"])
 
 
-def _masked_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = v.confidence(spark, sf_dir).groupBy("base", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "conf"))), lambda x: x["conf"]).alias("flags"))
-    return v.preds(spark, sf_dir).join(c, ["base", "row_idx"]).withColumn("key", F.concat_ws(":", "base", "row_idx"))
+def _whole_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Predictions and letters of each document as one object."""
+    return ev.joined_rows(v.preds(spark, sf_dir), "pred", ["base"]).withColumnRenamed("text", "pred"), v.confidence(spark, sf_dir), ["base"]
+
+
+@query()
+def e4_confident_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confident_score(ev.object_pairs(*_whole_objects(spark, sf_dir))).select("base", "n_err", "n_char")
 
 
 @query()
 def e6_masked_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.masked_score(_masked_input(spark, sf_dir))
+    return ev.masked_score(ev.object_pairs(*_whole_objects(spark, sf_dir)))
 
 
 _LOOKUP = "SELECT f.name, f.base, coalesce(a.pred, b.pred, '') AS pred FROM (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS name, CAST(o_custkey AS VARCHAR) AS base FROM orders) f LEFT JOIN t a ON f.name = a.base LEFT JOIN t b ON f.base = b.base"
@@ -204,6 +209,12 @@ def e8_micro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.round("all_cer", 6).alias("all_cer"), F.round("first_cer", 6).alias("first_cer"))
 
 
+@query()
+def e8_micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = ev.micro(ev.object_scores(*_whole_objects(spark, sf_dir)), ev.SCORES)
+    return m.select(*[F.round(name, 6).alias(name) for name in ev.SCORES])
+
+
 @query(v.sql("SELECT round(sum(a) / sum(n)::DOUBLE, 6) AS new_cer, round(sum(b) / sum(n)::DOUBLE, 6) AS old_cer, round(least(sum(a), sum(b)) / sum(n)::DOUBLE, 6) AS best_cer FROM (SELECT levenshtein(pred, truth) AS a, levenshtein(translate(pred, 'YCU', 'CUY'), truth) AS b, length(truth) AS n FROM parts) x", "v_preds", parts=_PARTS))
 def e9_best_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _object_pairs(spark, sf_dir)
