@@ -2,13 +2,15 @@
 
 The parser of the standard library sends tags and text; they are gathered into lines (blocks), each with its number of text
 characters and tags.  The text-to-tag ratios along a page are smoothed by a Gaussian and split into two clusters by their
-threshold; the container (article, main, else body) that holds most text of the high cluster is the content region, and its
-lines outside of menus, adverts, forms and the like are the text.  One pass over the pages, no shuffle.
+threshold; the article or main element that holds most text of the high cluster, else the innermost container around all of
+it, is the content region, and all its lines outside of menus, adverts, forms and the like are the text.  One pass over the
+pages, no shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ CLOSES_P = BLOCKS - frozenset("caption dd dt html body legend li option summary
 #: Parts of class, id and role names of menus, notices, adverts, forms and reader comments.
 OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|aside|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|discuss\w*|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|site-?header|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 REGIONS = ("article", "main", "body")
+#: Elements that can hold a whole text; others, sections too, are parts of one.
+CONTAINERS = ("article", "main", "body", "div", "td")
 
 
 class Lines(HTMLParser):
@@ -41,8 +45,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[tuple[str, int], ...] | None]] = []
         self.linked: list[bool] = []  # whether links hold most of the line
+        self.around: list[tuple[int, ...]] = []  # the containers around the line's own block
         self.links = 0
-        self.open: list[tuple[str, bool]] = []  # name, and whether it begins a part without main text
+        self.open: list[tuple[str, bool, int]] = []  # name, whether it begins a part without main text, and a container's number
         self.regions: list[tuple[str, int]] = []
         self.outside = self.tags = self.seen = 0
         self.parts: list[str] = []
@@ -52,13 +57,15 @@ class Lines(HTMLParser):
         if text:
             self.lines.append((text, self.tags, None if self.outside else tuple(self.regions)))
             self.linked.append(2 * self.links > len(text))
+            own = next((number for name, _, number in reversed(self.open) if name in BLOCKS and name not in REGIONS), 0)
+            self.around.append(tuple(number for _, _, number in self.open if number and number != own))
             self.tags = 0
         self.links = 0
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in CLOSES_P and any(name == "p" for name, _ in self.open[-6:]):
+        if tag in CLOSES_P and any(name == "p" for name, *_ in self.open[-6:]):
             self.leave("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.leave(tag)
@@ -71,14 +78,14 @@ class Lines(HTMLParser):
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         out = tag in OUTSIDE or hidden or tag not in ("html", "body", "article", "main") and bool(names) and OUTSIDE_NAMES.search(names) is not None
-        if tag == "header" and any(name == "article" for name, _ in self.open):
+        if tag == "header" and any(name == "article" for name, *_ in self.open):
             out = bool(OUTSIDE_NAMES.search(names))
         if tag == "article" and (names and re.search(r"comment|repl", names, re.I)):
             out = True
-        self.open.append((tag, out))
+        self.seen += 1
+        self.open.append((tag, out, self.seen if tag in CONTAINERS else 0))
         self.outside += out
         if tag in REGIONS:
-            self.seen += 1
             self.regions.append((tag, self.seen))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -90,7 +97,7 @@ class Lines(HTMLParser):
         """Close the innermost open ``tag`` and whatever is still open inside it."""
         self.end_line()
         while self.open:
-            name, out = self.open.pop()
+            name, out, _ = self.open.pop()
             self.outside -= out
             if name in REGIONS:
                 self.regions.pop()
@@ -103,13 +110,13 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in OUTSIDE:
             if at is not None:
                 self.leave(tag)
-        elif at is not None and not any(name in BLOCKS for name, _ in self.open[at:]):
-            _, out = self.open.pop(at)
+        elif at is not None and not any(name in BLOCKS for name, *_ in self.open[at:]):
+            _, out, _ = self.open.pop(at)
             self.outside -= out
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-        if any(name == "a" for name, _ in self.open[-3:]):
+        if any(name == "a" for name, *_ in self.open[-3:]):
             self.links += len(data)
 
 
@@ -149,8 +156,13 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    smoothed = smooth(np.array([len(t) / (1 + n) for t, n, _ in lines]), sigma)
-    high = smoothed >= threshold(smoothed) * (1 - 1e-9)
+    # lines outside of all regions say nothing of the text's ratios
+    shown = np.array([path is not None for _, _, path in lines])
+    if not shown.any():
+        return ""
+    high = np.zeros(len(lines), bool)
+    smoothed = smooth(np.array([len(t) / (1 + n) for t, n, path in lines if path is not None]), sigma)
+    high[shown] = smoothed >= threshold(smoothed) * (1 - 1e-9)
     mass: Counter = Counter()
     depth: dict[tuple[str, int], int] = {}
     for (text, _, path), good in zip(lines, high, strict=True):
@@ -165,7 +177,17 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         if best[0] == "article":
             chosen = [r for r in inner if r[0] == "article" and depth[r] == depth[best] and mass[r] > 0] or [best]
         return "\n".join(t for t, _, path in lines if path is not None and any(r in path for r in chosen))
-    return "\n".join(t for (t, _, path), good, linked in zip(lines, high, parser.linked, strict=True) if good and path is not None and not linked)
+    return container_text(parser, high)
+
+
+def container_text(parser: Lines, high: np.ndarray) -> str:
+    """All lines of the innermost container around the high ones that aren't links; links in front of and behind those go."""
+    at = [i for i, (_, _, path) in enumerate(parser.lines) if path is not None and high[i] and not parser.linked[i]]
+    if not at:
+        return ""
+    best = tuple(os.path.commonprefix([parser.around[i] for i in at]))
+    kept = (t for i, (t, _, path) in enumerate(parser.lines) if path is not None and parser.around[i][: len(best)] == best and (at[0] <= i <= at[-1] or not parser.linked[i]))
+    return "\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.RecordBatch]:
@@ -179,8 +201,9 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
     Character references are decoded, white space inside a line becomes one space, lines follow each other in page order
     with one line feed between them.  Pages with an ``article`` or ``main`` element give the whole of the one that holds most
-    high-ratio text; others give their high-ratio lines that aren't mostly links.  Menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and reader comments are left out by element and by class, id and role names.
+    high-ratio text; others give the whole of the innermost container around their high-ratio lines, but for lines of links in
+    front of and behind those.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+    are left out by element and by class, id and role names.
 
     A null, empty or text-free page gives an empty text; a page cut off anywhere is read as far as it goes; nulls in other
     columns, repeated rows and further columns are of no effect.

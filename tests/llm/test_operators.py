@@ -258,6 +258,18 @@ def test_html_pages(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+def test_html_without_article_keeps_low_lines():
+    long = "A sentence of the article that goes on for quite some time. " * 6
+    lines = ["Title", long.strip(), "Short one.", "first point", "second point", long.strip() + " More.", "The end."]
+    text = f"<h1>{lines[0]}</h1><p>{lines[1]}</p><p>{lines[2]}</p><ul><li>{lines[3]}<li>{lines[4]}</ul><p>{lines[5]}</p><p>{lines[6]}</p>"
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>"
+    assert html_text.main_text(f"<body><div>{text}</div></body>") == "\n".join(lines)
+    assert html_text.main_text(f"<body>{menu}<div>{text}</div><div>All rights reserved</div></body>") == "\n".join(lines)
+    assert html_text.main_text(f"<body>{menu}{text}{menu}</body>") == "\n".join(lines)
+    assert html_text.main_text(f"<body><div><section><h1>Title</h1><p>{long}</p></section><section><p>Low.</p></section></div></body>") == f"Title\n{long.strip()}\nLow."
+    assert html_text.main_text(f"<script>{'var a = 1;' * 9000}</script><body><div>{text}</div></body>") == "\n".join(lines)
+
+
 def test_html_articles_whole(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = by_id(html_text.extract_text(pages), "page_id")
