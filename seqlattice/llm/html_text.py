@@ -2,8 +2,8 @@
 
 The parser of the standard library sends tags and text; they are gathered into lines (blocks), each with its number of text
 characters and tags.  The text-to-tag ratios along a page are smoothed by a Gaussian and split into two clusters by their
-threshold; the article or main element that holds most text of the high cluster, else the innermost container around all of
-it, is the content region, and all its lines outside of menus, adverts, forms and the like are the text.  One pass over the
+threshold; the article or main elements are the content region if they hold most text of the high cluster, else the innermost
+container around that text is, and all its lines outside of menus, adverts, forms and the like are the text.  One pass over the
 pages, no shuffle.
 """
 
@@ -31,13 +31,23 @@ OUTSIDE = frozenset("aside button canvas dialog fieldset footer form head header
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an unclosed paragraph ends at.
 CLOSES_P = BLOCKS - frozenset("caption dd dt html body legend li option summary tbody td tfoot th thead tr".split())
-#: Parts of class, id and role names of menus, notices, adverts, forms and reader comments.
-OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|aside|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|discuss\w*|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|site-?header|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Additions to a name that leave its meaning: ``site-footer``, ``comment-list-2``, but not ``no-sidebar`` or ``comments-open``.
+_BEFORE = r"(?:(?:site|global|main|top|bottom|left|right|primary|secondary|sub|user|blog)[_-]+)*"
+_AFTER = r"(?:[_-]+(?:area|bar|block|body|box|container|content|depth|form|group|inner|items?|left|links?|list|main|menu|outer|overlay|panel|primary|right|secondary|section|slot|text|thread|title|top|unit|wrap|wrapper|wide|\d+))*"
+#: Class, id and role names of reader comments.
+COMMENT_NAMES = re.compile(rf"{_BEFORE}(?:(?:post|entry|article|page)[_-]+)?(?:comments?|repl(?:y|ies))(?:[_-]+(?:repl(?:y|ies)|respond))?{_AFTER}", re.I)
+#: Class, id and role names of menus, notices, adverts and forms.
+OUTSIDE_NAMES = re.compile(rf"{_BEFORE}(?:ads?|advert\w*|aside|banner|breadcrumbs?|complementary|contentinfo|cookies?(?:[_-]+(?:notice|consent|banner))?|consent|discuss\w*|disqus|(?:post[_-]+|entry[_-]+|article[_-]+|page[_-]+)?footer|gdpr|(?:page[_-]+)?header|masthead|menu|modal|(?:post[_-]+|page[_-]+)?nav(?:bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related(?:[_-]+(?:posts?|articles?|stories))?|respond|(?:social[_-]+)?shar(?:e|ing)(?:[_-]+buttons?)?|sidebar|site-?header|skip(?:[_-]+(?:to|link))?|social|sponsor\w*|subscribe|toolbar|widget){_AFTER}", re.I)
 REGIONS = ("article", "main", "body")
 #: Elements that can hold a whole text; others, sections too, are parts of one.
 CONTAINERS = ("article", "main", "body", "div", "td")
 
 
+def named(pattern: re.Pattern[str], names: str) -> bool:
+    """Whether a whole name of a list of them matches."""
+    return any(pattern.fullmatch(name) for name in names.split())
+
+
 class Lines(HTMLParser):
     """Gathers ``(text, tags, path)`` for each line; ``path`` numbers the regions around it, or is None outside of them all."""
 
@@ -77,10 +87,10 @@ class Lines(HTMLParser):
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        out = tag in OUTSIDE or hidden or tag not in ("html", "body", "article", "main") and bool(names) and OUTSIDE_NAMES.search(names) is not None
+        out = tag in OUTSIDE or hidden or tag not in ("html", "body", "article", "main") and (named(OUTSIDE_NAMES, names) or named(COMMENT_NAMES, names))
         if tag == "header" and any(name == "article" for name, *_ in self.open):
-            out = bool(OUTSIDE_NAMES.search(names))
-        if tag == "article" and (names and re.search(r"comment|repl", names, re.I)):
+            out = hidden or named(OUTSIDE_NAMES, names) or named(COMMENT_NAMES, names)
+        if tag == "article" and named(COMMENT_NAMES, names):
             out = True
         self.seen += 1
         self.open.append((tag, out, self.seen if tag in CONTAINERS else 0))
@@ -176,7 +186,13 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         chosen = [best]
         if best[0] == "article":
             chosen = [r for r in inner if r[0] == "article" and depth[r] == depth[best] and mass[r] > 0] or [best]
-        return "\n".join(t for t, _, path in lines if path is not None and any(r in path for r in chosen))
+        total = sum(len(t) for (t, _, path), good in zip(lines, high, strict=True) if good and path is not None)
+        if 2 * sum(mass[r] for r in chosen) > total:
+            return "\n".join(t for t, _, path in lines if path is not None and any(r in path for r in chosen))
+        # most text is elsewhere: where it stands outside of all articles, they don't count
+        loose = np.array([bool(good) and path is not None and all(name == "body" for name, _ in path) for (_, _, path), good in zip(lines, high, strict=True)])
+        if 2 * sum(len(t) for (t, _, _), good in zip(lines, loose, strict=True) if good) >= total:
+            high = loose
     return container_text(parser, high)
 
 
@@ -200,10 +216,10 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """``page_id, url, text, n_chars``: the main text of each row's whole page.
 
     Character references are decoded, white space inside a line becomes one space, lines follow each other in page order
-    with one line feed between them.  Pages with an ``article`` or ``main`` element give the whole of the one that holds most
-    high-ratio text; others give the whole of the innermost container around their high-ratio lines, but for lines of links in
+    with one line feed between them.  Pages whose ``article`` or ``main`` elements hold most high-ratio text give the whole of
+    the one that has most of it; others give the whole of the innermost container around their high-ratio lines, but for lines of links in
     front of and behind those.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-    are left out by element and by class, id and role names.
+    are left out by element and by whole class, id and role names.
 
     A null, empty or text-free page gives an empty text; a page cut off anywhere is read as far as it goes; nulls in other
     columns, repeated rows and further columns are of no effect.

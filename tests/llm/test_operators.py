@@ -270,6 +270,21 @@ def test_html_without_article_keeps_low_lines():
     assert html_text.main_text(f"<script>{'var a = 1;' * 9000}</script><body><div>{text}</div></body>") == "\n".join(lines)
 
 
+def test_html_region_is_where_the_text_is():
+    long = ("A sentence of the text that goes on for quite some time. " * 6).strip()
+    text, want = f"<h1>Title</h1><p>{long}</p><p>Short one.</p><p>{long}</p>", f"Title\n{long}\nShort one.\n{long}"
+    for card in ("<article><h2>Next</h2><p>Teaser.</p></article>", f"<article><p>{long}</p></article>", "<main></main>"):
+        assert html_text.main_text(f"<body><div>{text}</div>{card}</body>") == want
+        assert html_text.main_text(f"<body><div class=x><div id=y>{text}</div></div>{card}</body>") == want
+    for name in ("category-commentary", "comments-open", "replay", "post replacement"):
+        assert html_text.main_text(f"<body><article class='{name}'>{text}</article></body>") == want
+    for name in ("no-sidebar", "has-nav", "comments-open", "page with-header", "ad-free"):
+        assert html_text.main_text(f"<body><div class='{name}'>{text}</div></body>") == want
+    for name in ("sidebar", "site-footer", "main-nav", "comment-list", "x comments", "navbar", "ad-slot-2", "ads", "cookie-notice", "related-posts", "comment-respond"):
+        assert html_text.main_text(f"<body><div><div>{text}</div><div class='{name}'><p>{long}</p></div></div></body>") == want, name
+    assert html_text.main_text(f"<body><article>{text}</article><article class='comment depth-2'><p>{long}</p></article></body>") == want
+
+
 def test_html_articles_whole(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = by_id(html_text.extract_text(pages), "page_id")
