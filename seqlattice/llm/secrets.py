@@ -1,9 +1,9 @@
 """Secret scans: known forms and a battery of randomness tests, in DataFrame functions only.
 
-Known forms are found by pattern.  Besides, every long run of encoding characters is tested: its encoding is inferred, and
-under that alphabet a chi-squared test of uniformity, a runs test and a serial-correlation test must all accept
+Known forms are found by pattern.  Besides, every long run of encoding characters is tested, and so are the long segments of
+it between slashes, and between slashes, underscores and hyphens: the encoding of each is inferred, and under that alphabet a chi-squared test of uniformity, a runs test and a serial-correlation test must all accept
 randomness.  Whether it may be ordinary text is judged by its likelihood ratio against a reference for text; exp(-ratio)
-bounds that probability, falls with length, and a step-up over all runs of the table controls the false discoveries.
+bounds that probability, falls with length, and a step-up over all runs and segments of the table controls the false discoveries.
 
 Both passes read the texts alone; only counts by ratio are shuffled, at most RATIO_BINS + 1 for each task.
 """
@@ -23,8 +23,16 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs that the battery tests.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+
+
+def _run(chars: str) -> str:
+    """Runs of 20 of the characters at least, with the padding behind them; another ``=`` ends a name in front of a value."""
+    return rf"(?<![{chars}])[{chars}]{{20,}}(?:=+(?![A-Za-z0-9+/_=-]))?"
+
+
+#: Runs that the battery tests, and their segments.
+RUN = _run("A-Za-z0-9+/_-")
+SEGMENTS = (_run("A-Za-z0-9+_-"), _run("A-Za-z0-9+"))
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the narrowest on: pattern of all characters, alphabet in the order of values.
 ENCODINGS = (
@@ -37,7 +45,12 @@ ENCODINGS = (
     (r"[A-Za-z0-9_-]+", _UPPER + _LOWER + _DIGITS + "-_"),
     (r".+", _UPPER + _LOWER + _DIGITS + "+/"),
 )
-#: The reference for text: probability of each class of characters, spread evenly in the class.
+#: Encodings without a digit, likewise; each alphabet is one or two times a to z.
+LETTERS = ((r"[a-z]+", _LOWER), (r"[A-Z]+", _UPPER), (r"[A-Za-z]+", _UPPER + _LOWER))
+#: The reference for text of letters alone: percentages of a to z in either case, and the share of capitals if both occur.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+CAPITALS = 0.06
+#: The reference for other text: probability of each class of characters, spread evenly in the class.
 TEXT_SHARES = {"lower": 0.90, "upper": 0.05, "digit": 0.03, "mark": 0.02}
 RATIO_BINS = 400
 #: Bounds of the three tests' normal scores at a joint level of one in a hundred.
@@ -99,6 +112,13 @@ def _text_ratio(t: Column, n: Column, k: Column) -> Column:
     return ratio
 
 
+def _letters_ratio(t: Column, values: Column, n: Column, k: Column) -> Column:
+    """As :func:`_text_ratio` for letters alone, by how often text has each of them."""
+    shares = F.array(*[F.lit(math.log(p / sum(LETTER_SHARES))) for p in LETTER_SHARES])
+    cases = F.when(k > 26, _count(t, _UPPER) * math.log(CAPITALS) + _count(t, _LOWER) * math.log(1 - CAPITALS)).otherwise(F.lit(0.0))
+    return -n * F.log(k) - _total(values, lambda v: F.get(shares, (v % 26).cast("int"))) - cases
+
+
 def _chi_score(t: Column, alphabet: Column, n: Column, k: Column) -> Column:
     """Normal score of the chi-squared statistic of uniformity over the alphabet."""
     squares = _total(F.split(alphabet, ""), lambda a: F.pow(n - F.length(F.replace(t, a, F.lit(""))), F.lit(2.0)))
@@ -133,29 +153,34 @@ def _serial_score(values: Column, n: Column) -> Column:
 def _tested(t: Column) -> Column:
     """Struct ``ratio, random`` for a run: its log likelihood ratio of an even alphabet to text, and the battery's verdict.
 
-    Runs without a digit or without a letter are text.
+    Runs without a letter are text.
     """
     alphabet = F.lit(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
         alphabet = F.when(t.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
+    for pattern, letters in reversed(LETTERS):
+        alphabet = F.when(t.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
 
     def battery(x: Column) -> Column:
         n, k, values = x["n"], x["k"], x["values"]
         random = (_chi_score(x["t"], x["alphabet"], n, k) <= MOST_CHI) & (_run_score(values, n, k) <= MOST_RUNS) & (_serial_score(values, n) <= MOST_SERIAL)
-        return F.struct(_text_ratio(x["t"], n, k).alias("ratio"), random.alias("random"))
+        ratio = F.when(x["t"].rlike("^[A-Za-z]+$"), _letters_ratio(x["t"], values, n, k)).otherwise(_text_ratio(x["t"], n, k))
+        return F.struct(ratio.alias("ratio"), random.alias("random"))
 
     def measured(x: Column) -> Column:
         values = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
         return F.struct(x["t"].alias("t"), x["alphabet"].alias("alphabet"), F.length(x["t"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), values.alias("values"))
 
     tested = _let(F.struct(t.alias("t"), alphabet.alias("alphabet")), lambda x: _let(measured(x), battery))
-    return F.when(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), tested).otherwise(F.struct(F.lit(-1.0).alias("ratio"), F.lit(False).alias("random")))
+    return F.when(t.rlike("[A-Za-z]"), tested).otherwise(F.struct(F.lit(-1.0).alias("ratio"), F.lit(False).alias("random")))
 
 
 def tested_runs(text: Column) -> Column:
-    """Array of ``start, end, ratio, random`` for every run of encoding characters; trailing ``=`` are padding and not tested."""
+    """Array of ``start, end, ratio, random`` for every run of encoding characters and its segments, each span once; trailing
+    ``=`` are padding and not tested."""
     kind = "array<struct<start:int,end:int,t:struct<ratio:double,random:boolean>>>"
-    return F.transform(_matches(text, RUN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tested(F.regexp_replace(x["value"], "(?<=.)=+$", "")).alias("t"))).cast(kind)
+    spans = F.when(text.rlike(RUN), F.array_distinct(F.concat(*[_matches(text, pattern) for pattern in (RUN, *SEGMENTS)]))).otherwise(F.array().cast(_MATCHES))
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tested(F.regexp_replace(x["value"], "(?<=.)=+$", "")).alias("t"))).cast(kind)
 
 
 def least_ratio(docs: DataFrame, text_col: str = "text", false_discoveries: float = 0.01) -> DataFrame:
@@ -177,14 +202,16 @@ def _shown(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", false_discoveries: float = 0.01) -> DataFrame:
     """``doc_id, base, spans``: for each row the known forms and all spans, as sorted arrays of ``start, kind, end``.
 
-    ``kind`` numbers KINDS; positions are code points, the end exclusive.  A run that the battery and the step-up take as
-    random is added unless it overlaps a known form.  Null and empty texts have no spans; null ids, repeated rows and further
+    ``kind`` numbers KINDS; positions are code points, the end exclusive.  A run, or the segment
+    of one that isn't taken itself, that the battery and the step-up take as random is added unless it overlaps a known form.  Null and empty texts have no spans; null ids, repeated rows and further
     columns are of no effect, but equal runs count each time in the step-up.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     least = least_ratio(docs, text_col, false_discoveries).scalar()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), base_spans(text).alias("base"), F.filter(tested_runs(text), lambda r: r["t"]["random"]).alias("runs"), F.coalesce(least, F.lit(float("inf"))).alias("least"))
-    added = F.filter("runs", lambda r: (r["t"]["ratio"] >= F.col("least")) & ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    passed = F.filter("runs", lambda r: (r["t"]["ratio"] >= F.col("least")) & ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    inner = lambda r, s: (s["start"] <= r["start"]) & (r["end"] <= s["end"]) & (r["end"] - r["start"] < s["end"] - s["start"])
+    added = _let(passed, lambda p: F.filter(p, lambda r: ~F.exists(p, lambda s: inner(r, s))))
     random = F.transform(added, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end"))).cast(_SPANS)
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 

@@ -91,6 +91,20 @@ def test_secret_scan_finds_random_runs_only(spark):
     assert one["spans"] == "random:4:36"
 
 
+def test_secret_scan_finds_values_behind_names_and_paths(spark):
+    rng = np.random.default_rng(8)
+    base64, upper_hex, letters = (np.array(list(x)) for x in (secrets.ENCODINGS[7][1], secrets.ENCODINGS[1][1], secrets.LETTERS[2][1]))
+    forms = [("AWS_ACCESS_VALUE=", base64, 40), ("session_id=", upper_hex, 32), ("/hooks/services/incoming/", np.array(list(secrets.ENCODINGS[5][1])), 32), ("live-", letters, 40), ("see ", letters, 40), ("id=", np.array(list(secrets.ENCODINGS[3][1])), 40)]
+    rows = [(name, "".join(rng.choice(of, n))) for name, of, n in forms for _ in range(40)]
+    plain = ["INTERNATIONALIZATIONSANDMORE", "getElementsByClassNameAndTagName", "SOME_LONG_CONSTANT_NAME_OF_A_PROGRAM", "thisisaverylongdomainnameofsomesite", "/usr/share/documentation/internationalization"]
+    got = by_id(secrets.scan_secrets(documents(spark, [f"a {name}{value} b" for name, value in rows] + plain)))
+    for k, (name, _, n) in enumerate(forms):
+        found = [got[i] for i in range(40 * k, 40 * k + 40) if got[i]["n_random"] == 1]
+        ends = sum(r["spans"].endswith(f":{2 + len(name) + n}") for r in found)
+        assert len(found) >= 33 and ends >= 0.9 * len(found), (name, len(found), ends)
+    assert not any(got[len(rows) + i]["n_random"] for i in range(len(plain)))
+
+
 # --- media
 
 
