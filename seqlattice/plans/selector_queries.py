@@ -190,6 +190,32 @@ def e6_masked_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.masked_score(ev.object_pairs(*_whole_objects(spark, sf_dir)))
 
 
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``base, truth, pred``: the whole text of each document and its reading."""
+    rows = v.preds(spark, sf_dir)
+    t, p = (ev.joined_rows(rows, side, ["base"]).withColumnRenamed("text", side) for side in ("truth", "pred"))
+    return t.join(p, ["base"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "base")
+
+
+@query()
+def e2_whole_object_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.first_version_score(_whole_pairs(spark, sf_dir)).select("base", "errors", "chars")
+
+
+@query()
+def e3_whole_object_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.all_letter_score(_whole_pairs(spark, sf_dir)).select("base", "n_all_err", "n_all_char")
+
+
+@query()
+def e9_whole_best_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _whole_pairs(spark, sf_dir)
+    new = ev.all_letter_score(pairs).select("base", F.col("n_all_err").alias("a"), F.col("n_all_char").alias("n"))
+    old = ev.all_letter_score(pairs, True).select("base", F.col("n_all_err").alias("b"))
+    s = new.join(old, ["base"]).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    return s.select(F.round(F.col("a") / F.col("n"), 6).alias("new_cer"), F.round(F.col("b") / F.col("n"), 6).alias("old_cer"), F.round(F.least("a", "b") / F.col("n"), 6).alias("best_cer"))
+
+
 _LOOKUP = "SELECT f.name, f.base, coalesce(a.pred, b.pred, '') AS pred FROM (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS name, CAST(o_custkey AS VARCHAR) AS base FROM orders) f LEFT JOIN t a ON f.name = a.base LEFT JOIN t b ON f.base = b.base"
 _TRANSCRIPTS = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'f' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS base, min(o_orderpriority) AS pred FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1"
 

@@ -127,6 +127,17 @@ def test_score_queries_give_all_three_ratios(spark, small):
     assert QUERIES["e8_micro_scores"](spark, small).columns == ["cer", "all_cer", "opt_cer"]
 
 
+def test_whole_object_queries_score_one_text_a_document(spark, tmp_path):
+    from seqlattice.plans.queries import QUERIES
+
+    text = "\n".join("sand of ions and roses by rivers"[: 12 + i] for i in range(7))
+    spark.createDataFrame([(2, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    truth = text.upper().replace(" ", "").replace("V", "")
+    pred = truth.replace("AN", "A").translate(str.maketrans("OSI", "QZL"))
+    assert [tuple(r) for r in QUERIES["e2_whole_object_cer"](spark, str(tmp_path)).collect()] == [(2, plain_levenshtein(pred, truth + "\n"), len(truth) + 1)]
+    assert [tuple(r) for r in QUERIES["e3_whole_object_cer"](spark, str(tmp_path)).collect()] == [(2, plain_levenshtein(pred, truth), len(truth))]
+
+
 def test_break_confidence_by_hand(spark):
     flags = [[False], [True], [False], [True], [True]]
     df = spark.createDataFrame([("b", i, 0, "A", f[0]) for i, f in enumerate(flags)], "base string, row_idx int, pos int, ch string, conf boolean")
