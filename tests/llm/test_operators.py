@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -381,7 +381,8 @@ def plain_similarity(a, b):
         return out
 
     x, y = bag(a), bag(b)
-    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in {*x, *y}) for d in {*x} & {*y})
+    alike = Counter((x.get(e, 0), y.get(e, 0)) for e in {*x, *y})  # elements of the same two weights count alike
+    return sum(n / sum(m * max(u / xd, v / yd) for (u, v), m in alike.items()) for (xd, yd), n in alike.items() if xd and yd)
 
 
 def test_probability_jaccard():
@@ -423,7 +424,7 @@ def plain_classes(texts, least=0.8):
             for b in own[k + 1 :]:
                 if (a, b) not in seen:
                     seen.add((a, b))
-                    if root(a) != root(b) and min(len(words[a]), len(words[b])) > 0.3 * max(len(words[a]), len(words[b])) and plain_similarity(texts[a], texts[b]) >= least:
+                    if root(a) != root(b) and plain_similarity(texts[a], texts[b]) >= least:
                         lo, hi = sorted((root(a), root(b)))
                         parent[hi] = lo
     return {i: root(i) for i in texts}
@@ -444,32 +445,36 @@ def test_near_duplicates(spark):
     assert got == plain_classes(dict(enumerate(made)))
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LARGE_BAND", 3)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_duplicates_of_one_text(spark, with_base):
+    """Hundreds of copies of one text, most of them not similar enough to each other, and in the second case without it."""
     rng = np.random.default_rng(8)
-    base = [f"w{x}" for x in rng.integers(0, 5000, 90)]
-    made = []
-    for j in range(24):
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    made = [" ".join(base)] if with_base else []
+    for j in range(200):
         c = list(base)
-        for at in rng.integers(0, len(c), 1 + j % 4):
-            c[at] = f"edit{j}x{at}"
+        for at in rng.integers(0, len(c), 2 + j % 6):
+            c[at] = f"edit{at % 2}"
         made.append(" ".join(c))
     got = {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(documents(spark, made))).items()}
-    assert got == plain_classes(dict(enumerate(made)))
-    assert len(set(got.values())) > 1
+    profiles = [near_dedup._profile(t) for t in made]
+    linked = [(a, b) for a in range(len(made)) for b in range(a) if near_dedup.probability_jaccard(*profiles[a], *profiles[b]) >= 0.8]
+    assert len(linked) > 100 and np.mean([got[a] == got[b] for a, b in linked]) >= 0.99
+    alone = set(range(len(made))) - {i for pair in linked for i in pair}
+    assert len(alone) > 20 and all(got[i] == i for i in alone)
 
 
 def test_near_duplicates_of_table(docs, texts):
-    short = {i: t for i, t in texts.items() if len(t) < 4000}
-    got = {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(docs.where(F.length("text") < 4000))).items()}
-    assert got == plain_classes(short)
+    got = {i: r["class_id"] for i, r in by_id(near_dedup.near_duplicates(docs)).items()}
+    assert got == plain_classes(texts)
 
 
 def test_near_duplicates_nulls_and_empty(spark):
-    df = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], ids=[None, 7, 9, 4])
+    df = documents(spark, ["a b c d e f", "a b c d e f", "a b  c d e f", None], ids=[None, 7, 9, 4])
     assert sorted(near_dedup.near_duplicates(df).collect(), key=str) == [(4, 4), (7, 7), (9, 7), (None, None)]
+    long = " ".join(f"w{i}" for i in range(80))
+    same = documents(spark, [long, "another text under this id", long + " x", long, long + " x", ""], ids=[5, 5, 5, 3, 8, 5])
+    assert sorted(near_dedup.near_duplicates(same).collect()) == [(3, 3), (5, 3), (5, 3), (5, 5), (5, 5), (8, 3)]
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
