@@ -2,15 +2,15 @@
 
 The parser of the standard library sends tags and text; they are gathered into lines (blocks), each with its number of text
 characters and tags.  The text-to-tag ratios along a page are smoothed by a Gaussian and split into two clusters by their
-threshold; the article or main elements are the content region if they hold most text of the high cluster, else the innermost
-container around that text is, and all its lines outside of menus, adverts, forms and the like are the text.  One pass over the
-pages, no shuffle.
+threshold.  The region is where the high cluster's text stands: the article or main elements that hold most of it, else the
+innermost container around it; all lines of the region are kept.  Parts that are named like menus or adverts don't
+count, unless nearly all text stands in them.  One pass over the pages, no shuffle; the work is linear in a page, however broken
+its tags are.
 """
 
 from __future__ import annotations
 
 import math
-import os.path
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +25,10 @@ from .words import pieces
 
 #: Elements whose start or end also ends a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that hold no main text, whatever their ratio.
-OUTSIDE = frozenset("aside button canvas dialog fieldset footer form head header iframe label legend math menu nav noembed noframes noscript object option search script select style svg template textarea title".split())
+#: Elements whose text is never shown as text.
+HIDDEN = frozenset("button canvas datalist head iframe label legend math noembed noframes noscript object option script search select style svg template textarea title".split())
+#: Elements that hold no main text, unless nearly all text of the page stands in them.
+OUTSIDE = frozenset("aside dialog fieldset footer form header menu nav".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an unclosed paragraph ends at.
@@ -38,9 +40,12 @@ _AFTER = r"(?:[_-]+(?:area|bar|block|body|box|container|content|depth|form|group
 COMMENT_NAMES = re.compile(rf"{_BEFORE}(?:(?:post|entry|article|page)[_-]+)?(?:comments?|repl(?:y|ies))(?:[_-]+(?:repl(?:y|ies)|respond))?{_AFTER}", re.I)
 #: Class, id and role names of menus, notices, adverts and forms.
 OUTSIDE_NAMES = re.compile(rf"{_BEFORE}(?:ads?|advert\w*|aside|banner|breadcrumbs?|complementary|contentinfo|cookies?(?:[_-]+(?:notice|consent|banner))?|consent|discuss\w*|disqus|(?:post[_-]+|entry[_-]+|article[_-]+|page[_-]+)?footer|gdpr|(?:page[_-]+)?header|masthead|menu|modal|(?:post[_-]+|page[_-]+)?nav(?:bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related(?:[_-]+(?:posts?|articles?|stories))?|respond|(?:social[_-]+)?shar(?:e|ing)(?:[_-]+buttons?)?|sidebar|site-?header|skip(?:[_-]+(?:to|link))?|social|sponsor\w*|subscribe|toolbar|widget){_AFTER}", re.I)
-REGIONS = ("article", "main", "body")
 #: Elements that can hold a whole text; others, sections too, are parts of one.
 CONTAINERS = ("article", "main", "body", "div", "td")
+#: Share of the text without links that stands outside of a menu or the like.
+LEAST_CLEAN = 0.1
+#: Share of the dense text that a container must hold; what smoothing adds at its edges is less.
+MOST_TEXT = 0.95
 
 
 def named(pattern: re.Pattern[str], names: str) -> bool:
@@ -49,26 +54,27 @@ def named(pattern: re.Pattern[str], names: str) -> bool:
 
 
 class Lines(HTMLParser):
-    """Gathers ``(text, tags, path)`` for each line; ``path`` numbers the regions around it, or is None outside of them all."""
+    """Gathers the lines of a page and a tree of its containers and outside parts, numbered in page order from the root, 0.
+
+    A part's number and its last descendant's, ``last``, tell what lies in it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...] | None]] = []
-        self.linked: list[bool] = []  # whether links hold most of the line
-        self.around: list[tuple[int, ...]] = []  # the containers around the line's own block
-        self.links = 0
-        self.open: list[tuple[str, bool, int]] = []  # name, whether it begins a part without main text, and a container's number
-        self.regions: list[tuple[str, int]] = []
-        self.outside = self.tags = self.seen = 0
+        self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, whether links hold most of it, part, part around its block
+        self.names, self.parents, self.outside, self.last = [""], [0], [False], [0]
+        self.open: list[tuple[str, int, bool]] = []  # name, number of its part or -1, whether it hides text
+        self.count: Counter = Counter()  # open elements by name
+        self.part = self.tags = self.hidden = self.links = 0
         self.parts: list[str] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, None if self.outside else tuple(self.regions)))
-            self.linked.append(2 * self.links > len(text))
-            own = next((number for name, _, number in reversed(self.open) if name in BLOCKS and name not in REGIONS), 0)
-            self.around.append(tuple(number for _, _, number in self.open if number and number != own))
+            # the block of the line itself, if a container, isn't around it
+            own = next((n for name, n, _ in reversed(self.open[-8:]) if name in BLOCKS), -1)
+            around = self.parents[own] if own == self.part and self.names[own] in ("div", "td") else self.part
+            self.lines.append((text, self.tags, 2 * self.links > len(text), self.part, around))
             self.tags = 0
         self.links = 0
         self.parts = []
@@ -86,49 +92,76 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        out = tag in OUTSIDE or hidden or tag not in ("html", "body", "article", "main") and (named(OUTSIDE_NAMES, names) or named(COMMENT_NAMES, names))
-        if tag == "header" and any(name == "article" for name, *_ in self.open):
-            out = hidden or named(OUTSIDE_NAMES, names) or named(COMMENT_NAMES, names)
-        if tag == "article" and named(COMMENT_NAMES, names):
-            out = True
-        self.seen += 1
-        self.open.append((tag, out, self.seen if tag in CONTAINERS else 0))
-        self.outside += out
-        if tag in REGIONS:
-            self.regions.append((tag, self.seen))
+        hidden = tag in HIDDEN or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        comments = named(COMMENT_NAMES, names)
+        marked = comments or named(OUTSIDE_NAMES, names)
+        if tag in ("html", "body", "main"):
+            out = False
+        elif tag == "article":
+            out = comments
+        else:
+            out = marked or tag in OUTSIDE and not (tag == "header" and (self.count["article"] or self.count["main"]))
+        if tag not in BLOCKS:  # inline parts are small
+            hidden, out = hidden or out, False
+        number = -1
+        if out or tag in CONTAINERS:
+            number = len(self.names)
+            for column, value in ((self.names, tag), (self.parents, self.part), (self.outside, out), (self.last, number)):
+                column.append(value)
+            self.part = number
+        self.open.append((tag, number, hidden))
+        self.count[tag] += 1
+        self.hidden += hidden
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def drop(self, at: int = -1) -> str:
+        name, number, hidden = self.open.pop(at)
+        self.count[name] -= 1
+        self.hidden -= hidden
+        if number >= 0:
+            self.last[number] = len(self.names) - 1
+            self.part = self.parents[number]
+        return name
+
     def leave(self, tag: str) -> None:
         """Close the innermost open ``tag`` and whatever is still open inside it."""
-        self.end_line()
-        while self.open:
-            name, out, _ = self.open.pop()
-            self.outside -= out
-            if name in REGIONS:
-                self.regions.pop()
-            if name == tag:
-                break
+        if tag in BLOCKS:
+            self.end_line()
+        while self.open and self.drop() != tag:
+            pass
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if tag in BLOCKS or tag in OUTSIDE:
-            if at is not None:
-                self.leave(tag)
-        elif at is not None and not any(name in BLOCKS for name, *_ in self.open[at:]):
-            _, out, _ = self.open.pop(at)
-            self.outside -= out
+        if not self.count[tag]:
+            return
+        if tag in BLOCKS or tag in HIDDEN:
+            self.leave(tag)
+            return
+        for at in range(1, min(8, len(self.open)) + 1):  # an inline element ends where it is near and in the same block
+            name = self.open[-at][0]
+            if name == tag:
+                self.drop(-at)
+            if name == tag or name in BLOCKS:
+                return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden:
+            return
         self.parts.append(data)
         if any(name == "a" for name, *_ in self.open[-3:]):
             self.links += len(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.end_line()
+        while self.open:
+            self.drop()
+        self.last[0] = len(self.names) - 1
+
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian-weighted means along the lines, with weights that add to one at the edges too."""
@@ -155,55 +188,87 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return math.expm1(cut)
 
 
+def _sums(own: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Sums over each part and all inside it; a part's number is greater than its parent's."""
+    out = own.tolist()
+    for n in range(len(out) - 1, 0, -1):
+        out[parents[n]] += out[n]
+    return np.array(out)
+
+
+def _left_out(page: Lines, part: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Which lines lie in outside parts; a part that holds nearly all text without links is none, nor is the largest if all
+    text lies in some."""
+    sums = _sums(np.bincount(part, mass, len(page.names)), page.parents)
+    outside = np.array(page.outside) & (sums <= (1 - LEAST_CLEAN) * sums[0])
+
+    def inside() -> np.ndarray:
+        found = outside.tolist()
+        for n in range(1, len(found)):
+            found[n] = found[n] or found[page.parents[n]]
+        return np.array(found)
+
+    out = inside()
+    if sums[0] and not mass[~out[part]].any():
+        outside[np.where(outside, sums, -1).argmax()] = False
+        out = inside()
+    return out[part]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Lines of the content region joined by line feeds; empty if there are none."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
+    page = Lines()
+    page.feed(html)
+    page.finish()
+    if not page.lines:
         return ""
-    # lines outside of all regions say nothing of the text's ratios
-    shown = np.array([path is not None for _, _, path in lines])
+    tags, linked, part, around = (np.array(x) for x in list(zip(*page.lines, strict=True))[1:])
+    size = np.array([len(t) for t, *_ in page.lines])
+    shown = ~_left_out(page, part, size * ~linked)
     if not shown.any():
         return ""
-    high = np.zeros(len(lines), bool)
-    smoothed = smooth(np.array([len(t) / (1 + n) for t, n, path in lines if path is not None]), sigma)
-    high[shown] = smoothed >= threshold(smoothed) * (1 - 1e-9)
-    mass: Counter = Counter()
-    depth: dict[tuple[str, int], int] = {}
-    for (text, _, path), good in zip(lines, high, strict=True):
-        for level, region in enumerate(path or ()):
-            mass[region] += len(text) * bool(good)
-            depth[region] = level
-    inner = [r for r in mass if r[0] != "body"]
+    # lines left out say nothing of the text's ratios
+    ratios = smooth(size[shown] / (1 + tags[shown]), sigma)
+    dense = shown.copy()
+    dense[shown] = ratios >= threshold(ratios) * (1 - 1e-9)
+    last = np.array(page.last)
+    mass = _sums(np.bincount(part, size * dense, len(last)), page.parents)
+    total = mass[0]
+    inner = [n for n, name in enumerate(page.names) if name in ("article", "main") and mass[n] > 0]
     if inner:
+        depth = {n: k for k, n in enumerate(inner)}
         # the region with most text of the high cluster; of those that hold it all, the innermost
-        best = max(inner, key=lambda r: (mass[r], depth[r]))
+        best = max(inner, key=lambda n: (mass[n], depth[n]))
         chosen = [best]
-        if best[0] == "article":
-            chosen = [r for r in inner if r[0] == "article" and depth[r] == depth[best] and mass[r] > 0] or [best]
-        total = sum(len(t) for (t, _, path), good in zip(lines, high, strict=True) if good and path is not None)
-        if 2 * sum(mass[r] for r in chosen) > total:
-            return "\n".join(t for t, _, path in lines if path is not None and any(r in path for r in chosen))
+        if page.names[best] == "article":
+            outer = page.parents[best]
+            chosen = [n for n in inner if page.names[n] == "article" and page.parents[n] == outer]
+        if 2 * sum(mass[n] for n in chosen) > total:
+            kept = shown & np.logical_or.reduce([(part >= n) & (part <= last[n]) for n in chosen])
+            return "\n".join(page.lines[i][0] for i in np.flatnonzero(kept))
         # most text is elsewhere: where it stands outside of all articles, they don't count
-        loose = np.array([bool(good) and path is not None and all(name == "body" for name, _ in path) for (_, _, path), good in zip(lines, high, strict=True)])
-        if 2 * sum(len(t) for (t, _, _), good in zip(lines, loose, strict=True) if good) >= total:
-            high = loose
-    return container_text(parser, high)
+        loose = dense & ~np.logical_or.reduce([(part >= n) & (part <= last[n]) for n in inner])
+        if 2 * size[loose].sum() >= total:
+            dense = loose
+    return container_text(page, dense, shown, linked, part, around)
 
 
-def container_text(parser: Lines, high: np.ndarray) -> str:
-    """All lines of the innermost container around the high ones that aren't links; links in front of and behind those go."""
-    at = [i for i, (_, _, path) in enumerate(parser.lines) if path is not None and high[i] and not parser.linked[i]]
-    if not at:
+def container_text(page: Lines, dense: np.ndarray, shown: np.ndarray, linked: np.ndarray, part: np.ndarray, around: np.ndarray) -> str:
+    """All lines of the innermost container around nearly all dense text that isn't links; links in front of and behind it go."""
+    text = dense & ~linked
+    if not text.any():
         return ""
-    best = tuple(os.path.commonprefix([parser.around[i] for i in at]))
-    kept = (t for i, (t, _, path) in enumerate(parser.lines) if path is not None and parser.around[i][: len(best)] == best and (at[0] <= i <= at[-1] or not parser.linked[i]))
-    return "\n".join(kept)
+    size = np.array([len(t) for t, *_ in page.lines])
+    sums = _sums(np.bincount(around, size * text, len(page.names)), page.parents)
+    # those that hold so much lie inside each other
+    best = max(n for n in range(len(sums)) if sums[n] >= MOST_TEXT * sums[0] and (n == 0 or page.names[n] in CONTAINERS))
+    inside = (around >= best) & (around <= page.last[best])
+    at = np.flatnonzero(text & inside)
+    place = np.arange(len(part))
+    kept = shown & inside & (((place >= at[0]) & (place <= at[-1])) | ~linked)
+    return "\n".join(page.lines[i][0] for i in np.flatnonzero(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.RecordBatch]:
@@ -219,7 +284,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     with one line feed between them.  Pages whose ``article`` or ``main`` elements hold most high-ratio text give the whole of
     the one that has most of it; others give the whole of the innermost container around their high-ratio lines, but for lines of links in
     front of and behind those.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-    are left out by element and by whole class, id and role names.
+    are left out by element and by whole class, id and role names, unless nearly all text stands in such a part.
 
     A null, empty or text-free page gives an empty text; a page cut off anywhere is read as far as it goes; nulls in other
     columns, repeated rows and further columns are of no effect.
