@@ -3,9 +3,14 @@
 Every document is parsed against the text of all documents with a smaller id.  That reference is cut into blocks: a
 window of ``width`` consecutive words belongs to the block that its smallest three-word hash names, so equal windows
 always meet in one block, and runs of neighbouring windows stay together.  In its block a document is factored greedily:
-a factor starts at the first window that the reference holds and is extended word by word as long as the reference holds
-the next window directly behind the same source.  Where a factor ends, the windows across its boundary are looked up
-anew, so no window is missed and a factor of ``width`` words or more is a duplicate span.
+a factor starts at the first window that the reference holds, takes the window's first holder as its source, and goes on
+word by word as long as the source goes on alike; behind its end, the next window is looked up anew.  Factors of one document
+from different blocks are checked at their boundaries: where one goes on along the source of the one before, they are one
+factor.  No window is missed, and every factor has ``width`` words or more, so it is a duplicate span.
+
+A seed that a third of all documents hold would make one huge block.  Seeds that are frequent in a sample of the documents
+name blocks together with the whole window, so their windows spread over all blocks, and equal ones still meet; the
+sample decides on where the work is done alone.
 
 One shuffle carries the windows: per batch of documents and block one row of arrays.  Before it, each batch settles its
 own repeats and sends a window only for its smallest document, so a passage that a third of all documents share costs one
@@ -22,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import MULTIPLIER, mix, pieces, rolling, word_hashes, words_of
+from .words import mix, pieces, rolling, word_hashes, words_of
 
 #: Words of the hash that names a window's block.
 SEED_WORDS = 3
+#: One in so many documents shows which seeds are frequent; seeds that are spread, at most.
+SAMPLE, MOST_SPREAD = 64, 1000
 
 _BLOCK_ROW = "block int, settled boolean, ids array<bigint>, marks array<bigint>, doc array<int>, start array<int>, n array<int>, seed array<bigint>, prints array<int>"
 _FACTOR = "doc_id bigint, mark bigint, start int, n_words int, ref_doc bigint, ref_start int"
@@ -56,7 +63,32 @@ def _runs(*same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _seeds(hashes: np.ndarray, width: int) -> np.ndarray:
+    return _smallest(rolling(hashes, SEED_WORDS), width - SEED_WORDS + 1)
+
+
+def _count_seeds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for rows in pieces(batches):
+        hashes, counts = word_hashes(rows["text"])
+        first, _, _ = _windows(counts, len(hashes), width)
+        if len(first):
+            seed, n = np.unique(_seeds(hashes, width)[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n, pa.int64())], names=["seed", "n"])
+
+
+def frequent_seeds(rows: DataFrame, width: int, n_blocks: int) -> np.ndarray:
+    """Seeds with at least an eighth of a block's even share of the windows, in a sample of ``rows(doc_id, text)``; at most
+    MOST_SPREAD of them, sorted."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(lambda it: _count_seeds(it, width), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).where("n >= 100")
+    top = counts.orderBy(F.col("n").desc(), "seed").limit(MOST_SPREAD).collect()
+    if not top:
+        return np.zeros(0, np.uint64)
+    words = sample.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0]
+    return np.sort(np.array([r.seed for r in top if r.n * 8 * n_blocks >= words], np.int64).view(np.uint64))
+
+
+def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of windows by block; and, marked as settled, spans that repeat a smaller document of the same portion."""
     for rows in pieces(batches):
         order = np.argsort(np.array(rows["doc_id"], np.int64), kind="stable")
@@ -67,13 +99,15 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int) -> Iter
         if not len(first):
             continue
         prints = rolling(hashes, width)[first]
-        seeds = _smallest(rolling(hashes, SEED_WORDS), width - SEED_WORDS + 1)[first]
+        seeds = _seeds(hashes, width)[first]
+        named = seeds
+        if len(spread):
+            named = np.where(spread[np.minimum(np.searchsorted(spread, seeds), len(spread) - 1)] == seeds, mix(seeds ^ prints), seeds)
         # the smallest document of each window in this portion; documents are in the order of their ids
-        key = prints ^ seeds
-        by_key = np.argsort(key, kind="stable")
-        groups = _runs(key[by_key])
-        lead = np.empty(len(key), np.int64)
-        lead[by_key] = np.repeat(by_key[groups], np.diff(np.append(groups, len(key))))
+        by_key = np.argsort(prints, kind="stable")
+        groups = _runs(prints[by_key], seeds[by_key])
+        lead = np.empty(len(prints), np.int64)
+        lead[by_key] = np.repeat(by_key[groups], np.diff(np.append(groups, len(prints))))
         own = ids[doc] == ids[doc[lead]]
         out: dict[str, list] = {k: [] for k in ("block", "settled", "ids", "marks", "doc", "start", "n", "seed", "prints")}
 
@@ -87,11 +121,11 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int) -> Iter
             r = _runs(doc[at], start[at] - np.arange(len(at)), doc[lead[at]], start[lead[at]] - np.arange(len(at)))
             n = np.diff(np.append(r, len(at)))
             # seed and prints hold the source of a settled span
-            put(int(seeds[at[0]] % np.uint64(n_blocks)), True, doc[at][r], start[at][r], n, ids[doc[lead[at]][r]], start[lead[at]][r])
+            put(int(named[at[0]] % np.uint64(n_blocks)), True, doc[at][r], start[at][r], n, ids[doc[lead[at]][r]], start[lead[at]][r])
         at = np.flatnonzero(own)
-        r = _runs(doc[at], start[at] - np.arange(len(at)), seeds[at])
+        r = _runs(doc[at], start[at] - np.arange(len(at)), named[at])
         n = np.diff(np.append(r, len(at)))
-        block = (seeds[at[r]] % np.uint64(n_blocks)).astype(np.int64)
+        block = (named[at[r]] % np.uint64(n_blocks)).astype(np.int64)
         fine = (prints[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         by_block = np.argsort(block, kind="stable")
         edges = _runs(block[by_block])
@@ -105,6 +139,28 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int) -> Iter
         )
 
 
+def _greedy(code: np.ndarray, lead: np.ndarray, held: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, source and number of windows of each factor.
+
+    ``code`` numbers windows by their words, ``lead`` is each one's first holder, ``held`` those that a smaller document holds,
+    and ``run`` numbers runs of neighbouring windows.  All stretches of held windows are parsed side by side, a step at a time.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]])))
+    cut = np.flatnonzero(held[1:] & held[:-1] & (run[1:] != run[:-1])) + 1
+    begin, stop = np.sort(np.concatenate([edge[::2], cut])), np.sort(np.concatenate([edge[1::2], cut]))
+    source, at = lead[begin], begin + 1
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(begin):
+        ahead = np.minimum(source + (at - begin), len(code) - 1)
+        inside = at < stop
+        on = inside & (run[ahead] == run[source]) & (code[ahead] == code[np.minimum(at, len(code) - 1)])
+        found.append((begin[~on], source[~on], (at - begin)[~on]))
+        anew = inside & ~on  # behind the factor's end the next held window starts another
+        begin, source = np.where(anew, at, begin), np.where(anew, lead[np.minimum(at, len(lead) - 1)], source)
+        begin, source, at, stop = begin[inside], source[inside], at[inside] + 1, stop[inside]
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
 def _parse(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """Greedy factors of the documents of one block against the smaller documents in it."""
     found = []
@@ -116,22 +172,20 @@ def _parse(rows: pd.DataFrame, width: int) -> pd.DataFrame:
         ids = np.concatenate([i[d] for i, d in zip(rows["ids"], rows["doc"], strict=True)])
         marks = np.concatenate([i[d] for i, d in zip(rows["marks"], rows["doc"], strict=True)])
         n = np.concatenate(list(rows["n"])).astype(np.int64)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(np.concatenate(list(rows["start"])), n) + within
-        seed = np.repeat(np.concatenate(list(rows["seed"])).view(np.uint64), n)
-        fine = np.concatenate(list(rows["prints"])).view(np.uint32).astype(np.uint64)
-        key = mix(seed * np.uint64(MULTIPLIER) + fine)
-        doc, mark = np.repeat(ids, n), np.repeat(marks, n)
-        by_key = np.lexsort((start, doc, key))
-        groups = _runs(key[by_key])
-        lead = np.empty(len(key), np.int64)
-        lead[by_key] = np.repeat(by_key[groups], np.diff(np.append(groups, len(key))))
-        at = np.flatnonzero(doc[lead] < doc)
-        at = at[np.lexsort((start[at], mark[at], doc[at]))]
-        if len(at):
-            step = np.arange(len(at))
-            r = _runs(doc[at], mark[at], start[at] - step, doc[lead[at]], start[lead[at]] - step)
-            found.append((doc[at][r], mark[at][r], start[at][r], np.diff(np.append(r, len(at))), doc[lead[at]][r], start[lead[at]][r]))
+        run = np.repeat(np.arange(len(n)), n)
+        start = np.concatenate(list(rows["start"]))[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        seed = np.concatenate(list(rows["seed"]))[run]
+        fine = np.concatenate(list(rows["prints"]))
+        doc = ids[run]
+        # windows of equal words next to each other, the smallest document first
+        by_key = np.lexsort((start, doc, fine, seed))
+        groups = _runs(seed[by_key], fine[by_key])
+        times = np.diff(np.append(groups, len(by_key)))
+        lead, code = np.empty(len(by_key), np.int64), np.empty(len(by_key), np.int64)
+        lead[by_key], code[by_key] = np.repeat(by_key[groups], times), np.repeat(np.arange(len(groups)), times)
+        begin, source, long = _greedy(code, lead, doc[lead] < doc, run)
+        if len(begin):
+            found.append((doc[begin], marks[run[begin]], start[begin], long, doc[source], start[source]))
     columns = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(6)]
     columns[3] = columns[3] + (width - 1)
     return pd.DataFrame(dict(zip(("doc_id", "mark", "start", "n_words", "ref_doc", "ref_start"), columns, strict=True)))
@@ -143,43 +197,60 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, blocks: int | None = None) -> DataFrame:
-    """Factors of ``width`` words or more: ``doc_id, mark, start, n_words, ref_doc, ref_start``.
+    """Factors of ``width`` words or more, by block: ``doc_id, mark, start, n_words, ref_doc, ref_start``.
 
     Words ``start`` to ``start + n_words`` of the document are those from ``ref_start`` of document ``ref_doc``, whose id is
     smaller.  ``mark`` is xxhash64 of the text.  ``blocks`` (four for each shuffle partition unless given) only spreads the
-    work.  Every repeated window lies in a factor, but its source need not be the smallest document that holds it.
+    work.  Every repeated window lies in a factor, but its source need not be the smallest document that holds it.  Windows
+    are equal if 96 bits of hash are: among 1e13 windows fewer than one in a thousand runs meets a false one.  Runs a job on the
+    sample when called.
 
     Null ids take no part; null and empty texts, and texts of fewer than ``width`` words, have no factors.  Rows with one id
     aren't compared with each other.  Other columns may have any name.
     """
     n_blocks = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _marked(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = rows.mapInArrow(lambda it: _index(it, width, n_blocks), _BLOCK_ROW)
+    spread = frequent_seeds(rows, width, n_blocks)
+    windows = rows.mapInArrow(lambda it: _index(it, width, n_blocks, spread), _BLOCK_ROW)
     return windows.groupBy("block").applyInPandas(lambda g: _parse(g, width), _FACTOR)
 
 
-def _covered(text: str | None, spans: list | None) -> tuple[list[bytes], np.ndarray]:
-    words = words_of(text)
-    gone = np.zeros(len(words) + 1, np.int64)
-    for s in spans or ():
-        gone[s["start"]] += 1
-        gone[s["start"] + s["n_words"]] -= 1
-    return words, np.cumsum(gone[:-1]) > 0
+def chained(spans: list, width: int) -> list[list[int]]:
+    """``start, n_words, ref_doc, ref_start`` of a document's factors in order, those joined that go on along one source.
+
+    The window behind a factor's last one lies in another block; if that holds it, its factor begins there.
+    """
+    out: list[list[int]] = []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["n_words"])):
+        last = out[-1] if out else None
+        if last and s["ref_doc"] == last[2] and s["ref_start"] - s["start"] == last[3] - last[0] and s["start"] <= last[0] + last[1] - width + 1:
+            last[1] = max(last[1], s["start"] + s["n_words"] - last[0])
+        else:
+            out.append([s["start"], s["n_words"], s["ref_doc"], s["ref_start"]])
+    return out
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for rows in pieces(batches):
-        n_words, n_removed, kept = [], [], []
+        n_words, n_removed, n_factors, kept = [], [], [], []
         for text, spans in zip(rows["text"], rows["spans"], strict=True):
-            words, gone = _covered(text, spans)
+            words, parsed = words_of(text), chained(spans or [], width)
+            stay, end, gone = [], 0, 0
+            for start, n, *_ in parsed:
+                if start + n > end:
+                    stay += words[end:start]
+                    gone += start + n - max(start, end)
+                    end = start + n
+            stay += words[end:]
             n_words.append(len(words))
-            n_removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x] if n_removed[-1] else words).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            n_removed.append(gone)
+            n_factors.append(len(parsed))
+            kept.append(b" ".join(stay).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), *[pa.array(x, pa.int64()) for x in (n_words, n_removed, n_factors)], pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "n_factors", "kept"])
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, blocks: int | None = None) -> DataFrame:
-    """Texts without the words of repeated passages: ``doc_id, n_words, n_removed, kept``, one row for each row of ``docs``.
+    """Texts without the words of repeated passages: ``doc_id, n_words, n_removed, n_factors, kept``, a row for each of ``docs``.
 
     A word goes if a window of ``width`` consecutive words covers it whose words also start somewhere in a document with a
     smaller id; windows are judged on the input.  ``kept`` joins the remaining words by one space.
@@ -188,5 +259,5 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keep what only they repeat of each other; an empty table gives an empty result.
     """
     rows = _marked(docs, id_col, text_col)
-    spans = factors(docs, id_col=id_col, text_col=text_col, width=width, blocks=blocks).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    return rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    spans = factors(docs, id_col=id_col, text_col=text_col, width=width, blocks=blocks).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n_words", "ref_doc", "ref_start")).alias("spans"))
+    return rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _keep(it, width), "doc_id bigint, n_words bigint, n_removed bigint, n_factors bigint, kept string")
