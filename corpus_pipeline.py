@@ -19,19 +19,28 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for the highest grade; all of them if no model can be fitted."""
+    """Documents that the classifier takes for the highest grade; all of them if no model can be fitted.
+
+    Rows are judged by their texts alone: null ids and repeated rows are of no effect, a null text is graded as an empty one.
+    """
     model = quality.fit(docs, ratings(spark, sf_dir))
     return docs if model is None else docs.where(quality.tail_of(model)(F.col("text")) >= LEAST_TAIL)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; a document of which no line is left goes."""
+    """Texts without repeated lines; a document of which no line is left goes.
+
+    Null texts and rows with a null id stay as they are; repeated rows are treated alike.
+    """
     out = line_dedup.line_dedup(docs)
     return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; rows with a null id stay."""
+    """The document with the smallest id of each near-duplicate class; rows with a null id stay.
+
+    Rows without words are classes of their own; of rows that share the id of a class all stay.
+    """
     classes = near_dedup.near_duplicates(docs)
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
@@ -39,19 +48,25 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; of a pass that ends inside a document, the words that it takes."""
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0").distinct()
+    """Each document as often as the mix takes it; of a pass that ends inside a document, the words that it takes.
+
+    Every row takes the words that the mix promises it, whatever its id or text shares with others; rows without words,
+    and so null and empty texts, are never taken.
+    """
+    size, taken, text = F.col("size"), F.col("taken"), F.col("row.text")
+    mixed = mixing.mix_rows(docs).where(taken > 0)
+    passes = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(taken / size))).alias("pass")
+    rows = mixed.select("row", "size", "taken", passes)
     # a text is cut behind its last word taken; whole passes keep it unchanged
-    passes = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("__taken") / F.col("__size"))))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & (mixing.n_words(docs["text"]) == F.col("__size"))).withColumn("__pass", passes)
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__pass") - 1) * F.col("__size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    text = F.when(words < F.col("__size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    words = F.least(size, taken - (F.col("pass") - 1) * size)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), "")
+    shown = rows.select("row", F.when(words < size, cut).otherwise(text).alias("shown"))
+    new = {"text": F.col("shown"), "n_chars": F.length("shown").cast(docs.schema["n_chars"].dataType)}
+    return shown.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: ``doc_id, ids``."""
+    """Token ids of each document: ``doc_id, ids``, one row for each row; none for null and empty texts."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
