@@ -3,7 +3,8 @@
 Known forms are found by pattern.  Besides, every long run of encoding characters is tested, and so are the long segments of
 it between slashes, and between slashes, underscores and hyphens: the encoding of each is inferred, and under that alphabet a chi-squared test of uniformity, a runs test and a serial-correlation test must all accept
 randomness.  Whether it may be ordinary text is judged by its likelihood ratio against a reference for text; exp(-ratio)
-bounds that probability, falls with length, and a step-up over all runs and segments of the table controls the false discoveries.
+bounds that probability, falls with length, and a step-up over all runs and segments of the table controls the false discoveries
+among those that the battery accepts.  A long run is tested in pieces, whose scores are added up.
 
 Both passes read the texts alone; only counts by ratio are shuffled, at most RATIO_BINS + 1 for each task.
 """
@@ -55,7 +56,10 @@ TEXT_SHARES = {"lower": 0.90, "upper": 0.05, "digit": 0.03, "mark": 0.02}
 RATIO_BINS = 400
 #: Bounds of the three tests' normal scores at a joint level of one in a hundred.
 MOST_CHI, MOST_RUNS, MOST_SERIAL = 2.71, 2.94, 2.94
-
+#: Characters of a piece; the last one of a run has up to twice as many.
+PIECE = 4096
+#: Elements that are summed up one by one.
+BLOCK = 128
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _MATCHES = "array<struct<start:int,end:int,value:string>>"
@@ -71,17 +75,30 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
 
     def located(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["between"], i))
-            end = start + F.length(F.get(x["m"], i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(x["v"], i).alias("value")))).alias("out"))
+        steps = F.transform(x["m"], lambda m, i: F.length(m) + F.length(F.get(x["between"], i)))
+
+        def match(before: Column, i: Column) -> Column:
+            start = before + F.length(F.get(x["between"], i))
+            return F.struct(start.alias("start"), (start + F.length(F.get(x["m"], i))).alias("end"), F.get(x["v"], i).alias("value"))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), first, step, lambda acc: acc["out"])
+        return F.transform(_let(steps, lambda s: _before(s)), match)
 
     return F.when(text.rlike(pattern), _let(parts, located)).otherwise(F.array().cast(_MATCHES))
 
 
+def _before(values: Column, levels: int = 2) -> Column:
+    """Sum of the values in front of each; blocks are summed up first, then the blocks' sums likewise, so the work is linear."""
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    if not levels:
+        return F.aggregate(values, first, step, lambda acc: acc["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), first, step))
+    return _let(blocks, lambda k: F.flatten(F.zip_with(k, _let(F.transform(k, lambda x: x["at"]), lambda sums: _before(sums, levels - 1)), lambda x, start: F.transform(x["out"], lambda v: v + start))))
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     """Spans of one kind; with ``least``, of the matches whose second group has as many characters."""
     found = _matches(text, pattern, 2 if least else 0)
@@ -137,7 +154,7 @@ def _run_score(values: Column, n: Column, k: Column) -> Column:
     ones = _total(values, lambda v: (v >= k / 2).cast("double"))
     return _let(
         F.struct(runs.alias("runs"), (2 * ones * (n - ones) / n + 1).alias("mean")),
-        lambda x: F.when(x["mean"] > 2, F.abs(x["runs"] - x["mean"]) / F.sqrt((x["mean"] - 1) * (x["mean"] - 2) / (n - 1))).otherwise(F.lit(1e9)),
+        lambda x: F.when(x["mean"] > 2, (x["runs"] - x["mean"]) / F.sqrt((x["mean"] - 1) * (x["mean"] - 2) / (n - 1))).otherwise(F.lit(1e9)),
     )
 
 
@@ -145,7 +162,7 @@ def _serial_score(values: Column, n: Column) -> Column:
     """Normal score of the correlation between neighbours."""
 
     def about(mean: Column) -> Column:
-        return _let(_total(values, lambda v: (v - mean) * (v - mean)), lambda spread: F.when(spread > 0, F.abs(_steps(values, lambda a, b: (a - mean) * (b - mean)) / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(1e9)))
+        return _let(_total(values, lambda v: (v - mean) * (v - mean)), lambda spread: F.when(spread > 0, (_steps(values, lambda a, b: (a - mean) * (b - mean)) / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(1e9)))
 
     return _let(_total(values) / n, about)
 
@@ -161,17 +178,26 @@ def _tested(t: Column) -> Column:
     for pattern, letters in reversed(LETTERS):
         alphabet = F.when(t.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
 
-    def battery(x: Column) -> Column:
-        n, k, values = x["n"], x["k"], x["values"]
-        random = (_chi_score(x["t"], x["alphabet"], n, k) <= MOST_CHI) & (_run_score(values, n, k) <= MOST_RUNS) & (_serial_score(values, n) <= MOST_SERIAL)
+    def scores(x: Column, n: Column, k: Column) -> Column:
+        values = x["values"]
         ratio = F.when(x["t"].rlike("^[A-Za-z]+$"), _letters_ratio(x["t"], values, n, k)).otherwise(_text_ratio(x["t"], n, k))
-        return F.struct(ratio.alias("ratio"), random.alias("random"))
+        return F.struct(_chi_score(x["t"], x["alphabet"], n, k).alias("chi"), _run_score(values, n, k).alias("runs"), _serial_score(values, n).alias("serial"), ratio.alias("ratio"))
+
+    def measured(t: Column, alphabet: Column) -> Column:
+        values = F.transform(F.split(t, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
+        parts = F.struct(t.alias("t"), alphabet.alias("alphabet"), F.length(t).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"), values.alias("values"))
+        return _let(parts, lambda x: scores(x, x["n"], x["k"]))
+
+    def battery(pieces: Column) -> Column:
+        even = F.sqrt(F.size(pieces).cast("double"))  # the sum of m normal scores has m times their variance
+        random = (_total(pieces, lambda p: p["chi"]) / even <= MOST_CHI) & (F.abs(_total(pieces, lambda p: p["runs"])) / even <= MOST_RUNS) & (F.abs(_total(pieces, lambda p: p["serial"])) / even <= MOST_SERIAL)
+        return F.struct(_total(pieces, lambda p: p["ratio"]).alias("ratio"), random.alias("random"))
 
-    def measured(x: Column) -> Column:
-        values = F.transform(F.split(x["t"], ""), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
-        return F.struct(x["t"].alias("t"), x["alphabet"].alias("alphabet"), F.length(x["t"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), values.alias("values"))
+    def in_pieces(x: Column) -> Column:
+        cut = F.when(F.length(x["t"]) < 2 * PIECE, F.array(x["t"])).otherwise(F.regexp_extract_all(x["t"], F.lit(f".{{{PIECE}}}(?=.{{{PIECE}}})|.+"), F.lit(0)))
+        return _let(F.transform(cut, lambda p: measured(p, x["alphabet"])), battery)
 
-    tested = _let(F.struct(t.alias("t"), alphabet.alias("alphabet")), lambda x: _let(measured(x), battery))
+    tested = _let(F.struct(t.alias("t"), alphabet.alias("alphabet")), in_pieces)
     return F.when(t.rlike("[A-Za-z]"), tested).otherwise(F.struct(F.lit(-1.0).alias("ratio"), F.lit(False).alias("random")))
 
 
@@ -186,11 +212,12 @@ def tested_runs(text: Column) -> Column:
 def least_ratio(docs: DataFrame, text_col: str = "text", false_discoveries: float = 0.01) -> DataFrame:
     """One row ``least``: the smallest ratio whose step-up bound holds; null if none does.
 
-    Ratios are counted in bins of one nat, so the counts that are gathered don't grow with the table.
+    Of all that is tested, the runs and segments that the battery accepts with this ratio or more are the discoveries.  They
+    are counted in bins of one nat, so the counts that are gathered don't grow with the table.
     """
-    ratios = docs.where(F.col(text_col).rlike(RUN)).select(F.explode(tested_runs(F.col(text_col))).alias("r")).select(F.least(F.greatest(F.floor("r.t.ratio"), F.lit(0)), F.lit(RATIO_BINS)).alias("bin"))
-    bins = ratios.groupBy("bin").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.col("bin").desc()))
+    ratios = docs.where(F.col(text_col).rlike(RUN)).select(F.explode(tested_runs(F.col(text_col))).alias("r")).select(F.least(F.greatest(F.floor("r.t.ratio"), F.lit(0)), F.lit(RATIO_BINS)).alias("bin"), F.col("r.t.random").cast("bigint").alias("random"))
+    bins = ratios.groupBy("bin").agg(F.count("*").alias("n"), F.sum("random").alias("accepted"))
+    above = F.sum("accepted").over(Window.orderBy(F.col("bin").desc()))
     return bins.select("bin", above.alias("above"), F.sum("n").over(Window.partitionBy()).alias("all")).where((F.col("bin") > 0) & (F.col("all") * F.exp(-F.col("bin")) <= false_discoveries * F.col("above"))).agg(F.min("bin").cast("double").alias("least"))
 
 
