@@ -126,21 +126,26 @@ def fit_flat(flat: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades:
     return OrdinalModel(w[:size], np.concatenate([first, first + np.cumsum(np.exp(gaps))]), bits)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _slots(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
     for rows in pieces(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(rows["grade"], pa.int32()), pa.array([features(t, bits) for t in rows["text"]], pa.list_(pa.int32()))], names=["grade", "slots"])
+        # of a text with more slots those of the smallest hash stand for it
+        slots = [sorted(sorted(own, key=lambda s: s * 0x9E3779B1 & 0xFFFFFFFF)[:most]) if len(own) > most else own for own in (features(t, bits) for t in rows["text"])]
+        yield pa.RecordBatch.from_arrays([pa.array(rows["grade"], pa.int32()), pa.array(slots, pa.list_(pa.int32()))], names=["grade", "slots"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, bits: int = 18, most_labels: int = 20000) -> OrdinalModel | None:
+def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, bits: int = 18, most_labels: int = 20000, most_slots: int = 4096) -> OrdinalModel | None:
     """Fit on ``ratings(id, grade)`` with grades from 0 to ``n_grades - 1``.
 
-    At most ``most_labels`` rated rows take part, those with the smallest hash of their id: that bounds what the driver
-    holds and what is broadcast to find their texts.  Null ids and null or foreign grades are left out.  Without two grades
-    there is no model, and the result is None.
+    At most ``most_labels`` rated ids take part, those with the smallest hash, and ``most_slots`` hashed slots of each: that
+    bounds what the driver holds and what is broadcast to find their texts.  Scoring takes all slots of whole texts.  An id
+    that is rated several times has its lowest grade; of rows that share it, one text takes part.  Null ids and null or foreign
+    grades are left out.  Without two grades there is no model, and the result is None.
     """
-    rated = ratings.select(F.col(id_col).alias("__id"), F.col("grade").cast("int").alias("grade")).where(F.col("__id").isNotNull() & F.col("grade").between(0, n_grades - 1)).orderBy(F.xxhash64("__id"), "__id", "grade").limit(most_labels)
+    usable = ratings.select(F.col(id_col).alias("__id"), F.col("grade").cast("int").alias("grade")).where(F.col("__id").isNotNull() & F.col("grade").between(0, n_grades - 1))
+    rated = usable.groupBy("__id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("__id"), "__id").limit(most_labels)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select("grade", "text").mapInArrow(lambda it: _slots(it, bits), "grade int, slots array<int>").toArrow()
+    own = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).groupBy("__id", "grade").agg(F.min("text").alias("text"))
+    rows = own.select("grade", "text").mapInArrow(lambda it: _slots(it, bits, most_slots), "grade int, slots array<int>").toArrow()
     grades, slots = rows["grade"].to_numpy().astype(np.int64), rows["slots"].combine_chunks()
     if len(np.unique(grades)) < 2:
         return None
