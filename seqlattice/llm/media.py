@@ -83,6 +83,14 @@ def feature(payload: bytes) -> str:
     return f"{','.join(map(str, bins))};{int(pixels.sum())};{steps}"
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI or path; s3a:// names the same store as s3://."""
+    try:
+        return pafs.FileSystem.from_uri("s3://" + uri[6:] if uri.startswith("s3a://") else uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"{uri}: archives need a path, or a URI of one of the schemes file, hdfs, viewfs, s3, s3a, gs, abfs and abfss") from e
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     archives: list[tuple[str, int]]
@@ -102,7 +110,7 @@ class _Writer(DataSourceArrowWriter):
         self.uri, self.archive_bytes = uri, archive_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        fs, folder = pafs.FileSystem.from_uri(self.uri)
+        fs, folder = file_system(self.uri)
         fs.create_dir(folder)
         done: list[tuple[str, int]] = []
         out = archive = None
@@ -125,7 +133,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(done)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        fs, folder = pafs.FileSystem.from_uri(self.uri)
+        fs, folder = file_system(self.uri)
         fs.create_dir(folder)
         with fs.open_output_stream(f"{folder}/{_LIST}") as f:
             f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
@@ -139,7 +147,7 @@ class _Reader(DataSourceReader):
         self.uri, self.range_bytes, self.attempts = uri, range_bytes, attempts
 
     def partitions(self) -> list[ByteRange]:
-        fs, folder = pafs.FileSystem.from_uri(self.uri)
+        fs, folder = file_system(self.uri)
         with fs.open_input_stream(f"{folder}/{_LIST}") as f:
             archives = json.loads(f.read())
         return [ByteRange(path, start, min(start + self.range_bytes, size)) for path, size in archives for start in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
@@ -147,13 +155,13 @@ class _Reader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        fs, folder = pafs.FileSystem.from_uri(self.uri)
+        fs, folder = file_system(self.uri)
         path = f"{folder}/{part.path}"
         with fs.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
             members = sorted((i.header_offset, i.filename, i.file_size) for i in archive.infolist() if part.start <= i.header_offset < part.end)
-        rows, size = [], 0
+        rows, size, file = [], 0, None
         for offset, name, length in members:
-            image, error = self._member(fs, path, offset, length)
+            image, error, file = self._member(fs, path, offset, length, file)
             rows.append((part.path, offset, name, image, error))
             size += length
             if size > 4_000_000:
@@ -162,23 +170,23 @@ class _Reader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
-    def _member(self, fs: pafs.FileSystem, path: str, offset: int, length: int) -> tuple[bytes | None, str | None]:
-        """One member by its offset; a failure is tried again, and reported after the last attempt."""
+    def _member(self, fs: pafs.FileSystem, path: str, offset: int, length: int, file: pa.NativeFile | None) -> tuple[bytes | None, str | None, pa.NativeFile | None]:
+        """One member by its offset, and the open file; a failure is tried again on a file opened anew, and reported at last."""
         error = None
         for attempt in range(self.attempts):
             try:
-                with fs.open_input_file(path) as f:
-                    head = f.read_at(30, offset)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member starts here")
-                    name, extra = struct.unpack("<HH", head[26:30])
-                    image = f.read_at(length, offset + 30 + name + extra)
+                file = file or fs.open_input_file(path)
+                head = file.read_at(30, offset)
+                if head[:4] != b"PK\x03\x04":
+                    raise ValueError("no member starts here")
+                name, extra = struct.unpack("<HH", head[26:30])
+                image = file.read_at(length, offset + 30 + name + extra)
                 from_png(image)
-                return image, None
+                return image, None, file
             except (OSError, ValueError, zlib.error, struct.error) as e:
-                error = f"{type(e).__name__}: {e}"
+                error, file = f"{type(e).__name__}: {e}", None
                 time.sleep(0.05 * attempt)
-        return None, error
+        return None, error, file
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
