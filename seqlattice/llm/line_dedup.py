@@ -54,24 +54,21 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A null text has no lines and stays null; texts of fewer than ``width`` lines, and rows with a null id, stay whole; of
     exactly repeated rows (same id and text) all are treated alike.  An existing column of a result's name is replaced.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    on = (F.col(id_col).cast("bigint") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
-    text = F.col(text_col)
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    text = F.col("text")
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
     def without(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
     kept = F.element_at(F.transform(F.array(_lines(text)), without), 1)
-    return (
-        docs.join(gone, on, "left")
-        .withColumns(
-            {
-                "n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
-                "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"),
-                text_col: F.when(F.col("__gone").isNull(), text).otherwise(kept),
-            }
-        )
-        .drop("__id", "__mark", "__gone")
-    )
+    new = {
+        text_col: F.when(F.col("gone").isNull(), text).otherwise(kept),
+        "n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
+    }
+    joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    old = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c == text_col]
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in old], *[new[c].alias(c) for c in ("n_lines", "n_removed")])

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder under the local temporary one is set only where the cluster names none, as in tests on one machine.
+    Where none is named, a temporary folder is made on one machine (``local`` masters), as in tests; a cluster must name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="seqlattice-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
