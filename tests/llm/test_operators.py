@@ -1,7 +1,10 @@
 """Every pipeline operator against a plain restatement of what it computes."""
 
 import hashlib
+import math
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -76,6 +79,65 @@ def test_secret_spans_of_known_forms(spark, docs, texts):
             assert [s for s in got[i]["spans"] if s["kind"] != 3] == got[i]["base"]
 
 
+def plain_test(t):
+    """Log likelihood ratio and verdict of the battery for one run of fewer than two pieces."""
+    if not re.search("[A-Za-z]", t):
+        return -1.0, False
+    alphabet = next(a for p, a in (*secrets.LETTERS, *secrets.ENCODINGS) if re.fullmatch(p, t))
+    n, k = len(t), len(alphabet)
+    values = [alphabet.find(c) for c in t]
+    df = k - 1
+    chi = max(sum(t.count(a) ** 2 for a in alphabet) * k / n - n, 0)
+    chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [v >= k / 2 for v in values]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean = 2 * ones * (n - ones) / n + 1
+    runs = (runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)) if mean > 2 else 1e9
+    centre = sum(values) / n
+    spread = sum((v - centre) ** 2 for v in values)
+    serial = (sum((a - centre) * (b - centre) for a, b in zip(values, values[1:], strict=False)) / spread + 1 / n) * math.sqrt(n) if spread else 1e9
+    lower, upper, digits = (sum(c in part for c in t) for part in (secrets._LOWER, secrets._UPPER, secrets._DIGITS))
+    if lower + upper == n:
+        ratio = -n * math.log(k) - sum(math.log(secrets.LETTER_SHARES[v % 26] / sum(secrets.LETTER_SHARES)) for v in values)
+        ratio -= upper * math.log(secrets.CAPITALS) + lower * math.log(1 - secrets.CAPITALS) if k > 26 else 0
+    else:
+        shares = secrets.TEXT_SHARES
+        ratio = -n * math.log(k) - sum(c * math.log(shares[name] / size) for c, name, size in ((lower, "lower", 26), (upper, "upper", 26), (digits, "digit", 10), (n - lower - upper - digits, "mark", 4)))
+    return ratio, chi <= secrets.MOST_CHI and abs(runs) <= secrets.MOST_RUNS and abs(serial) <= secrets.MOST_SERIAL
+
+
+def plain_random(texts, level=0.01):
+    """Spans that the battery and the step-up over all texts add, for each text."""
+    tested = {i: {m.span(): plain_test(re.sub("(?<=.)=+$", "", m[0])) for p in (secrets.RUN, *secrets.SEGMENTS) for m in re.finditer(p, t or "")} for i, t in texts.items()}
+    everything = [x for own in tested.values() for x in own.values()]
+    bins = [min(max(math.floor(r), 0), secrets.RATIO_BINS) for r, _ in everything]
+    ok = [b for b, (_, random) in zip(bins, everything, strict=True) if random]
+    least = min((b for b in set(bins) if b > 0 and len(bins) * math.exp(-b) <= level * sum(x >= b for x in ok)), default=math.inf)
+    out = {}
+    for i, own in tested.items():
+        base = plain_secrets(texts[i])
+        passed = [span for span, (ratio, random) in own.items() if random and ratio >= least and not any(a < span[1] and span[0] < z for a, _, z in base)]
+        out[i] = sorted(s for s in passed if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in passed))
+    return out
+
+
+def test_random_spans_of_table(spark, docs, texts):
+    rng = np.random.default_rng(9)
+    made = [f"k {name}{''.join(rng.choice(list(of), n))} e" for name in ("", "id=", "/a/bb/") for _, of in (*secrets.ENCODINGS, *secrets.LETTERS) for n in (24, 40, 300)]
+    for df, want in ((docs, texts), (documents(spark, made), dict(enumerate(made)))):
+        got = by_id(secrets.secret_spans(df))
+        assert {i: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for i, r in got.items()} == plain_random(want)
+
+
+def test_secret_scan_takes_long_texts(spark):
+    rng = np.random.default_rng(10)
+    long = "".join(rng.choice(list(secrets.ENCODINGS[5][1]), 3 * secrets.PIECE + 100))
+    many = " ".join("".join(rng.choice(list("0123456789abcdef"), 24)) for _ in range(3000))
+    got = by_id(secrets.secret_spans(documents(spark, [f"x {long} y", f"x {'words of a text ' * 2000}", many])))
+    assert [(s["start"], s["end"]) for s in got[0]["spans"]] == [(2, 2 + len(long))] and not got[1]["spans"]
+    assert [(s["start"], s["kind"], s["end"]) for s in got[2]["base"]] == plain_secrets(many) and len(got[2]["base"]) == 3000
+
+
 def test_secret_scan_finds_random_runs_only(spark):
     rng = np.random.default_rng(5)
     letters = np.array(list(secrets.ENCODINGS[5][1]))
@@ -118,6 +180,12 @@ def test_media_round_trip(spark, docs, texts):
             payload = raw.ljust(n)
             assert (got[i]["n_bytes"], got[i]["payload_bytes"]) == (len(raw), n)
             assert got[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+            assert got[i]["tail_crc32"] == zlib.crc32(payload[-16:])
+            image = media.to_png(payload)
+            assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+            lines = [payload[k : k + 192] for k in range(0, n, 192)]
+            bins = ",".join(str(sum(b // 32 == k for b in payload)) for k in range(8))
+            assert got[i]["feature"] == f"{bins};{sum(payload)};{sum(abs(a - b) for x in lines for a, b in zip(x, x[1:], strict=False))}"
             assert got[i]["error"] is None
 
 
@@ -164,6 +232,42 @@ def test_quality_without_labels_and_odd_texts(spark):
     assert len(rows) == len(ODD) and all(0 <= r.tail_probability <= 1 for r in rows)
 
 
+def test_quality_takes_one_row_of_each_rated_id(spark):
+    docs = documents(spark, ["good text here", "bad bad bad"] * 40, ids=[1, 2] * 40)
+    rated = spark.createDataFrame([(1, 2), (1, 2), (2, 0), (2, 1)], "doc_id bigint, grade int")
+    seen = []
+    fit = quality.fit_flat
+    quality.fit_flat = lambda flat, counts, grades, *rest, **more: seen.append((counts.tolist(), grades.tolist())) or fit(flat, counts, grades, *rest, **more)
+    try:
+        quality.fit(docs, rated, most_slots=5)
+    finally:
+        quality.fit_flat = fit
+    assert [sorted(x) for x in seen[0]] == [[5, 5], [0, 2]]
+
+
+def test_ordinal_fit_is_the_likelihood_maximum():
+    """Against plain descent on the same likelihood, without penalty, over two features."""
+    rng = np.random.default_rng(14)
+    slots = [np.array([s for s in range(3) if rng.random() < 0.5]) for _ in range(400)]
+    grades = np.array([int(np.clip(len(s) + rng.integers(-1, 2), 0, 3)) for s in slots])
+    model = quality.fit_rows(slots, grades, 4, 2, balance=0.0, penalty=0.0, steps=2000)
+    x = np.array([[k in s for k in range(3)] for s in slots], float)
+
+    def loss(p):
+        theta = np.concatenate([p[3:4], p[3] + np.cumsum(np.exp(p[4:]))])
+        cdf = np.hstack([np.ones((400, 1)), 1 / (1 + np.exp(theta[None] - (x @ p[:3])[:, None])), np.zeros((400, 1))])
+        return -np.mean(np.log(cdf[np.arange(400), grades] - cdf[np.arange(400), grades + 1]))
+
+    p = np.zeros(6)
+    p[3] = -1
+    for _ in range(4000):
+        slope = np.array([(loss(p + 1e-5 * e) - loss(p - 1e-5 * e)) / 2e-5 for e in np.eye(6)])
+        p -= 0.5 * slope
+    found = np.concatenate([model.weights[:3], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert loss(found) == pytest.approx(loss(p), abs=1e-3)
+    assert found[:3] == pytest.approx(p[:3], abs=0.1)
+
+
 def test_ordinal_thresholds_rise():
     rng = np.random.default_rng(1)
     slots = [rng.integers(0, 64, 5) for _ in range(300)]
@@ -191,13 +295,13 @@ def test_top_k(spark, small):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     want = plain_top_k({r.vec_id: r.embedding for r in df.collect()}, 50, 5)
     assert sorted(map(tuple, topk.exact_top_k(df).collect())) == want
-    assert sorted(map(tuple, topk.exact_top_k(df, shards=1).collect())) == want
+    assert sorted(map(tuple, topk.exact_top_k(df, centres=1).collect())) == want
 
 
 def test_top_k_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(12)] + [(50, [1.0, 1.0]), (100, [None, 1.0]), (101, None), (102, [float("nan"), 0.0]), (None, [9.0, 9.0]), (103, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    assert sorted(map(tuple, topk.exact_top_k(df, shards=3).collect())) == plain_top_k(dict(rows), 50, 5)
+    assert sorted(map(tuple, topk.exact_top_k(df, centres=3).collect())) == plain_top_k(dict(rows), 50, 5)
     few = df.where("vec_id in (0, 1)")
     assert sorted(map(tuple, topk.exact_top_k(few).collect())) == plain_top_k(dict(rows[:2]), 50, 5)
     assert topk.exact_top_k(df.limit(0)).count() == 0
@@ -205,6 +309,38 @@ def test_top_k_ties_and_odd_vectors(spark):
     assert sorted(map(tuple, topk.exact_top_k(large).collect())) == plain_top_k({r.vec_id: r.embedding for r in large.collect()}, 50, 5)
 
 
+def test_top_k_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 5)
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=6) + 8 * rng.integers(0, 3, 6)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.exact_top_k(df, centres=4).collect())) == plain_top_k(dict(rows), 50, 5)
+
+
+def test_top_k_shared_ids_lengths_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (0, [3.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (50, [2.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(df).collect()))
+    unit = 65536
+    assert got == sorted([(0, 1, 0, 5 * unit), (0, 2, 0, 5 * unit), (0, 3, 1, 3 * unit), *[(0, 1, 0, 10 * unit), (0, 2, 0, 5 * unit), (0, 3, 1, 4 * unit)] * 2, (50, 1, 2, 5 * unit)])
+    large = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [-3e17, 5.0]), (3, [1e300, 0.0]), (4, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
+    top = 2**63 - 1
+    assert sorted(map(tuple, topk.exact_top_k(large).collect())) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 2 * unit), (0, 4, 2, -top)]
+
+
+def test_ball_tree_prunes():
+    rng = np.random.default_rng(13)
+    rows = (rng.normal(size=(4000, 8)) * 20 + 400 * rng.integers(-2, 3, (4000, 8))).astype(np.int64)
+    tree = topk.BallTree(np.arange(4000), rows)
+    bounds = tree.bounds(rows[:50])
+    for i in range(50):
+        got = tree.search(i, rows[i], bounds[i], 5, -np.inf)
+        want = sorted(((int(s), -j) for j, s in enumerate(rows @ rows[i]) if j != i), reverse=True)[:5]
+        assert sorted(got, reverse=True) == want
+    assert tree.visited < 0.4 * 50 * sum(c is None for c in tree.children)
+
+
 # --- substring dedup
 
 
@@ -243,6 +379,35 @@ def test_substring_factors_point_at_their_source(docs, texts):
         assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.ref_doc][r.ref_start : r.ref_start + r.n_words]
 
 
+def test_substring_factors_are_greedy(spark):
+    """A passage copied from one document is one factor, one that turns to another source half way is two."""
+    rng = np.random.default_rng(11)
+    a, b = ([f"{x}{n}" for n in rng.integers(0, 10**6, 120)] for x in "ab")
+    made = [" ".join(a), " ".join(b), " ".join(["x", *a[10:100], "y"]), " ".join([*a[:40], *b[50:90]]), " ".join(a[:30] + ["z"] + a[30:60]), " ".join(b[5:17])]
+    got = by_id(substring_dedup.substring_dedup(documents(spark, made), blocks=5))
+    assert [got[i]["n_factors"] for i in range(6)] == [0, 0, 1, 2, 2, 0]
+    code, lead = np.array([0, 1, 2, 3, 0, 1, 9, 3, 0, 1, 2]), np.array([0, 1, 2, 3, 0, 1, 6, 3, 0, 1, 2])
+    run = np.array([0] * 4 + [1] * 4 + [2] * 3)
+    begin, source, long = substring_dedup._greedy(code, lead, np.array([False] * 4 + [True, True, False, True] + [True] * 3), run)
+    assert sorted(zip(begin.tolist(), source.tolist(), long.tolist(), strict=True)) == [(4, 0, 2), (7, 3, 1), (8, 0, 3)]
+
+
+def test_substring_dedup_with_frequent_seeds(spark, docs, texts, monkeypatch):
+    words = WORD.findall(max((t for t in texts.values() if t), key=len))
+    hashes, _ = substring_dedup.word_hashes([" ".join(words)])
+    some = np.unique(substring_dedup._seeds(hashes, 13))[::2]
+    monkeypatch.setattr(substring_dedup, "frequent_seeds", lambda *_: some)
+    got = by_id(substring_dedup.substring_dedup(docs))
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == plain_substring_dedup(texts)
+
+
+def test_frequent_seeds(spark):
+    made = [f"one two three w{i} " * 40 for i in range(3000)]
+    rows = documents(spark, made).select("doc_id", "text")
+    assert 0 < len(substring_dedup.frequent_seeds(rows, 13, 16)) <= substring_dedup.MOST_SPREAD
+    assert not len(substring_dedup.frequent_seeds(rows.limit(0), 13, 16))
+
+
 def test_substring_dedup_repeated_rows(spark):
     passage = " ".join(f"p{i}" for i in range(15))
     df = documents(spark, [passage, passage, passage + " x", passage], ids=[1, 1, 1, None])
@@ -299,6 +464,38 @@ def test_html_region_is_where_the_text_is():
     assert html_text.main_text(f"<body><article>{text}</article><article class='comment depth-2'><p>{long}</p></article></body>") == want
 
 
+def test_html_names_of_wrappers_and_headlines():
+    long = ("A sentence of the text that goes on for quite some time. " * 6).strip()
+    text, want = f"<h1>Title</h1><p>{long}</p><p>Short one.</p><p>{long}</p>", f"Title\n{long}\nShort one.\n{long}"
+    for name in ("layout has-sidebar", "sidebar", "widget", "content menu"):
+        assert html_text.main_text(f"<body><div class='{name}'><nav><a href=x>Home</a></nav><div>{text}</div><div class='ads'>{long[:60]}</div></div></body>") == want, name
+    assert html_text.main_text(f"<body><form action=x><div>{text}</div><footer>all rights</footer></form></body>") == want
+    assert html_text.main_text(f"<article><div class='post-content menu-open'>{text}</div></article>") == want
+    for outer in ("article", "main"):
+        assert html_text.main_text(f"<{outer}><header class='entry-header'><h1>Title</h1></header><p>{long}</p><p>Short one.</p><p>{long}</p></{outer}>") == want
+    assert html_text.main_text(f"<body><div><div>{text}</div><div class='comments'>{f'<p>{long}</p>' * 9}</div></div></body>") == want
+
+
+def test_html_threshold_decides(monkeypatch):
+    long = ("A sentence of the text that goes on for quite some time. " * 6).strip()
+    items = "".join(f"<ul><li><span><i>Topic</i> <b>{i}</b></span></li></ul>" for i in range(30))
+    page = f"<body><div>{items}</div><div><h1>Title</h1><p>{long}</p><p>{long}</p></div></body>"
+    want = f"Title\n{long}\n{long}"
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert html_text.main_text(page) != want
+
+
+def test_html_broken_pages_take_linear_time():
+    def seconds(page):
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    for piece in ("<div>x", "<b>x", "<p><i>word", "<ul><li>x</b>", "<b><i>x</b></u>", "<nav><div>x", "<article><p>x"):
+        assert seconds(piece * 20000) < 12 * max(seconds(piece * 4000), 0.02), piece
+
+
 def test_html_articles_whole(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = by_id(html_text.extract_text(pages), "page_id")
@@ -547,7 +744,7 @@ def test_line_dedup_repeated_rows(spark):
 
 
 def test_further_columns_may_have_any_name(spark):
-    names = ["grade", "size", "taken", "target", "shard", "hash", "seats", "band", "node", "label", "spans", "mark", "pos", "w", "gone", "base", "runs", "least", "kept", "key_a", "ids", "name", "payload", "error", "id", "v", "rank", "score", "html", "url", "page_id"]
+    names = ["grade", "size", "taken", "target", "shard", "hash", "seats", "band", "node", "label", "spans", "mark", "pos", "w", "gone", "base", "runs", "least", "kept", "key_a", "ids", "name", "payload", "error", "id", "v", "rank", "score", "html", "url", "page_id", "__id", "__mark", "__gone", "__size", "__taken", "row", "digits", "cell", "fresh", "similarity", "x", "p"]
     plain = documents(spark, ["a\nb\nc d e f", None, "a\nb\nc d e f", "token=abcdef1"])
     wide = plain.withColumns({n: F.lit("clash") for n in names})
     rated = spark.createDataFrame([(0, 0), (3, 2)], "doc_id bigint, grade int")

@@ -68,6 +68,14 @@ def test_mix(stages):
         assert sum(g == words for g in got) == (taken[i] // len(words) if words else 0)
 
 
+def test_mix_gives_every_row_its_words(spark, small):
+    texts = ["a b c", "a b c", "d e f", None, "", "g h i j", "a b c", "x y", "k l m"]
+    docs = documents(spark, texts, sources=["s", "t", None], ids=[1, 1, 1, 2, 2, None, None, None, 3])
+    promised = sum(r.taken for r in mixing.mix_sources(docs).collect())
+    given = sum(len(WORD.findall(r.text)) for r in corpus_pipeline.mixing_stage(spark, docs, small).collect())
+    assert given == promised > 0
+
+
 def test_encoding(stages):
     from tokenizers import Tokenizer
 
