@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` by checkpoint() in ``spark.checkpoint.dir``; a local folder is set only where the cluster names none."""
+    """``df`` by checkpoint() in ``spark.checkpoint.dir``; a temporary folder is made on one machine alone, where none is named."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqlattice-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqlattice-"))
     return df.checkpoint()
