@@ -124,7 +124,7 @@ def masked_score(scored: DataFrame) -> DataFrame:
     return scored.select(F.col("key").cast("string").alias("key"), "truth", "flags", "pred").mapInArrow(run, "key string, n_opt_err bigint, n_opt_char bigint")
 
 
-def object_pairs(preds: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:
+def object_pairs(preds: DataFrame, letters: DataFrame, by: list[str], use_old: bool = False) -> DataFrame:
     """``by, key, pred, truth, flags, text, n_char``: each object's normalised prediction, its whole text with flags as in
     :func:`object_letters`, and its confident text as in :func:`confident_rows`.
 
@@ -132,7 +132,8 @@ def object_pairs(preds: DataFrame, letters: DataFrame, by: list[str]) -> DataFra
     truth, ``row_idx, pos, ch, conf``.
     """
     truth = object_letters(letters, by).join(confident_rows(letters, by), by, "left").fillna({"text": "", "n_char": 0})
-    pred = F.array_join(normalise(F.coalesce("pred", F.lit(""))), "\n")
+    given = F.coalesce("pred", F.lit(""))
+    pred = F.array_join(normalise(latin_swap(given) if use_old else given, use_old), "\n")
     pairs = truth.join(preds.select(*by, "pred"), by, "left").withColumns({"pred": pred, "key": F.concat_ws(":", *by)})
     # the distances take long for the size of the texts, so their tasks aren't put together by it
     return pairs.repartition(int(letters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
@@ -143,10 +144,12 @@ def confident_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("n_err", edits(F.col("pred"), F.col("text")).cast("bigint"))
 
 
-def object_scores(preds: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:
+def object_scores(preds: DataFrame, letters: DataFrame, by: list[str], use_old: bool = False) -> DataFrame:
     """``by`` and errors and characters of the three scores of each object of :func:`object_pairs`: ``n_err, n_char``
-    (confident letters only), ``n_all_err, n_all_char`` (all letters) and ``n_opt_err, n_opt_char`` (masked), line breaks counted."""
-    pairs = object_pairs(preds, letters, by)
+    (confident letters only), ``n_all_err, n_all_char`` (all letters) and ``n_opt_err, n_opt_char`` (masked), line breaks counted.
+
+    ``use_old`` converts predictions with the old map; the letters must be converted likewise."""
+    pairs = object_pairs(preds, letters, by, use_old)
     counted = all_letter_score(confident_score(pairs)).select(*by, "key", "n_err", "n_char", "n_all_err", "n_all_char")
     return counted.join(masked_score(pairs), "key").drop("key")
 

@@ -136,13 +136,14 @@ def visual_beam(lat: DataFrame, beam: int, keys: list[str] | None = None) -> Dat
     return out.select(*keys, F.col("rank").cast("bigint").alias("rank"), F.col("b.text").alias("text"), (-F.col("b.neg")).alias("score"))
 
 
-def language_beam(lat: DataFrame, ngrams: DataFrame, order: int, weight: float, beam: int, keys: list[str] | None = None, *, every: int = 4) -> DataFrame:
+def language_beam(lat: DataFrame, ngrams: DataFrame, order: int, weight: float, beam: int, keys: list[str] | None = None, *, by: list[str] | None = None) -> DataFrame:
     """``keys, rank, text, score`` of a beam whose steps add ``weight`` times the PPM log probability of the character after its prefix.
 
-    All rows advance a position at a time; the contexts of a step meet the count tables in one join, and the state is
-    saved every few steps.  Rows that have ended wait aside.
+    All rows advance a position at a time, a round for each position of the longest row; the contexts of a step meet the count
+    tables in one join, and the state is saved after every step, as the next one names it twice.  Rows that have ended wait
+    aside.  ``by`` names keys (such as the fold) that choose the counts.
     """
-    keys = keys or KEYS
+    keys, by = keys or KEYS, by or []
     ngrams = saved(ngrams)
     lat = saved(lat.withColumn("rank_in", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(F.desc("lp"), "ch_id"))))
     lengths = lat.groupBy(*keys).agg((F.max("pos") + 1).alias("len"))
@@ -151,21 +152,15 @@ def language_beam(lat: DataFrame, ngrams: DataFrame, order: int, weight: float,
     done = None
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "rank", "rank_in")
     for pos in range(longest):
-        grown = state.join(lat.where(F.col("pos") == pos).drop("pos"), keys)
         tail = F.substring("text", -(order - 1), order - 1) if order > 1 else F.lit("")
-        found = ngram.histories(grown.select(tail.alias("tail"), "ch").distinct(), ngrams, order)
-        step = found.select("tail", "ch", ngram.ppm(F.col("h")).alias("lm"))
-        scored = grown.withColumn("tail", tail).join(step, ["tail", "ch"]).withColumn("score", F.col("score") + F.col("lp") + weight * F.col("lm"))
-        state = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select(*keys, "len", (F.col("r") - 1).cast("bigint").alias("rank"), F.concat("text", "ch").alias("text"), "score")
-        if pos % every == every - 1 or pos == longest - 1:
-            state = saved(state)
-            ended = state.where(F.col("len") == pos + 1)
-            done = ended if done is None else done.unionByName(ended)
-            state = state.where(F.col("len") > pos + 1)
-        else:
-            ended = state.where(F.col("len") == pos + 1)
-            done = ended if done is None else done.unionByName(ended)
-            state = state.where(F.col("len") > pos + 1)
+        grown = state.join(lat.where(F.col("pos") == pos).drop("pos"), keys).withColumn("tail", tail)
+        found = ngram.histories(grown.select(*by, "tail", "ch").distinct(), ngrams, order, by)
+        step = found.select(*by, "tail", "ch", ngram.ppm(F.col("h")).alias("lm"))
+        scored = grown.join(step, [*by, "tail", "ch"]).withColumn("score", F.col("score") + F.col("lp") + weight * F.col("lm"))
+        state = saved(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select(*keys, "len", (F.col("r") - 1).cast("bigint").alias("rank"), F.concat("text", "ch").alias("text"), "score"))
+        ended = state.where(F.col("len") == pos + 1)
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where(F.col("len") > pos + 1)
     return (done if done is not None else state).select(*keys, "rank", "text", "score")
 
 
@@ -189,23 +184,32 @@ def visual_sums(texts: DataFrame, lat: DataFrame, keys: list[str] | None = None)
     return texts.select(*keys, "text").join(sums, [*keys, "text"], "left").withColumn("visual_sum", F.coalesce("visual_sum", F.lit(0.0)))
 
 
-def candidate_table(logits: DataFrame, truth: DataFrame, ngrams: DataFrame, *, order: int, beam: int, top: int, weights: tuple[float, ...] = (1.0,), include_truth: bool = False, keys: list[str] | None = None) -> DataFrame:
+def candidate_table(logits: DataFrame, truth: DataFrame, ngrams: DataFrame, *, order: int, beam: int, top: int, weights: tuple[float, ...] = (1.0,), include_truth: bool = False, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """``keys, candidate_index, text, truth, chars, edit_distance, visual_sum, ppm_sum``: the pool of a visual beam and one language
-    beam for each weight, with features and distances; ``truth(keys, truth)`` may add the truth itself."""
-    keys = keys or KEYS
+    beam for each weight, with features and distances; ``truth(keys, truth)`` may add the truth itself.
+
+    ``by`` names those of ``keys`` that choose the counts: with the fold, ``ngrams`` are each fold's counts without its own texts, and all
+    folds come out of one job."""
+    keys, by = keys or KEYS, by or []
     full = saved(lattice(logits, 0, keys))
     proposal = lattice(logits, top, keys)
-    beams = [visual_beam(proposal, beam, keys), *[language_beam(proposal, ngrams, order, w, beam, keys) for w in weights]]
+    beams = [visual_beam(proposal, beam, keys), *[language_beam(proposal, ngrams, order, w, beam, keys, by=by) for w in weights]]
     if include_truth:
         beams.append(truth.select(*keys, F.col("truth").alias("text")))
     pool = saved(candidate_pool(*beams, keys=keys))
     seen = visual_sums(pool, full, keys)
-    scored = ngram.step_scores(pool.withColumn("own", F.col("text")), ngrams, order, [*keys, "own"]).groupBy(*keys, "own").agg(F.avg("ppm").alias("p"))
+    scored = ngram.step_scores(pool.withColumn("own", F.col("text")), ngrams, order, [*keys, "own"], by=by).groupBy(*keys, "own").agg(F.avg("ppm").alias("p"))
     ppm = scored.select(*keys, F.col("own").alias("text"), (F.col("p") * F.length("own")).alias("ppm_sum"))
     out = pool.join(seen, [*keys, "text"]).join(ppm, [*keys, "text"], "left").join(truth.select(*keys, "truth"), keys, "left")
     return out.select(*keys, "candidate_index", "text", "truth", F.length("truth").cast("bigint").alias("chars"), F.levenshtein("text", "truth").cast("bigint").alias("edit_distance"), "visual_sum", F.coalesce("ppm_sum", F.lit(0.0)).alias("ppm_sum"))
 
 
+def fold_rows(candidates: DataFrame, tag: str) -> DataFrame:
+    """A candidate table by fold as the selector takes it: with ``tag`` and ``row_key``, the row's name among all folds."""
+    key = F.concat(F.lit("f"), F.col("fold").cast("string"), F.lit(":"), F.col("base").cast("string"), F.lit(":"), F.col("row_idx").cast("string"))
+    return candidates.select("fold", F.lit(tag).alias("tag"), "base", "row_idx", key.alias("row_key"), *[c for c in candidates.columns if c not in ("fold", "base", "row_idx")])
+
+
 def decode(candidates: DataFrame, weight: float, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, pred, score, candidates``: the chosen text of every row of ``rows``; an empty pool gives an empty text."""
     keys = keys or KEYS

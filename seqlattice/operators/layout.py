@@ -42,20 +42,36 @@ def wrap_angle(angle: Column) -> Column:
     return F.lit(math.pi) - F.pmod(F.lit(math.pi) - angle, F.lit(2 * math.pi))
 
 
-def neighbours(boxes: DataFrame, angle: float = 0.0) -> DataFrame:
+def geometry(boxes: DataFrame, angle: float | None = 0.0) -> DataFrame:
+    """``file_id, box_id, cx, cy, radius, file_angle, angle``: what rows are made from, of either kind of boxes.
+
+    The text direction is that of the file, in a column ``file_angle`` or given for all as ``angle``; where that is null, it is the
+    direction of the box's own top side.
+    """
+    whole = F.col("file_angle") if "file_angle" in boxes.columns else F.lit(angle).cast("double").alias("file_angle")
+    if "xnw" in boxes.columns:
+        rows = measures(boxes).select("file_id", "box_id", F.col("center_x").alias("cx"), F.col("center_y").alias("cy"), "radius", whole, F.col("angle").alias("own"))
+    else:
+        rows = boxes.select("file_id", "box_id", "cx", "cy", (F.sqrt(F.col("w") ** 2 + F.col("h") ** 2) / 2).alias("radius"), whole, F.lit(0.0).alias("own"))
+    return rows.withColumn("angle", F.coalesce("file_angle", "own")).drop("own")
+
+
+def neighbours(boxes: DataFrame, angle: float | None = 0.0) -> DataFrame:
     """``file_id, box_id, left_id, right_id``: the nearest accepted box on either side along the text direction, -1 if none.
 
-    A box is on the right if its projection is positive, else on the left; it is accepted if its centre is within its own
-    radius of the point at its distance along the direction.  So it lies less than its radius off the line, and only boxes
-    of neighbouring bands are compared.  Of equal distances the smaller id wins.
+    Boxes and directions are those of :func:`geometry`.  A box is on the right if its projection is positive, else on the left; it is
+    accepted if its centre is within its own radius of the point at its distance along the direction.  So it lies less than
+    its radius off the line, and in files with one direction only boxes of neighbouring bands are compared; in files
+    without, all boxes are (some hundred).  Of equal distances the smaller id wins.
     """
-    ax, ay = math.cos(angle), math.sin(angle)
-    across = F.col("cy") * ax - F.col("cx") * ay
-    band = boxes.withColumn("radius", F.sqrt(F.col("w") ** 2 + F.col("h") ** 2) / 2).withColumn("across", across)
+    ax, ay = F.cos("angle"), F.sin("angle")
+    one = F.col("file_angle").isNotNull()
+    band = geometry(boxes, angle).withColumn("across", F.col("cy") * ax - F.col("cx") * ay)
     width = band.groupBy("file_id").agg(F.max("radius").alias("width"))
-    band = band.join(width, "file_id").withColumn("band", F.floor(F.col("across") / F.col("width")))
-    other = band.select("file_id", F.col("box_id").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("radius").alias("jr"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = band.select("file_id", "box_id", "cx", "cy", "band").join(other, ["file_id", "band"]).where("box_id <> j")
+    band = band.join(width, "file_id").withColumn("band", F.when(one, F.floor(F.col("across") / F.col("width"))).otherwise(F.lit(0)))
+    near_bands = F.when(one, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
+    other = band.select("file_id", F.col("box_id").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("radius").alias("jr"), F.explode(near_bands).alias("band"))
+    pairs = band.select("file_id", "box_id", "cx", "cy", "angle", "band").join(other, ["file_id", "band"]).where("box_id <> j")
     dx, dy = F.col("jx") - F.col("cx"), F.col("jy") - F.col("cy")
     d = F.sqrt(dx * dx + dy * dy)
     side = F.when(dx * ax + dy * ay > 0, 1.0).otherwise(-1.0)
@@ -119,20 +135,20 @@ def row_clusters(links: DataFrame, cut: bool = True) -> DataFrame:
         out = [(part["file_id"].iloc[0], c, s, ids[b]) for c, row in enumerate(walk_rows(left, right)) for s, b in enumerate(row)]
         return pd.DataFrame(out, columns=["file_id", "cluster", "step", "box_id"])
 
-    return links.groupBy("file_id").applyInPandas(one_file, "file_id bigint, cluster bigint, step bigint, box_id bigint")
+    return links.groupBy("file_id").applyInPandas(one_file, f"file_id {links.schema['file_id'].dataType.simpleString()}, cluster bigint, step bigint, box_id bigint")
 
 
-def reading_order(clusters: DataFrame, boxes: DataFrame, angle: float = 0.0) -> DataFrame:
+def reading_order(clusters: DataFrame, boxes: DataFrame, angle: float | None = 0.0) -> DataFrame:
     """``file_id, box_id, row_idx, pos``: rows from top to bottom by their seed's offset, boxes along the direction.
 
-    The seed is the box at step 0; ties follow cluster and step.
+    The seed is the box at step 0, and its direction (see :func:`geometry`) is the row's; ties follow cluster and step.
     """
-    ax, ay = math.cos(angle), math.sin(angle)
-    placed = clusters.join(boxes.select("file_id", "box_id", (F.col("cx") * ax + F.col("cy") * ay).alias("along"), (F.col("cy") * ax - F.col("cx") * ay).alias("across")), ["file_id", "box_id"])
-    seed = F.min(F.when(F.col("step") == 0, F.col("across"))).over(Window.partitionBy("file_id", "cluster"))
-    rows = placed.withColumn("seed", seed)
-    row_idx = F.dense_rank().over(Window.partitionBy("file_id").orderBy("seed", "cluster")) - 1
-    pos = F.row_number().over(Window.partitionBy("file_id", "cluster").orderBy("along", "step")) - 1
+    placed = clusters.join(geometry(boxes, angle).select("file_id", "box_id", "cx", "cy", "angle"), ["file_id", "box_id"])
+    row = Window.partitionBy("file_id", "cluster")
+    first = F.min(F.when(F.col("step") == 0, F.struct("angle", (F.col("cy") * F.cos("angle") - F.col("cx") * F.sin("angle")).alias("across")))).over(row)
+    rows = placed.withColumn("seed", first).withColumn("along", F.col("cx") * F.cos("seed.angle") + F.col("cy") * F.sin("seed.angle"))
+    row_idx = F.dense_rank().over(Window.partitionBy("file_id").orderBy("seed.across", "cluster")) - 1
+    pos = F.row_number().over(row.orderBy("along", "step")) - 1
     return rows.select("file_id", "box_id", row_idx.cast("bigint").alias("row_idx"), pos.cast("bigint").alias("pos"))
 
 
@@ -157,7 +173,10 @@ def segment_distance(px: Column, py: Column) -> Column:
 
 
 def nearest_polyline(boxes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``file_id, box_id, label, distance`` of each box's nearest segment; the earlier segment on ties."""
+    """``file_id, box_id, label, distance`` of each box's nearest segment; the earlier segment on ties.
+
+    All boxes of a file meet all its segments: some hundred by some dozen.
+    """
     pairs = boxes.join(labelled, "file_id")
     d = segment_distance(F.col("cx"), F.col("cy"))
     return pairs.groupBy("file_id", "box_id").agg(F.min(F.struct(d.alias("d"), "seg_id", "label")).alias("b")).select("file_id", "box_id", F.col("b.label").alias("label"), F.col("b.d").alias("distance"))
@@ -200,9 +219,18 @@ def confidence_union(files: DataFrame) -> DataFrame:
     return files.join(whole, "base", "left_semi").groupBy("base", "box_id").agg(F.bool_or("conf").alias("conf"))
 
 
-def confidence_coverage(files: DataFrame) -> DataFrame:
-    """One row ``files, boxes, obscured`` from ``file_id, box_id, conf``."""
-    return files.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("boxes"), F.count_if(~F.col("conf")).alias("obscured"))
+def confidence_coverage(files: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """One row ``files, boxes, obscured`` from ``file_id, box_id, conf``.
+
+    With ``headers(file_id, headers)``, also ``files_with_section``: those of five heads or more, in which alone boxes count as obscured.
+    """
+    if headers is None:
+        return files.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("boxes"), F.count_if(~F.col("conf")).alias("obscured"))
+    own = files.groupBy("file_id").agg(F.count("*").alias("boxes"), F.count_if(~F.col("conf")).alias("obscured"))
+    told = F.col("headers") >= 5
+    return headers.join(own, "file_id", "left").agg(
+        F.count("*").alias("files"), F.count_if(told).alias("files_with_section"), F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes"), F.coalesce(F.sum(F.when(told, F.col("obscured"))), F.lit(0)).alias("obscured")
+    )
 
 
 def tile(i: Column, n: Column, k: int) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import folds as fo
 from ..operators import layout as ly
+from ..operators import evaluate as ev
 from ..operators import pairing as pa
+from ..operators import scoring as sc
 from ..sources import ingest
 from . import views as v
 from .registry import query
@@ -26,7 +28,7 @@ def g2_angle_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "events").select("event_id", F.round(ly.wrap_angle(F.col("value").cast("double") / 7 - 3), 6).alias("angle"))
 
 
-_PAIRS = "SELECT a.file_id, a.box_id, b.box_id AS j, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) AS d, b.cx - a.cx AS dx, b.cy - a.cy AS dy, (pow(b.w, 2) + pow(b.h, 2)) / 4 AS rr FROM v_boxes a JOIN v_boxes b ON a.file_id = b.file_id AND a.box_id <> b.box_id"
+_PAIRS = "SELECT a.file_id, a.box_id, b.box_id AS j, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) AS d, b.cx - a.cx AS dx, b.cy - a.cy AS dy, (pow(b.w, 2) + pow(b.h, 2)) / 4 AS rr FROM v_boxes a JOIN v_boxes b ON a.file_id = b.file_id AND round((a.cy - 100) / 60) = round((b.cy - 100) / 60) AND a.box_id <> b.box_id"  # an accepted box lies less than its radius of 25 off the line, so in the same grid row
 _SIDES = "SELECT *, CASE WHEN dx > 0 THEN 1.0 ELSE -1.0 END AS side FROM pairs"
 _NEAR = "SELECT file_id, box_id, side, j FROM (SELECT *, row_number() OVER (PARTITION BY file_id, box_id, side ORDER BY d, j) AS r FROM sides WHERE pow(dx - side * d, 2) + pow(dy, 2) < rr) a WHERE r = 1"
 
@@ -360,7 +362,6 @@ def s3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e10_score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import evaluate as ev
     from .selector_queries import _whole_objects
 
     m = ev.micro(ev.object_scores(*_whole_objects(spark, sf_dir)), ev.SCORES)
@@ -369,3 +370,30 @@ def e10_score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.score_card(m, c, g)
 
 
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Letter files of both views of every object, the flags differing, every other object with segments; and transcripts."""
+    boxes, letters = ly.with_corners(v.boxes(spark, sf_dir)), _letters(spark, sf_dir)
+    segments = v.segments(spark, sf_dir).where("file_id % 2 = 0")
+    one = ingest.letter_texts(boxes, letters, segments, view=1)
+    two = ingest.letter_texts(boxes, letters.withColumn("conf", F.col("box_id") % 5 == 0), segments, view=2)
+    read = letters.where("file_id % 7 <> 3").withColumn("ch", F.translate(F.col("ch"), "OSIW", "QZL"))
+    rows = read.groupBy("file_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "ch"))), lambda x: x["ch"]), "").alias("pred"))
+    texts = ingest.transcripts(rows.withColumnRenamed("file_id", "base"))
+    name = F.concat(F.lit("s"), F.col("base").cast("string"))
+    return one.unionByName(two), texts.select(F.when(F.col("base") % 3 == 0, F.concat(name, F.lit("_Rotation2_300dpi"))).otherwise(name).alias("base"), "text")
+
+
+_RUN_ROWS = "SELECT file_id, CAST(floor(box_id / 20.0) AS BIGINT) AS row_idx, string_agg(ch, '' ORDER BY box_id) AS t, string_agg(ch, '' ORDER BY box_id) FILTER (WHERE conf OR box_id % 5 = 0) AS c, string_agg(translate(ch, 'OSIW', 'QZL'), '' ORDER BY box_id) AS p FROM letters GROUP BY 1, 2"
+_RUN = "SELECT r.file_id, k AS view, string_agg(t, chr(10) ORDER BY row_idx) AS truth, coalesce(string_agg(c, chr(10) ORDER BY row_idx) FILTER (WHERE c <> ''), '') AS sure, CASE WHEN r.file_id % 7 = 3 OR r.file_id % 3 = 0 AND k = 1 THEN '' ELSE string_agg(p, chr(10) ORDER BY row_idx) END AS pred FROM rr r CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) x GROUP BY r.file_id, k"
+_RUN_SCORES = "SELECT 's' || CAST(file_id AS VARCHAR) || '_Rotation' || CAST(view AS VARCHAR) || '_300dpi_letters.txt' AS file_id, levenshtein(pred, sure) AS n_err, length(sure) AS n_char, levenshtein(pred, truth) AS n_all_err, length(truth) AS n_all_char FROM run_pairs"
+
+
+@query(v.sql(_RUN_SCORES, "v_boxes", letters=_LETTERS, rr=_RUN_ROWS, run_pairs=_RUN))
+def e8_run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.run_scores(*_run(spark, sf_dir)).select("file_id", "n_err", "n_char", "n_all_err", "n_all_char")
+
+
+@query()
+def e10_run_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card = sc.score_run(*_run(spark, sf_dir))
+    return card.select(*[F.round(c, 6).alias(c) if c in ev.SCORES else F.col(c) for c in card.columns])

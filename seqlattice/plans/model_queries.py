@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import explain as ex
 from ..operators import lattice as la
 from ..operators import ngram as ng
+from ..operators import selector as se
+from ..session import new_folder
+from ..sources import ingest
 from . import views as v
 from .registry import query
 
@@ -249,9 +252,46 @@ def b8_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.join(p, ["base", "row_idx", "text"], "left").select("base", "row_idx", "text", F.round("score", 6).alias("visual_sum"), F.round(F.coalesce("p", F.lit(0.0)) * F.length("text"), 5).alias("ppm_sum"))
 
 
-@query()
+#: Prefixes that a language beam keeps: all of three positions, so that SQL can state it by products.
+BEAM = 27
+
+
+def _decode_sql(body: str, by_fold: bool = False, include_truth: bool = False, **more: str) -> str:
+    """``lbeam`` (language beam), ``pool`` and ``features`` of it, for ``body``; the counts are those of the training rows, or for
+    each fold those of all other folds."""
+    fold = "base % 5" if by_fold else "0"
+    counted = "SELECT f.fold, s.m, s.ctx, s.ch, count(*) AS n FROM steps s JOIN (SELECT unnest(range(0, 5)) AS fold) f ON s.base % 5 <> f.fold GROUP BY ALL" if by_fold else "SELECT 0 AS fold, m, ctx, ch, count(*) AS n FROM steps WHERE split = 'train' GROUP BY ALL"
+
+    def scored(name: str, source: str) -> dict[str, str]:
+        return {
+            f"{name}_steps": f"SELECT base, row_idx, text, {fold} AS fold, i - 1 AS pos, m, substring(text, i - m + 1, m - 1) AS ctx, substring(text, i, 1) AS ch FROM (SELECT *, unnest(range(1, least({ORDER}, i) + 1)) AS m FROM (SELECT base, row_idx, text, unnest(range(1, length(text) + 1)) AS i FROM {source}) a) b",
+            f"{name}_found": f"SELECT s.base, s.row_idx, s.text, s.pos, s.m, t.tot, t.dis, c.n FROM {name}_steps s LEFT JOIN ftotals t ON s.fold = t.fold AND s.m = t.m AND s.ctx = t.ctx LEFT JOIN fcounts c ON s.fold = c.fold AND s.m = c.m AND s.ctx = c.ctx AND s.ch = c.ch",
+            f"{name}_ppm": _PPM.replace("base, row_idx, pos", "base, row_idx, text, pos").replace("FROM found", f"FROM {name}_found"),
+        }
+
+    truth = " UNION SELECT base, row_idx, truth FROM truths" if include_truth else ""
+    return _lattice_sql(
+        body,
+        v_rows=v.SQL["v_rows"],
+        steps=_STEPS,
+        fcounts=counted,
+        ftotals="SELECT fold, m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM fcounts GROUP BY ALL",
+        product=_PRODUCT,
+        beam=_BEAM,
+        truths="SELECT base, row_idx, string_agg(substring('ABCDEFGHIKLMNOPQRSTUWXYZ&:)', label + 1, 1), '' ORDER BY chunk_idx) AS truth FROM v_logits GROUP BY base, row_idx",
+        **scored("all", "product"),
+        lbeam="SELECT base, row_idx, text, score, row_number() OVER (PARTITION BY base, row_idx ORDER BY score DESC, text) - 1 AS rank FROM (SELECT p.base, p.row_idx, p.text, p.score + x.lm AS score FROM product p JOIN (SELECT base, row_idx, text, sum(lp) AS lm FROM all_ppm GROUP BY base, row_idx, text) x ON p.base = x.base AND p.row_idx = x.row_idx AND p.text = x.text) a",
+        pool=f"SELECT base, row_idx, text, row_number() OVER (PARTITION BY base, row_idx ORDER BY text) - 1 AS candidate_index FROM (SELECT base, row_idx, text FROM beam WHERE rank < {BEAM} UNION SELECT base, row_idx, text FROM lbeam WHERE rank < {BEAM}{truth}) a",
+        seen="SELECT t.base, t.row_idx, t.text, sum(l.lp) AS visual_sum FROM (SELECT base, row_idx, text, unnest(range(0, length(text))) AS pos FROM pool) t JOIN lattice l ON l.base = t.base AND l.row_idx = t.row_idx AND l.pos = t.pos AND l.ch = substring(t.text, t.pos + 1, 1) GROUP BY t.base, t.row_idx, t.text",
+        **scored("own", "pool"),
+        features="SELECT p.*, s.visual_sum, x.p * length(p.text) AS ppm_sum FROM pool p JOIN seen s ON p.base = s.base AND p.row_idx = s.row_idx AND p.text = s.text JOIN (SELECT base, row_idx, text, avg(lp) AS p FROM own_ppm GROUP BY base, row_idx, text) x ON p.base = x.base AND p.row_idx = x.row_idx AND p.text = x.text",
+        **more,
+    )
+
+
+@query(_decode_sql(f"SELECT base, row_idx, rank, text, round(score, 6) AS score FROM lbeam WHERE rank < {BEAM}"))
 def b5_language_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return la.language_beam(la.lattice(v.logits(spark, sf_dir), 3), _train(spark, sf_dir), ORDER, 1.0, 8).select("base", "row_idx", "rank", "text", F.round("score", 6).alias("score"))
+    return la.language_beam(la.lattice(v.logits(spark, sf_dir), 3), _train(spark, sf_dir), ORDER, 1.0, BEAM).select("base", "row_idx", "rank", "text", F.round("score", 6).alias("score"))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,16 +300,51 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select("base", "row_idx", F.array_join("t", "").alias("truth"))
 
 
-@query()
+def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate table of all folds, each with the counts of the others."""
+    fold = F.col("base") % 5
+    by_fold = ng.counts(v.rows(spark, sf_dir).withColumn("fold", fold), ORDER, by=["fold"])
+    others = ng.excluded(by_fold, spark.range(5).withColumnRenamed("id", "fold"))
+    table = la.candidate_table(v.logits(spark, sf_dir).withColumn("fold", fold), _truth(spark, sf_dir).withColumn("fold", fold), others, order=ORDER, beam=BEAM, top=3, include_truth=True, keys=["fold", "base", "row_idx"], by=["fold"])
+    return la.fold_rows(table, "oof")
+
+
+_FOLD_TABLE = "SELECT f.base % 5 AS fold, 'oof' AS tag, f.base, f.row_idx, 'f' || CAST(f.base % 5 AS VARCHAR) || ':' || CAST(f.base AS VARCHAR) || ':' || CAST(f.row_idx AS VARCHAR) AS row_key, f.candidate_index, f.text, t.truth, length(t.truth) AS chars, levenshtein(f.text, t.truth) AS edit_distance, f.visual_sum, f.ppm_sum FROM features f JOIN truths t ON f.base = t.base AND f.row_idx = t.row_idx"
+
+
+@query(_decode_sql("SELECT fold, tag, base, row_idx, row_key, candidate_index, text, truth, chars, edit_distance, round(visual_sum, 5) AS visual_sum, round(ppm_sum, 5) AS ppm_sum FROM folded", True, True, folded=_FOLD_TABLE))
 def b10_candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return la.candidate_table(v.logits(spark, sf_dir), _truth(spark, sf_dir), _train(spark, sf_dir), order=ORDER, beam=8, top=3, include_truth=True)
+    return fold_candidates(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("visual_sum", "ppm_sum")})
 
 
-@query()
+@query(
+    _decode_sql(
+        "SELECT fold, i, train_errors, errors, chars FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_errors, i) AS r FROM (SELECT *, (sum(errors) OVER (PARTITION BY i) - errors)::BIGINT AS train_errors FROM errs) a) b WHERE r = 1",
+        True,
+        True,
+        folded=_FOLD_TABLE,
+        grid="SELECT fold, row_key, candidate_index, edit_distance, chars, i, visual_sum + i * 0.01::DOUBLE * ppm_sum AS score FROM folded CROSS JOIN (SELECT unnest(range(0, 401)) AS i) g",
+        errs="SELECT fold, i, sum(edit_distance)::BIGINT AS errors, sum(chars)::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY fold, row_key, i ORDER BY score DESC, candidate_index) AS r FROM grid) a WHERE r = 1 GROUP BY fold, i",
+    )
+)
+def r6_decoded_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = se.nested_weights(se.grid_errors(fold_candidates(spark, sf_dir)))
+    return nested.select("fold", F.col("i").cast("bigint").alias("i"), "train_errors", "errors", "chars")
+
+
+@query(_decode_sql("SELECT base, row_idx, text AS pred, round(visual_sum + 0.84 * ppm_sum, 5) AS score, candidates FROM (SELECT *, row_number() OVER (PARTITION BY base, row_idx ORDER BY visual_sum + 0.84 * ppm_sum DESC, candidate_index) AS r, count(*) OVER (PARTITION BY base, row_idx) AS candidates FROM features) a WHERE r = 1"))
 def r9_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     lg = v.logits(spark, sf_dir)
-    table = la.candidate_table(lg, _truth(spark, sf_dir), _train(spark, sf_dir), order=ORDER, beam=8, top=3)
-    return la.decode(table, 0.84, lg.select("base", "row_idx").distinct())
+    table = la.candidate_table(lg, _truth(spark, sf_dir), _train(spark, sf_dir), order=ORDER, beam=BEAM, top=3)
+    return la.decode(table, 0.84, lg.select("base", "row_idx").distinct()).withColumn("score", F.round("score", 5))
+
+
+@query(v.sql("SELECT base, row_idx, chunk_idx, label, i - 1 AS i, round(CAST(logits[i] AS FLOAT), 5) AS v FROM (SELECT *, unnest(range(1, 28)) AS i FROM v_logits) a", "v_logits"))
+def s8_logits_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "logits")
+    ingest.write_logits(v.logits(spark, sf_dir).withColumns({"tag": F.lit("oof"), "split": F.when(F.col("base") % 10 == 0, "val").otherwise("train")}), path)
+    back = ingest.read_logits(spark, path).select("base", "row_idx", "chunk_idx", "label", F.posexplode("logits").alias("i", "v"))
+    return back.select("base", "row_idx", "chunk_idx", "label", F.col("i").cast("bigint").alias("i"), F.round("v", 5).alias("v"))
 
 
 # --- explanations

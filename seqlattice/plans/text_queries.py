@@ -25,12 +25,17 @@ def _greek(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GREEK = f"SELECT doc_id, {_sql_map("regexp_replace(text, '[^ -~' || chr(10) || ']', '', 'g')", GREEK)} AS t FROM documents"
 
 
-@query(f"SELECT doc_id, upper({_sql_map('t', tx.NEW_MAP)}) AS converted FROM ({_GREEK}) g")
+#: The proxies of GREEK's Greek letters under the new and the old map, written out apart from the converters.
+_NEW = (GREEK[1], "ABUDEFGHIKLMNOPRSTYNXYZABGDEHIKLMNOPRSTYX")
+_OLD = (GREEK[1], "ABCDEFGHIKLMNOPRSTUNXUZABGDEHIKLMNOPRSTUX")
+
+
+@query(f"SELECT doc_id, upper({_sql_map('t', _NEW)}) AS converted FROM ({_GREEK}) g")
 def t1_greek_new_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _greek(spark, sf_dir).select("doc_id", tx.convert(F.col("t")).alias("converted"))
 
 
-@query(f"SELECT doc_id, upper({_sql_map('t', tx.OLD_MAP)}) AS converted FROM ({_GREEK}) g")
+@query(f"SELECT doc_id, upper({_sql_map('t', _OLD)}) AS converted FROM ({_GREEK}) g")
 def t2_greek_old_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _greek(spark, sf_dir).select("doc_id", tx.convert(F.col("t"), True).alias("converted"))
 
@@ -40,7 +45,7 @@ def t3_latin_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", tx.latin_swap(F.col("text")).alias("swapped"))
 
 
-@query(f"SELECT use_old, count(*) AS n, sum(length(CASE WHEN use_old THEN a ELSE b END)) AS chars, sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS differing FROM (SELECT upper({_sql_map('t', tx.OLD_MAP)}) AS a, upper({_sql_map('t', tx.NEW_MAP)}) AS b FROM ({_GREEK}) g) c CROSS JOIN (SELECT true AS use_old UNION ALL SELECT false) f GROUP BY use_old")
+@query(f"SELECT use_old, count(*) AS n, sum(length(CASE WHEN use_old THEN a ELSE b END)) AS chars, sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS differing FROM (SELECT upper({_sql_map('t', _OLD)}) AS a, upper({_sql_map('t', _NEW)}) AS b FROM ({_GREEK}) g) c CROSS JOIN (SELECT true AS use_old UNION ALL SELECT false) f GROUP BY use_old")
 def t4_convert_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _greek(spark, sf_dir)
     parts = [g.select(F.lit(old).alias("use_old"), F.length(tx.convert(F.col("t"), old)).alias("k"), (tx.convert(F.col("t"), True) != tx.convert(F.col("t"))).cast("int").alias("d")) for old in (True, False)]
@@ -52,6 +57,7 @@ def t5_keep_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", tx.keep_alphabet(F.regexp_replace("text", "[^ -~]", "")).alias("kept"))
 
 
+#: The patterns of names, as in the text functions.
 _SLUG = "coalesce(nullif(substring(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(url), '^hf://datasets/', ''), '^https://huggingface\\.co/datasets/', ''), '/'), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), 1, 140), ''), 'input')"
 _BASE = "coalesce(nullif(substring(trim(regexp_replace(replace(trim(url), '/', '_'), '[^A-Za-z0-9._+:-]+', '_', 'g'), '._-'), 1, 180), ''), 'squeeze')"
 

@@ -13,9 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores; a file of one row group is read by one task, and the views below make many rows of each of its.
+
+    A table of many files or row groups is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``base, row_idx, text, split``: every document's lines in the alphabet, cut into rows of 64 letters."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     clean = lines.select("base", "pos", F.regexp_replace(F.upper(F.regexp_replace("line", "[^A-Za-z&:)]", "")), "[JV]", "").alias("c"))
     tiles = clean.select("base", "pos", "c", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("c") / ROW).cast("int") - 1, F.lit(0)))).alias("t"))
     split = F.when(F.col("base") % 10 == 0, "val").when(F.col("base") % 10 == 1, "test").otherwise("train")

@@ -87,8 +87,8 @@ def letter_tables(files: DataFrame) -> dict[str, DataFrame]:
     return {"files": head, "boxes": boxes, "transcript_lines": transcript, "segments": segments, "confidence": confidence, "parse_errors": errors}
 
 
-def letter_texts(boxes: DataFrame, letters: DataFrame, segments: DataFrame | None = None, angle: float = 0.0) -> DataFrame:
-    """``file, value``: letter files written from ``file_id, box_id`` corners and ``file_id, row_idx, box_id, ch, conf``."""
+def letter_texts(boxes: DataFrame, letters: DataFrame, segments: DataFrame | None = None, angle: float = 0.0, view: int = 1) -> DataFrame:
+    """``file, value``: letter files of one view written from ``file_id, box_id`` corners and ``file_id, row_idx, box_id, ch, conf``."""
     corner = F.concat_ws(" ", *[F.col(c) for c in ("xnw", "ynw", "xsw", "ysw", "xse", "yse", "xne", "yne")])
     sorted_join = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("v")))), lambda r: r["v"]), "\n")
     box_part = boxes.groupBy("file_id").agg(sorted_join("box_id", corner).alias("boxes"))
@@ -101,7 +101,7 @@ def letter_texts(boxes: DataFrame, letters: DataFrame, segments: DataFrame | Non
     else:
         whole = whole.withColumn("segs", F.lit(None).cast("string"))
     text = F.concat(F.lit(f"# Baseline angle\n{angle}\n# Boxes\n"), "boxes", F.lit("\n# Transcript\n"), "rows", F.lit("\n# Lines\n"), F.coalesce("segs", F.lit("")), F.lit("\n# Confidence\n"), "confs", F.lit("\n"))
-    return whole.select(F.concat(F.lit("s"), F.col("file_id").cast("string"), F.lit("_Rotation1_300dpi_letters.txt")).alias("file"), text.alias("value"))
+    return whole.select(F.concat(F.lit("s"), F.col("file_id").cast("string"), F.lit(f"_Rotation{view}_300dpi_letters.txt")).alias("file"), text.alias("value"))
 
 
 # --- image metadata
@@ -213,6 +213,14 @@ def write_logits(logits: DataFrame, path: str) -> None:
     logits.withColumn("logits", F.col("logits").cast("array<float>")).write.partitionBy("tag", "split").parquet(path)
 
 
+def read_logits(spark: SparkSession, path: str, tag: str | None = None, split: str | None = None) -> DataFrame:
+    """The table of :func:`write_logits`, scores as doubles; a tag or split reads only its own files."""
+    rows = spark.read.parquet(path)
+    for name, value in (("tag", tag), ("split", split)):
+        rows = rows.where(F.col(name) == value) if value is not None else rows
+    return rows.withColumn("logits", F.col("logits").cast("array<double>"))
+
+
 def logits_checks(logits: DataFrame, width: int = len(ALPHABET)) -> DataFrame:
     """``check, n_bad`` in one pass: empty table, widths, labels, null keys."""
     null_key = F.lit(False)

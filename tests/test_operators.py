@@ -15,6 +15,7 @@ from seqlattice.operators import lattice as la
 from seqlattice.operators import layout as ly
 from seqlattice.operators import ngram as ng
 from seqlattice.operators import pairing as pa
+from seqlattice.operators import scoring as sc
 from seqlattice.operators import selector as se
 from seqlattice.sources import ingest
 
@@ -461,3 +462,52 @@ def test_shards(spark):
     for bad in (good.limit(1), good.unionByName(good.limit(1)), good.withColumn("expected_rows", F.lit(9))):
         with pytest.raises(Exception, match="not complete"):
             ingest.merge_shards(parts, bad).count()
+
+
+def turned_boxes(spark, angle, file_angle):
+    """A grid of 3 rows of 5 letters, turned about the origin, as corners."""
+    rows = []
+    for k in range(15):
+        cx, cy = 100.0 + 40 * (k % 5), 100.0 + 60 * (k // 5)
+        corners = [(cx - 15, cy - 20), (cx - 15, cy + 20), (cx + 15, cy + 20), (cx + 15, cy - 20)]
+        rows.append((1, k, *[v for x, y in corners for v in (x * math.cos(angle) - y * math.sin(angle), x * math.sin(angle) + y * math.cos(angle))], file_angle))
+    names = ", ".join(f"{c} double" for c in ly.CORNERS)
+    return spark.createDataFrame(rows, f"file_id int, box_id int, {names}, file_angle double")
+
+
+def test_rows_along_the_direction_of_a_file_or_of_its_boxes(spark):
+    for angle, file_angle in ((0.0, 0.0), (0.6, 0.6), (0.6, None), (-1.2, -1.2), (-1.2, None)):
+        boxes = turned_boxes(spark, angle, file_angle)
+        links = ly.neighbours(boxes)
+        assert all((r.left_id, r.right_id) == (r.box_id - 1 if r.box_id % 5 else -1, r.box_id + 1 if r.box_id % 5 < 4 else -1) for r in links.collect())
+        order = ly.reading_order(ly.row_clusters(links), boxes)
+        assert all((r.row_idx, r.pos) == divmod(r.box_id, 5) for r in order.collect())
+
+
+def test_both_link_repairs_differ(spark):
+    links = spark.createDataFrame([(7, 0, -1, 2), (7, 1, -1, -1), (7, 2, 1, -1), (8, 0, -1, 1), (8, 1, 0, -1)], "file_id bigint, box_id bigint, left_id bigint, right_id bigint")
+    found = {cut: ly.row_clusters(links, cut).select("file_id", F.col("cluster").alias("row_idx"), F.col("step").alias("pos"), "box_id") for cut in (True, False)}
+    rows = {cut: sorted((r.file_id, r.row_idx, r.pos, r.box_id) for r in df.collect()) for cut, df in found.items()}
+    assert [r[1:] for r in rows[True] if r[0] == 7] == [(0, 0, 0), (1, 0, 1), (1, 1, 2)]
+    assert [r[1:] for r in rows[False] if r[0] == 7] == [(0, 0, 0), (0, 1, 2), (1, 0, 1), (1, 1, 2)]
+    assert [r.file_id for r in ly.differing_files(found[True], found[False]).collect()] == [7]
+
+
+def letter_file(rows, flags, angle=0.0, segments=()):
+    boxes = [(100 + 40 * x, 100 + 60 * y) for y, row in enumerate(rows) for x in range(len(row))]
+    lines = ["# Angle", str(angle), "# Boxes", *[f"{x - 15} {y - 20} {x - 15} {y + 20} {x + 15} {y + 20} {x + 15} {y - 20}" for x, y in boxes], "# Transcript", *rows, "# Lines", *[" ".join(map(str, s)) for s in segments], "# Confidence", flags]
+    return "\n".join(lines) + "\n"
+
+
+def test_score_run(spark):
+    rows = ["AB", "CD"]
+    segments = [(80, 100, 300, 100), (80, 160, 300, 160)]
+    files = [("x_Rotation1_300dpi_letters.txt", letter_file(rows, "1100")), ("x_Rotation2_300dpi_letters.txt", letter_file(rows, "0010")), ("y_Rotation1_300dpi_letters.txt", letter_file(rows, "1111", segments=segments)), ("y_Rotation2_300dpi_letters.txt", letter_file(rows, "1111", segments=segments)), ("z_Rotation1_300dpi_letters.txt", letter_file(rows, "1111"))]
+    texts = spark.createDataFrame([("x", "AB\nCX"), ("y_Rotation2_300dpi", "ab\ncd")], "base string, text string")
+    df = spark.createDataFrame(files, "file string, value string")
+    got = {r.file_id[:11]: tuple(r)[1:] for r in sc.run_scores(df, texts).select("file_id", "n_err", "n_char", "n_all_err", "n_all_char", "n_opt_err", "n_opt_char").collect()}
+    # z has one view alone and is not scored; a missing prediction costs every letter and break
+    assert got == {"x_Rotation1": (1, 4, 1, 5, 1, 4), "x_Rotation2": (1, 4, 1, 5, 1, 4), "y_Rotation1": (5, 5, 5, 5, 5, 5), "y_Rotation2": (0, 5, 0, 5, 0, 5)}
+    card = sc.score_run(df, texts).first()
+    assert (card.scored_files, card.n_all_err, card.n_all_char, card.cer) == (4, 7, 20, pytest.approx(7 / 18))
+    assert (card.files, card.files_with_section, card.boxes, card.obscured, card.files_grouped_differently) == (5, 5, 20, 5, 0)
