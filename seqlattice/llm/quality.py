@@ -130,7 +130,7 @@ def _slots(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[
     for rows in pieces(batches):
         # of a text with more slots those of the smallest hash stand for it
         slots = [sorted(sorted(own, key=lambda s: s * 0x9E3779B1 & 0xFFFFFFFF)[:most]) if len(own) > most else own for own in (features(t, bits) for t in rows["text"])]
-        yield pa.RecordBatch.from_arrays([pa.array(rows["grade"], pa.int32()), pa.array(slots, pa.list_(pa.int32()))], names=["grade", "slots"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["grade"], pa.int32()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "grade", "slots"])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, bits: int = 18, most_labels: int = 20000, most_slots: int = 4096) -> OrdinalModel | None:
@@ -144,8 +144,9 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     usable = ratings.select(F.col(id_col).alias("__id"), F.col("grade").cast("int").alias("grade")).where(F.col("__id").isNotNull() & F.col("grade").between(0, n_grades - 1))
     rated = usable.groupBy("__id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("__id"), "__id").limit(most_labels)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    own = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).groupBy("__id", "grade").agg(F.min("text").alias("text"))
-    rows = own.select("grade", "text").mapInArrow(lambda it: _slots(it, bits, most_slots), "grade int, slots array<int>").toArrow()
+    own = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select(F.col("__id").cast("bigint").alias("id"), "grade", "text")
+    slots = own.mapInArrow(lambda it: _slots(it, bits, most_slots), "id bigint, grade int, slots array<int>")
+    rows = slots.groupBy("id", "grade").agg(F.min("slots").alias("slots")).select("grade", "slots").toArrow()
     grades, slots = rows["grade"].to_numpy().astype(np.int64), rows["slots"].combine_chunks()
     if len(np.unique(grades)) < 2:
         return None
