@@ -3,17 +3,21 @@
 Every source's target is cut into blocks of equally many words.  Blocks are the seats and targets the votes: the
 quotients target / (2 k + 1) are given out from the highest on.  A source's seats are apportioned in the same way to its
 shards, by their sizes.  A shard is an order of its documents by a seeded hash; its quota takes the words of that order
-from the start, as often as needed.  A source has the more shards the more words it has, so a shard stays a task's work.
+from the start, as often as needed.  There are the more shards the more words there are, so a shard stays a task's work.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a source up to which it has 256 shards; sixteen times as many words have sixteen times as many shards.
-PLAIN_SOURCE = 1 << 32
+#: Words of a table up to which a source has 256 shards; sixteen times as many words have sixteen times as many shards.
+PLAIN_WORDS = 1 << 32
 #: Digits of the hash by which sizes are first summed, so that texts are read once for all that follows; the most of a shard.
 FINE = 6
 
@@ -75,10 +79,14 @@ def apportion(votes: DataFrame, *, seats: Column, vote: str, within: list[str],
     return base.join(moved, on, "left").withColumn("seats", F.col("__base") + F.coalesce("__moved", F.lit(0))).select(*votes.columns, "seats")
 
 
-def _digits(source_size: Column) -> Column:
+def shard_digits(words: int) -> int:
     """Hexadecimal digits of the hash that name a shard of a source."""
-    more = F.ceil(F.log2(F.greatest(source_size, F.lit(1)) / PLAIN_SOURCE) / 4)
-    return F.least(F.lit(FINE), 2 + F.greatest(F.lit(0), more)).cast("int")
+    return min(FINE, 2 + max(0, math.ceil(math.log2(max(words, 1) / PLAIN_WORDS) / 4)))
+
+
+def _key(source: Column) -> Column:
+    """A source's name that is never null, so that rows are dealt out by it once for a window and for a join."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
 def mix_rows(
@@ -86,7 +94,8 @@ def mix_rows(
 ) -> DataFrame:
     """``row, doc_id, size, source_size, target, taken``: as :func:`mix_sources`, with each input row as a struct.
 
-    The rows travel through the shuffle by shard once, so each has its own ``taken`` however often its id or text occurs.
+    The rows travel through one shuffle, by shard, so each has its own ``taken`` however often its id or text occurs.  Runs a
+    job when called, which sums the sizes.
     """
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     sizes = docs.select(
@@ -97,23 +106,22 @@ def mix_rows(
         F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("hash"),
         F.xxhash64(text_col).alias("mark"),
     )
-    fine = sizes.groupBy("source", F.substring("hash", 1, FINE).alias("cell")).agg(F.sum("size").alias("size"))
+    fine = saved(sizes.groupBy("source", F.substring("hash", 1, FINE).alias("cell")).agg(F.sum("size").alias("size")))
+    digits = shard_digits(fine.agg(F.sum("size")).first()[0] or 0)
     goals = targets(fine.select("source", "size"), weights, most_passes).withColumn("one", F.lit(1))
     total = F.sum("source_size").over(Window.partitionBy("one"))
-    sources = apportion(goals, seats=F.round(total / block_words), vote="target", within=["one"], tie=["source"]).select(F.col("source").alias("__source"), "source_size", "target", F.col("seats").alias("source_seats"), _digits(F.col("source_size")).alias("digits"))
-    of_source = F.col("source").eqNullSafe(F.col("__source"))
-    shard = lambda of: F.expr(f"substring({of}, 1, digits)")
-    cells = fine.join(sources, of_source).groupBy("source", shard("cell").alias("shard"), "source_size", "target", "source_seats").agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(cells, seats=F.col("source_seats"), vote="shard_size", within=["source"], tie=["shard"])
+    sources = apportion(goals, seats=F.round(total / block_words), vote="target", within=["one"], tie=["source"]).select(_key(F.col("source")).alias("key"), "source_size", "target", F.col("seats").alias("source_seats"))
+    shards = fine.groupBy(_key(F.col("source")).alias("key"), F.substring("cell", 1, digits).alias("shard")).agg(F.sum("size").alias("shard_size"))
+    quotas = apportion(shards.join(sources, "key"), seats=F.col("source_seats"), vote="shard_size", within=["key"], tie=["shard"])
     quota = F.least(F.col("seats") * block_words, F.col("shard_size") * most_passes)
-    quotas = quotas.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", "source_size", "target", quota.alias("quota"))
-    before = Window.partitionBy("source", "shard").orderBy("hash", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = sizes.join(sources.select("__source", "digits"), of_source).drop("__source").withColumn("shard", shard("hash"))
+    quotas = quotas.select("key", "shard", "shard_size", "source_size", "target", quota.alias("quota"))
+    before = Window.partitionBy("key", "shard").orderBy("hash", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = sizes.withColumns({"key": _key(F.col("source")), "shard": F.substring("hash", 1, digits)}).drop("source")
     placed = dealt.withColumn("from", F.coalesce(F.sum("size").over(before), F.lit(0)))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0))
     rest = F.col("quota") - passes * F.col("shard_size") - F.col("from")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.join(quotas, of_source & (F.col("shard") == F.col("__shard"))).select("row", "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return placed.join(quotas, ["key", "shard"]).select("row", "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
@@ -122,7 +130,7 @@ def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
     Options: ``id_col``, ``text_col``, ``source_col``, ``weights``, ``most_passes``, ``block_words``, ``seed``.  ``size`` counts
     words (null text: 0).  For ``target`` see :func:`targets`; the words taken of a source differ from it by a few blocks of
     ``block_words`` at most.  ``taken`` counts repeats and never exceeds ``most_passes`` times the size.  Shards are the first
-    digits of md5(seed:id), two for sources of up to PLAIN_SOURCE words, and their order is that hash, so reruns agree; rows
+    digits of md5(seed:id), two in tables of up to PLAIN_WORDS words, and their order is that hash, so reruns agree; rows
     that share an id follow each other in the order of their sizes, and each takes its own words.
 
     Rows with a null id are hashed by their text; null sources form a source of their own, the last; a source without words,

@@ -37,8 +37,8 @@ FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
 #: Seats by ranking every quotient that can win one.
 MIXING = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS hash FROM documents),
-src AS (SELECT source, sum(size)::BIGINT AS source_size, CAST(least(6, 2 + greatest(0, ceil(log2(greatest(sum(size), 1) / 4294967296.0) / 4))) AS INTEGER) AS digits FROM d GROUP BY source),
-dh AS (SELECT d.*, substring(hash, 1, digits) AS shard FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+dh AS (SELECT *, substring(hash, 1, (SELECT CAST(least(6, 2 + greatest(0, ceil(log2(greatest(sum(size), 1) / 4294967296.0) / 4))) AS INTEGER) FROM d)) AS shard FROM d),
 wgt AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS cap FROM src),
 lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wgt),
 tgt AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM lev WHERE cap >= level * weight)) AS target FROM lev),
