@@ -59,7 +59,7 @@ def class_weights(logits: DataFrame, power: float, n_classes: int = len(ALPHABET
     Power 0 weighs all alike, 1 balances, 0.5 is its root."""
     spark = logits.sparkSession
     counted = logits.groupBy("label").agg(F.count("*").alias("n"))
-    full = spark.range(n_classes).withColumnRenamed("id", "label").join(F.broadcast(counted), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+    full = spark.range(n_classes).withColumnRenamed("id", "label").join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
     all_ = Window.partitionBy()
     raw = F.pow(F.sum("n").over(all_) / (n_classes * F.greatest("n", F.lit(1))), F.lit(power))
     return full.withColumn("raw", raw).withColumn("weight", F.col("raw") * n_classes / F.sum("raw").over(all_)).drop("raw")
@@ -70,7 +70,7 @@ def cross_entropy(logits: DataFrame, weights: DataFrame | None = None) -> DataFr
     lp = F.get(log_softmax(F.col("logits")), F.col("label").cast("int"))
     if weights is None:
         return logits.agg((-F.avg(lp)).alias("loss"))
-    w = logits.join(F.broadcast(weights.select("label", "weight")), "label")
+    w = logits.join(weights.select("label", "weight"), "label")
     return w.agg((-F.sum(F.col("weight") * lp) / F.sum("weight")).alias("loss"))
 
 

@@ -377,10 +377,13 @@ def r14_best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.best_candidates(v.candidates(spark, sf_dir), ["fold", "row_key"], 0.84)
 
 
-_WINDOWS = "SELECT base, row_idx, n, greatest(min(i) - 2, 0) AS f, least(max(i) + 2, n - 1) AS l FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT base, row_idx, truth, pred, length(pred) AS n FROM v_preds WHERE length(truth) = length(pred)) a) b WHERE substring(truth, i + 1, 1) <> substring(pred, i + 1, 1) GROUP BY base, row_idx, n"
+#: Readings of every row with some characters mistaken for others.
+_SWAPS = "SELECT base, row_idx, text AS truth, translate(text, 'OSI', 'QZL') AS pred FROM v_rows WHERE length(text) > 0"
+_WINDOWS = "SELECT base, row_idx, n, greatest(min(i) - 2, 0) AS f, least(max(i) + 2, n - 1) AS l FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT base, row_idx, truth, pred, length(pred) AS n FROM swaps) a) b WHERE substring(truth, i + 1, 1) <> substring(pred, i + 1, 1) GROUP BY base, row_idx, n"
 
 
-@query(v.sql("SELECT p.base, p.row_idx, CAST(CASE WHEN w.f IS NULL OR length(p.pred) <= 6 THEN 0 ELSE greatest(w.f - greatest(6 - (w.l - w.f + 1), 0), 0) END AS BIGINT) AS lo, CAST(CASE WHEN w.f IS NULL OR length(p.pred) <= 6 THEN length(p.pred) - 1 ELSE w.l + greatest(6 - (w.l - w.f + 1), 0) - (w.f - greatest(w.f - greatest(6 - (w.l - w.f + 1), 0), 0)) END AS BIGINT) AS hi FROM v_preds p LEFT JOIN wins w ON p.base = w.base AND p.row_idx = w.row_idx WHERE length(p.truth) = length(p.pred)", "v_preds", wins=_WINDOWS))
+@query(v.sql("SELECT p.base, p.row_idx, CAST(CASE WHEN w.f IS NULL OR length(p.pred) <= 6 THEN 0 ELSE greatest(w.f - greatest(6 - (w.l - w.f + 1), 0), 0) END AS BIGINT) AS lo, CAST(CASE WHEN w.f IS NULL OR length(p.pred) <= 6 THEN length(p.pred) - 1 ELSE w.l + greatest(6 - (w.l - w.f + 1), 0) - (w.f - greatest(w.f - greatest(6 - (w.l - w.f + 1), 0), 0)) END AS BIGINT) AS hi FROM swaps p LEFT JOIN wins w ON p.base = w.base AND p.row_idx = w.row_idx", "v_rows", swaps=_SWAPS, wins=_WINDOWS))
 def r15_disagreement_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = v.preds(spark, sf_dir).where("length(truth) = length(pred)").select("base", "row_idx", F.col("pred").alias("visual"), F.col("truth").alias("chosen"), F.col("truth").alias("truth"))
+    swapped = F.translate(F.col("text"), "OSI", "QZL")
+    reads = v.rows(spark, sf_dir).where("length(text) > 0").select("base", "row_idx", swapped.alias("visual"), F.col("text").alias("chosen"), F.col("text").alias("truth"))
     return ex.disagreement_window(reads, ["base", "row_idx"])
