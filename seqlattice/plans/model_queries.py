@@ -18,7 +18,7 @@ from .registry import query
 
 ORDER, SHARE, MIX = 4, 0.8, 0.3
 
-_STEPS = f"SELECT base, row_idx, split, i - 1 AS pos, m, substring(text, i - m + 1, m - 1) AS ctx, substring(text, i, 1) AS ch FROM (SELECT *, unnest(range(1, least({ORDER}, i) + 1)) AS m FROM (SELECT base, row_idx, split, text, unnest(range(1, length(text) + 1)) AS i FROM v_rows WHERE length(text) > 0) a) b"
+_STEPS = f"SELECT base, row_idx, split, i - 1 AS pos, m, substring(text, i - m + 1, m - 1) AS ctx, substring(text, i, 1) AS ch FROM (SELECT *, unnest(range(1, least({ORDER}, i) + 1)) AS m FROM (SELECT base, row_idx, split, text, unnest(range(1, length(text) + 1)) AS i FROM v_lines WHERE length(text) > 0) a) b"
 _COUNTS = "SELECT m, ctx, ch, count(*) AS n FROM steps WHERE split = 'train' GROUP BY m, ctx, ch"
 _TOTALS = "SELECT m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM counts GROUP BY m, ctx"
 _FOUND = "SELECT s.base, s.row_idx, s.pos, s.ch, s.m, t.tot, t.dis, c.n FROM steps s LEFT JOIN totals t ON s.m = t.m AND s.ctx = t.ctx LEFT JOIN counts c ON s.m = c.m AND s.ctx = c.ctx AND s.ch = c.ch"
@@ -28,15 +28,15 @@ _PPM = "SELECT base, row_idx, pos, ln(greatest(exp(sum(CASE WHEN tot IS NULL OR
 
 
 def _model_sql(body: str) -> str:
-    return v.sql(body, "v_rows", steps=_STEPS, counts=_COUNTS, totals=_TOTALS, found=_FOUND, inter=_INTER, ppm=_PPM)
+    return v.sql(body, "v_lines", steps=_STEPS, counts=_COUNTS, totals=_TOTALS, found=_FOUND, inter=_INTER, ppm=_PPM)
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ng.counts(v.rows(spark, sf_dir).where("split = 'train'"), ORDER)
+    return ng.counts(v.lines(spark, sf_dir).where("split = 'train'"), ORDER)
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.rows(spark, sf_dir)
+    rows = v.lines(spark, sf_dir)
     return ng.step_scores(rows, _train(spark, sf_dir), ORDER, ["base", "row_idx"], share=SHARE)
 
 
@@ -49,12 +49,12 @@ def l1_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     v.sql(
         "SELECT fold, m, ctx, ch, n FROM (SELECT f.fold, s.m, s.ctx, s.ch, count(*) FILTER (WHERE s.base % 5 <> f.fold) AS n FROM steps s CROSS JOIN (SELECT unnest(range(0, 5)) AS fold) f GROUP BY f.fold, s.m, s.ctx, s.ch) a WHERE n > 0",
-        "v_rows",
+        "v_lines",
         steps=_STEPS,
     )
 )
 def l2_fold_excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.rows(spark, sf_dir).withColumn("fold", F.col("base") % 5)
+    rows = v.lines(spark, sf_dir).withColumn("fold", F.col("base") % 5)
     by_fold = ng.counts(rows, ORDER, by=["fold"])
     return ng.excluded(by_fold, spark.range(5).withColumnRenamed("id", "fold")).select("fold", F.col("m").cast("bigint").alias("m"), "ctx", "ch", "n")
 
@@ -78,7 +78,7 @@ _PROFILE = f"SELECT f.base, f.row_idx, f.pos, f.k, ln(greatest(sum({SHARE} * pow
 
 @query(_model_sql(f"SELECT base, row_idx, k, round(sum(lp), 5) AS total, count(*) AS n FROM ({_PROFILE}) p GROUP BY base, row_idx, k"))
 def l4_order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = ng.step_profiles(v.rows(spark, sf_dir), _train(spark, sf_dir), ORDER, ["base", "row_idx"], share=SHARE)
+    profile = ng.step_profiles(v.lines(spark, sf_dir), _train(spark, sf_dir), ORDER, ["base", "row_idx"], share=SHARE)
     out = profile.select("base", "row_idx", F.posexplode("profile").alias("k", "lp"))
     return out.groupBy("base", "row_idx", (F.col("k") + 1).cast("bigint").alias("k")).agg(F.round(F.sum("lp"), 5).alias("total"), F.count("*").alias("n"))
 
@@ -88,19 +88,19 @@ def l5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_row(_scores(spark, sf_dir), F.col("ppm"))
 
 
-_TEXT = "SELECT r.base, r.row_idx, round(coalesce(i.s, 0) * (length(r.text) + 2), 5) AS interpolated, round(coalesce(p.s, 0) * (length(r.text) + 2), 5) AS ppm FROM v_rows r LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM inter GROUP BY base, row_idx) i ON r.base = i.base AND r.row_idx = i.row_idx LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM ppm GROUP BY base, row_idx) p ON r.base = p.base AND r.row_idx = p.row_idx"
+_TEXT = "SELECT r.base, r.row_idx, round(coalesce(i.s, 0) * (length(r.text) + 2), 5) AS interpolated, round(coalesce(p.s, 0) * (length(r.text) + 2), 5) AS ppm FROM v_lines r LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM inter GROUP BY base, row_idx) i ON r.base = i.base AND r.row_idx = i.row_idx LEFT JOIN (SELECT base, row_idx, avg(lp) AS s FROM ppm GROUP BY base, row_idx) p ON r.base = p.base AND r.row_idx = p.row_idx"
 
 
 @query(_model_sql(_TEXT))
 def l6_text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.rows(spark, sf_dir).withColumn("raw", F.concat("text", F.lit("jv")))
+    rows = v.lines(spark, sf_dir).withColumn("raw", F.concat("text", F.lit("jv")))
     s = ng.text_scores(_scores(spark, sf_dir), rows, ["base", "row_idx"], "text", "raw")
     return s.select("base", "row_idx", F.round("interpolated", 5).alias("interpolated"), F.round("ppm", 5).alias("ppm"))
 
 
-@query(v.sql(f"SELECT count(*) AS rows, sum(length(text))::BIGINT AS chars, {ORDER}::BIGINT AS max_order FROM v_rows WHERE length(text) > 0", "v_rows"))
+@query(v.sql(f"SELECT count(*) AS rows, sum(length(text))::BIGINT AS chars, {ORDER}::BIGINT AS max_order FROM v_lines WHERE length(text) > 0", "v_lines"))
 def l7_model_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ng.model_statistics(v.rows(spark, sf_dir), ORDER)
+    return ng.model_statistics(v.lines(spark, sf_dir), ORDER)
 
 
 @query(_by_row_sql(f"(SELECT i.base, i.row_idx, {1 - MIX} * i.lp + {MIX} * p.lp AS lp FROM inter i JOIN ppm p ON i.base = p.base AND i.row_idx = p.row_idx AND i.pos = p.pos) x"))
@@ -234,7 +234,7 @@ _FEATURES = _lattice_sql(
     """SELECT base, row_idx, text, round(score, 6) AS visual_sum, round(coalesce(p, 0) * length(text), 5) AS ppm_sum FROM (SELECT b.base, b.row_idx, b.text, b.score, avg(x.lp) AS p FROM (SELECT * FROM beam WHERE rank < 8) b LEFT JOIN bppm x ON x.base = b.base AND x.row_idx = b.row_idx AND x.text = b.text GROUP BY 1, 2, 3, 4) f""",
     product=_PRODUCT,
     beam=_BEAM,
-    v_rows=v.SQL["v_rows"],
+    v_lines=v.SQL["v_lines"],
     steps=_STEPS,
     counts=_COUNTS,
     totals=_TOTALS,
@@ -272,7 +272,7 @@ def _decode_sql(body: str, by_fold: bool = False, include_truth: bool = False, *
     truth = " UNION SELECT base, row_idx, truth FROM truths" if include_truth else ""
     return _lattice_sql(
         body,
-        v_rows=v.SQL["v_rows"],
+        v_lines=v.SQL["v_lines"],
         steps=_STEPS,
         fcounts=counted,
         ftotals="SELECT fold, m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM fcounts GROUP BY ALL",
@@ -303,7 +303,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate table of all folds, each with the counts of the others."""
     fold = F.col("base") % 5
-    by_fold = ng.counts(v.rows(spark, sf_dir).withColumn("fold", fold), ORDER, by=["fold"])
+    by_fold = ng.counts(v.lines(spark, sf_dir).withColumn("fold", fold), ORDER, by=["fold"])
     others = ng.excluded(by_fold, spark.range(5).withColumnRenamed("id", "fold"))
     table = la.candidate_table(v.logits(spark, sf_dir).withColumn("fold", fold), _truth(spark, sf_dir).withColumn("fold", fold), others, order=ORDER, beam=BEAM, top=3, include_truth=True, keys=["fold", "base", "row_idx"], by=["fold"])
     return la.fold_rows(table, "oof")

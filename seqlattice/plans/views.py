@@ -22,13 +22,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base, row_idx, text, split``: every document's lines in the alphabet, cut into rows of 64 letters."""
-    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    clean = lines.select("base", "pos", F.regexp_replace(F.upper(F.regexp_replace("line", "[^A-Za-z&:)]", "")), "[JV]", "").alias("c"))
-    tiles = clean.select("base", "pos", "c", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("c") / ROW).cast("int") - 1, F.lit(0)))).alias("t"))
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``base, row_idx, text, split``: every document's lines in the alphabet."""
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    clean = F.regexp_replace(F.upper(F.regexp_replace("line", "[^A-Za-z&:)]", "")), "[JV]", "")
     split = F.when(F.col("base") % 10 == 0, "val").when(F.col("base") % 10 == 1, "test").otherwise("train")
-    return tiles.select("base", (F.col("pos") * 100000 + F.col("t")).alias("row_idx"), F.substring("c", F.col("t") * ROW + 1, F.lit(ROW)).alias("text"), split.alias("split"))
+    return own.select("base", F.col("pos").cast("bigint").alias("row_idx"), clean.alias("text"), split.alias("split"))
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`lines`, cut into rows of 64 letters, for queries that compare rows letter by letter."""
+    tiles = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / ROW).cast("int") - 1, F.lit(0)))).alias("t")
+    cut = lines(spark, sf_dir).select("base", "row_idx", "text", "split", tiles)
+    return cut.select("base", (F.col("row_idx") * 100000 + F.col("t")).alias("row_idx"), F.substring("text", F.col("t") * ROW + 1, F.lit(ROW)).alias("text"), "split")
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +109,10 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views in SQL; each may use those above it.
 SQL = {
-    "v_rows": f"""SELECT base, CAST(pos * 100000 + t AS BIGINT) AS row_idx, substring(c, CAST(t * {ROW} + 1 AS BIGINT), {ROW}) AS text, CASE base % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split
-FROM (SELECT base, pos, c, unnest(range(0, greatest(CAST(ceil(length(c) / {ROW}.0) AS BIGINT), 1))) AS t FROM (
-SELECT base, pos, regexp_replace(upper(regexp_replace(line, '[^A-Za-z&:)]', '', 'g')), '[JV]', '', 'g') AS c FROM (
-SELECT doc_id AS base, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) l) m) n""",
+    "v_lines": """SELECT base, CAST(pos AS BIGINT) AS row_idx, regexp_replace(upper(regexp_replace(line, '[^A-Za-z&:)]', '', 'g')), '[JV]', '', 'g') AS text, CASE base % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT doc_id AS base, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) l""",
+    "v_rows": f"""SELECT base, CAST(row_idx * 100000 + t AS BIGINT) AS row_idx, substring(text, CAST(t * {ROW} + 1 AS BIGINT), {ROW}) AS text, split
+FROM (SELECT *, unnest(range(0, greatest(CAST(ceil(length(text) / {ROW}.0) AS BIGINT), 1))) AS t FROM v_lines) n""",
     "v_preds": "SELECT base, row_idx, split, text AS truth, translate(replace(text, 'AN', 'A'), 'OSI', 'QZL') AS pred FROM v_rows WHERE length(text) > 0",
     "v_candidates": """SELECT CAST(l_orderkey % 5 AS BIGINT) AS fold, CAST(l_orderkey AS BIGINT) AS row_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS candidate_index,
 CAST(20 + l_orderkey % 7 AS BIGINT) AS chars, CAST(l_partkey % 6 AS BIGINT) AS edit_distance, -CAST(l_extendedprice AS DOUBLE) / 1000 AS visual_sum, -CAST(l_quantity AS DOUBLE) AS ppm_sum FROM lineitem""",
@@ -121,7 +127,7 @@ FROM (SELECT DISTINCT file_id, CAST(floor(box_id / 20.0) AS BIGINT) AS g FROM v_
     "v_conf": "SELECT base, row_idx, i - 1 AS pos, substring(text, i, 1) AS ch, (ascii(substring(text, i, 1)) + i + base) % 7 <> 0 AS conf FROM (SELECT base, row_idx, text, unnest(range(1, length(text) + 1)) AS i FROM v_rows WHERE length(text) > 0) a",
     "v_views": "SELECT CAST(o_orderkey AS BIGINT) % 4000 AS base, concat('Rotation', CAST(1 + o_custkey % 2 AS VARCHAR)) AS rotation, concat('f', CAST(o_orderkey AS VARCHAR)) AS file_name FROM orders",
 }
-_USES = {"v_preds": ("v_rows",), "v_segments": ("v_boxes",), "v_chunks1": ("v_rows",), "v_chunks2": ("v_rows", "v_chunks1"), "v_conf": ("v_rows",)}
+_USES = {"v_rows": ("v_lines",), "v_preds": ("v_lines", "v_rows"), "v_segments": ("v_boxes",), "v_chunks1": ("v_lines", "v_rows"), "v_chunks2": ("v_lines", "v_rows", "v_chunks1"), "v_conf": ("v_lines", "v_rows")}
 
 
 def sql(body: str, *names: str, **more: str) -> str:
