@@ -102,7 +102,10 @@ class BallTree:
             self.visited += 1
             own = self.members[node]
             scores = (self.floats[own] @ vector).astype(np.int64) if exact else self.rows[own].astype(object) @ vector
-            for i in np.flatnonzero(scores >= floor):
+            near = np.flatnonzero(scores >= floor)
+            if len(near) > k + 1:  # members are in the order of their ids, so of equal scores the smaller ids stay
+                near = near[np.argsort(-scores[near], kind="stable")[: k + 1]]
+            for i in near:
                 if own[i] == itself:
                     continue
                 entry = (int(scores[i]), -int(self.ids[own[i]]))
