@@ -54,4 +54,24 @@ SELECT p.doc_id, p.size, q.source_size, q.target, CAST(CASE WHEN q.shard_size >
 FROM pl p JOIN quo q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
 """
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op7_mix_sources": MIXING, "op10_line_dedup": LINES}
+#: Every lag of every word; a run within another of smaller period has that period.
+RUNS = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, {_WORDS} AS w,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+e AS (SELECT doc_id, k, w, len(w) AS n, coalesce(h % 10 = 0, false) AND len(w) > 0 AS chosen, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN chosen THEN g % n END AS a, CASE WHEN chosen THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM e),
+i AS (SELECT doc_id, k, n, w, chosen, a, p, unnest(range(0, n)) AS i FROM f),
+t AS (SELECT k, n, i, w[1 + CASE WHEN chosen AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM i),
+m AS (SELECT y.k, y.i - x.i AS q, y.i, y.i - row_number() OVER (PARTITION BY y.k, y.i - x.i ORDER BY y.i) AS island
+    FROM t x JOIN t y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= y.n),
+c AS (SELECT k, q, min(i) - q AS s, count(*) + q AS len FROM m GROUP BY k, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.k = c.k AND o.q < c.q AND o.s <= c.s AND o.s + o.len >= c.s + c.len)),
+b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) AS best FROM r),
+u AS (SELECT k, count(*) AS n_runs, max(CASE WHEN best = 1 THEN s END) AS start, max(CASE WHEN best = 1 THEN len END) AS length, max(CASE WHEN best = 1 THEN q END) AS period, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM b GROUP BY k),
+g AS (SELECT DISTINCT k, unnest(range(s + q, s + len)) AS i FROM r),
+v AS (SELECT t.k, string_agg(t.word, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN g ON t.k = g.k AND t.i = g.i WHERE g.i IS NULL GROUP BY t.k)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN u ON d.k = u.k LEFT JOIN v ON d.k = v.k
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op7_mix_sources": MIXING, "op10_line_dedup": LINES, "op11_periodic_runs": RUNS}
