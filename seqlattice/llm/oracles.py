@@ -74,4 +74,16 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
 FROM d LEFT JOIN u ON d.k = u.k LEFT JOIN v ON d.k = v.k
 """
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op7_mix_sources": MIXING, "op10_line_dedup": LINES, "op11_periodic_runs": RUNS}
+SEARCH = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) u WHERE term IN (SELECT term FROM q) GROUP BY k, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t CROSS JOIN c GROUP BY term, n_docs),
+s AS (SELECT q.item_id, d.doc_id, d.k, CAST(sum(f.weight * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 90 + (90 * len(d.w) * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM t JOIN q ON t.term = q.term JOIN f ON t.term = f.term JOIN d ON t.k = d.k CROSS JOIN c GROUP BY q.item_id, d.doc_id, d.k),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op7_mix_sources": MIXING, "op10_line_dedup": LINES, "op11_periodic_runs": RUNS, "op13_ranked_search": SEARCH}

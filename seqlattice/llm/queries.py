@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dedup, media, mixing, near_dedup, periodic_runs, quality, secrets, substring_dedup, topk
+from . import bpe, html_text, license_scan, line_dedup, media, mixing, near_dedup, periodic_runs, quality, ranked_search, secrets, substring_dedup, topk
 
 #: Documents whose probability of the highest grade is at least this are kept.
 LEAST_TAIL = 0.5
@@ -69,8 +69,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_media_columns, op3_quality, op4_exact_top_k, op5_substring_dedup, op6_html_text, op7_mix_sources, op8_near_dedup, op9_bpe, op10_line_dedup, op11_periodic_runs]
+    found = [op1_secret_scan, op2_media_columns, op3_quality, op4_exact_top_k, op5_substring_dedup, op6_html_text, op7_mix_sources, op8_near_dedup, op9_bpe, op10_line_dedup, op11_periodic_runs, op12_license_scan, op13_ranked_search]
     return {f.__name__: f for f in found}
 
 
