@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ALPHABET
+from ..operators import contexts as cx
 from ..operators import explain as ex
 from ..operators import lattice as la
 from ..operators import ngram as ng
@@ -22,8 +24,8 @@ _STEPS = f"SELECT base, row_idx, split, i - 1 AS pos, m, substring(text, i - m +
 _COUNTS = "SELECT m, ctx, ch, count(*) AS n FROM steps WHERE split = 'train' GROUP BY m, ctx, ch"
 _TOTALS = "SELECT m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM counts GROUP BY m, ctx"
 _FOUND = "SELECT s.base, s.row_idx, s.pos, s.ch, s.m, t.tot, t.dis, c.n FROM steps s LEFT JOIN totals t ON s.m = t.m AND s.ctx = t.ctx LEFT JOIN counts c ON s.m = c.m AND s.ctx = c.ctx AND s.ch = c.ch"
-#: Closed forms: the interpolated p is the sum of share * (1 - share)^(top - m) * n / tot and (1 - share)^top / 27.
-_INTER = f"SELECT base, row_idx, pos, ln(greatest(sum({SHARE} * pow({1 - SHARE}, top - m) * coalesce(n / tot::DOUBLE, 0)) + pow({1 - SHARE}, max(top)) / 27, 1e-12)) AS lp FROM (SELECT *, max(m) OVER (PARTITION BY base, row_idx, pos) AS top FROM found) a GROUP BY base, row_idx, pos"
+#: Closed forms: the interpolated p is the sum of share * (1 - share)^(K - m) * n / tot and (1 - share)^K / 27 for order K.
+_INTER = f"SELECT base, row_idx, pos, ln(greatest(sum({SHARE} * pow({1 - SHARE}, {ORDER} - m) * coalesce(n / tot::DOUBLE, 0)) + pow({1 - SHARE}, {ORDER}) / 27, 1e-12)) AS lp FROM found GROUP BY base, row_idx, pos"
 _PPM = "SELECT base, row_idx, pos, ln(greatest(exp(sum(CASE WHEN tot IS NULL OR m < hit THEN 0 WHEN m = hit THEN ln(n / (tot + dis)::DOUBLE) ELSE ln(dis / (tot + dis)::DOUBLE) END)) / CASE WHEN max(hit) = 0 THEN 27 ELSE 1 END, 1e-12)) AS lp FROM (SELECT *, coalesce(max(CASE WHEN n IS NOT NULL THEN m END) OVER (PARTITION BY base, row_idx, pos), 0) AS hit FROM found) a GROUP BY base, row_idx, pos"
 
 
@@ -73,7 +75,7 @@ def l3_interpolated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_row(_scores(spark, sf_dir), F.col("interpolated"))
 
 
-_PROFILE = f"SELECT f.base, f.row_idx, f.pos, f.k, ln(greatest(sum({SHARE} * pow({1 - SHARE}, f.k - f.m) * coalesce(f.n / f.tot::DOUBLE, 0)) + pow({1 - SHARE}, f.k) / 27, 1e-12)) AS lp FROM (SELECT a.base, a.row_idx, a.pos, b.m AS k, a.m, a.n, a.tot FROM found a JOIN found b ON a.base = b.base AND a.row_idx = b.row_idx AND a.pos = b.pos AND a.m <= b.m) f GROUP BY f.base, f.row_idx, f.pos, f.k"
+_PROFILE = f"SELECT f.base, f.row_idx, f.pos, k, ln(greatest(sum({SHARE} * pow({1 - SHARE}, k - f.m) * coalesce(f.n / f.tot::DOUBLE, 0)) + pow({1 - SHARE}, k) / 27, 1e-12)) AS lp FROM found f JOIN (SELECT unnest(range(1, {ORDER} + 1)) AS k) o ON f.m <= k GROUP BY f.base, f.row_idx, f.pos, k"
 
 
 @query(_model_sql(f"SELECT base, row_idx, k, round(sum(lp), 5) AS total, count(*) AS n FROM ({_PROFILE}) p GROUP BY base, row_idx, k"))
@@ -252,60 +254,84 @@ def b8_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.join(p, ["base", "row_idx", "text"], "left").select("base", "row_idx", "text", F.round("score", 6).alias("visual_sum"), F.round(F.coalesce("p", F.lit(0.0)) * F.length("text"), 5).alias("ppm_sum"))
 
 
-#: Prefixes that a language beam keeps: all of three positions, so that SQL can state it by products.
-BEAM = 27
-
-
-def _decode_sql(body: str, by_fold: bool = False, include_truth: bool = False, **more: str) -> str:
-    """``lbeam`` (language beam), ``pool`` and ``features`` of it, for ``body``; the counts are those of the training rows, or for
-    each fold those of all other folds."""
-    fold = "base % 5" if by_fold else "0"
-    counted = "SELECT f.fold, s.m, s.ctx, s.ch, count(*) AS n FROM steps s JOIN (SELECT unnest(range(0, 5)) AS fold) f ON s.base % 5 <> f.fold GROUP BY ALL" if by_fold else "SELECT 0 AS fold, m, ctx, ch, count(*) AS n FROM steps WHERE split = 'train' GROUP BY ALL"
+#: Decoding as the reference configures it.
+DEEP, BEAM, TOP, POSITIONS, CHOSEN = 12, 256, 8, 13, 0.84
+
+
+def _lookup(asked: str, others: bool) -> str:
+    """``asked`` (with ``fold, m, ctx, ch``) and ``tot, dis, n`` of its contexts; with ``others`` without the fold's own counts."""
+    on = lambda t: f"a.m = {t}.m AND a.ctx = {t}.ctx"
+    joins = f"LEFT JOIN ta t ON {on('t')} LEFT JOIN ca c ON {on('c')} AND a.ch = c.ch"
+    if not others:
+        return f"SELECT a.*, t.tot, t.dis, c.n FROM ({asked}) a {joins}"
+    own = f"LEFT JOIN tf o ON {on('o')} AND a.fold = o.fold LEFT JOIN cf x ON {on('x')} AND a.fold = x.fold AND a.ch = x.ch"
+    return f"SELECT a.*, nullif(t.tot - coalesce(o.tot, 0), 0) AS tot, t.dis - coalesce(o.gone, 0) AS dis, nullif(c.n - coalesce(x.n, 0), 0) AS n FROM ({asked}) a {joins} {own}"
+
+
+def _beam_steps(name: str, fold: str, others: bool, language: bool) -> dict[str, str]:
+    """A beam position by position: ``name`` has the texts of whole rows with their scores and ranks."""
+    out = {f"{name}_0": "SELECT DISTINCT base, row_idx, '' AS text, 0.0::DOUBLE AS score, 0::BIGINT AS rank FROM lattice"}
+    for k in range(POSITIONS):
+        out[f"{name}_g{k}"] = f"SELECT b.base, b.row_idx, {fold.replace('base', 'b.base')} AS fold, b.text, b.score, b.rank, l.ch, l.lp, l.r, right(b.text, {DEEP - 1}) AS tail FROM {name}_{k} b JOIN lattice l ON b.base = l.base AND b.row_idx = l.row_idx AND l.pos = {k} AND l.r <= {TOP}"
+        source, score = f"{name}_g{k} g", "g.score + g.lp"
+        if language:
+            asked = f"SELECT fold, tail, ch, m, right(tail, m - 1) AS ctx FROM (SELECT *, unnest(range(1, least({DEEP}, length(tail) + 1) + 1)) AS m FROM (SELECT DISTINCT fold, tail, ch FROM {name}_g{k}) d) e"
+            out[f"{name}_f{k}"] = _lookup(asked, others)
+            out[f"{name}_p{k}"] = _PPM.replace("base, row_idx, pos", "fold, tail, ch").replace("FROM found", f"FROM {name}_f{k}")
+            source, score = f"{source} JOIN {name}_p{k} p ON g.fold = p.fold AND g.tail = p.tail AND g.ch = p.ch", "(g.score + g.lp) + p.lp"
+        out[f"{name}_{k + 1}"] = f"SELECT * FROM (SELECT g.base, g.row_idx, g.text || g.ch AS text, {score} AS score, row_number() OVER (PARTITION BY g.base, g.row_idx ORDER BY {score} DESC, g.rank, g.r) - 1 AS rank FROM {source}) x WHERE rank < {BEAM}"
+    ended = " UNION ALL ".join(f"SELECT * FROM {name}_{k}" for k in range(1, POSITIONS + 1))
+    return out | {name: f"SELECT b.* FROM ({ended}) b JOIN (SELECT base, row_idx, max(pos) + 1 AS len FROM lattice GROUP BY base, row_idx) n ON b.base = n.base AND b.row_idx = n.row_idx AND length(b.text) = n.len"}
+
+
+def _decode_sql(body: str, others: bool = False, include_truth: bool = False, language_only: bool = False, **more: str) -> str:
+    """``vbeam``, ``lbeam`` (visual and language beam), ``pool`` and ``features`` of it, for ``body``; the counts are those of the training
+    rows, or for each fold (``base % 5``) those of all other folds."""
+    fold = "base % 5" if others else "0"
+    steps = _STEPS.replace(f"least({ORDER}, i)", f"least({DEEP}, i)")
+    counted = {"ca": "SELECT m, ctx, ch, count(*) AS n FROM steps WHERE split = 'train' GROUP BY m, ctx, ch"}
+    if others:
+        counted = {"cf": "SELECT base % 5 AS fold, m, ctx, ch, count(*) AS n FROM steps GROUP BY ALL", "ca": "SELECT m, ctx, ch, sum(n)::BIGINT AS n FROM cf GROUP BY m, ctx, ch"}
+        counted["tf"] = "SELECT f.fold, f.m, f.ctx, sum(f.n)::BIGINT AS tot, count(*) FILTER (WHERE f.n = c.n) AS gone FROM cf f JOIN ca c ON f.m = c.m AND f.ctx = c.ctx AND f.ch = c.ch GROUP BY f.fold, f.m, f.ctx"
+    lattice = {k: x.replace("v_logits", "v_whole") for k, x in (("lp", _LP), ("long", _LONG), ("lattice", _LATTICE))}
+    shared = lattice | {"steps": steps} | counted | {"ta": "SELECT m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM ca GROUP BY m, ctx"} | _beam_steps("lbeam", fold, others, True)
+    if language_only:
+        return v.sql(body, "v_lines", "v_whole", **shared, **more)
+    truth = " UNION SELECT base, row_idx, truth FROM truths" if include_truth else ""
+    asked = f"SELECT base, row_idx, text, {fold} AS fold, i - 1 AS pos, m, substring(text, i - m + 1, m - 1) AS ctx, substring(text, i, 1) AS ch FROM (SELECT *, unnest(range(1, least({DEEP}, i) + 1)) AS m FROM (SELECT base, row_idx, text, unnest(range(1, length(text) + 1)) AS i FROM pool) a) b"
+    features = {
+        "truths": "SELECT base, row_idx, string_agg(substring('ABCDEFGHIKLMNOPQRSTUWXYZ&:)', label + 1, 1), '' ORDER BY chunk_idx) AS truth FROM v_whole GROUP BY base, row_idx",
+        "pool": f"SELECT base, row_idx, text, row_number() OVER (PARTITION BY base, row_idx ORDER BY text) - 1 AS candidate_index FROM (SELECT base, row_idx, text FROM vbeam UNION SELECT base, row_idx, text FROM lbeam{truth}) a",
+        "seen": "SELECT t.base, t.row_idx, t.text, sum(l.lp) AS visual_sum FROM (SELECT base, row_idx, text, unnest(range(0, length(text))) AS pos FROM pool) t JOIN lattice l ON l.base = t.base AND l.row_idx = t.row_idx AND l.pos = t.pos AND l.ch = substring(t.text, t.pos + 1, 1) GROUP BY t.base, t.row_idx, t.text",
+        "own_f": _lookup(asked, others),
+        "own_p": _PPM.replace("base, row_idx, pos", "base, row_idx, text, pos").replace("FROM found", "FROM own_f"),
+        "features": "SELECT p.*, s.visual_sum, x.p * length(p.text) AS ppm_sum FROM pool p JOIN seen s ON p.base = s.base AND p.row_idx = s.row_idx AND p.text = s.text JOIN (SELECT base, row_idx, text, avg(lp) AS p FROM own_p GROUP BY base, row_idx, text) x ON p.base = x.base AND p.row_idx = x.row_idx AND p.text = x.text",
+    }
+    return v.sql(body, "v_lines", "v_whole", **shared, **_beam_steps("vbeam", fold, others, False), **features, **more)
 
-    def scored(name: str, source: str) -> dict[str, str]:
-        return {
-            f"{name}_steps": f"SELECT base, row_idx, text, {fold} AS fold, i - 1 AS pos, m, substring(text, i - m + 1, m - 1) AS ctx, substring(text, i, 1) AS ch FROM (SELECT *, unnest(range(1, least({ORDER}, i) + 1)) AS m FROM (SELECT base, row_idx, text, unnest(range(1, length(text) + 1)) AS i FROM {source}) a) b",
-            f"{name}_found": f"SELECT s.base, s.row_idx, s.text, s.pos, s.m, t.tot, t.dis, c.n FROM {name}_steps s LEFT JOIN ftotals t ON s.fold = t.fold AND s.m = t.m AND s.ctx = t.ctx LEFT JOIN fcounts c ON s.fold = c.fold AND s.m = c.m AND s.ctx = c.ctx AND s.ch = c.ch",
-            f"{name}_ppm": _PPM.replace("base, row_idx, pos", "base, row_idx, text, pos").replace("FROM found", f"FROM {name}_found"),
-        }
 
-    truth = " UNION SELECT base, row_idx, truth FROM truths" if include_truth else ""
-    return _lattice_sql(
-        body,
-        v_lines=v.SQL["v_lines"],
-        steps=_STEPS,
-        fcounts=counted,
-        ftotals="SELECT fold, m, ctx, sum(n)::BIGINT AS tot, count(*) AS dis FROM fcounts GROUP BY ALL",
-        product=_PRODUCT,
-        beam=_BEAM,
-        truths="SELECT base, row_idx, string_agg(substring('ABCDEFGHIKLMNOPQRSTUWXYZ&:)', label + 1, 1), '' ORDER BY chunk_idx) AS truth FROM v_logits GROUP BY base, row_idx",
-        **scored("all", "product"),
-        lbeam="SELECT base, row_idx, text, score, row_number() OVER (PARTITION BY base, row_idx ORDER BY score DESC, text) - 1 AS rank FROM (SELECT p.base, p.row_idx, p.text, p.score + x.lm AS score FROM product p JOIN (SELECT base, row_idx, text, sum(lp) AS lm FROM all_ppm GROUP BY base, row_idx, text) x ON p.base = x.base AND p.row_idx = x.row_idx AND p.text = x.text) a",
-        pool=f"SELECT base, row_idx, text, row_number() OVER (PARTITION BY base, row_idx ORDER BY text) - 1 AS candidate_index FROM (SELECT base, row_idx, text FROM beam WHERE rank < {BEAM} UNION SELECT base, row_idx, text FROM lbeam WHERE rank < {BEAM}{truth}) a",
-        seen="SELECT t.base, t.row_idx, t.text, sum(l.lp) AS visual_sum FROM (SELECT base, row_idx, text, unnest(range(0, length(text))) AS pos FROM pool) t JOIN lattice l ON l.base = t.base AND l.row_idx = t.row_idx AND l.pos = t.pos AND l.ch = substring(t.text, t.pos + 1, 1) GROUP BY t.base, t.row_idx, t.text",
-        **scored("own", "pool"),
-        features="SELECT p.*, s.visual_sum, x.p * length(p.text) AS ppm_sum FROM pool p JOIN seen s ON p.base = s.base AND p.row_idx = s.row_idx AND p.text = s.text JOIN (SELECT base, row_idx, text, avg(lp) AS p FROM own_ppm GROUP BY base, row_idx, text) x ON p.base = x.base AND p.row_idx = x.row_idx AND p.text = x.text",
-        **more,
-    )
+def _deep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cx.suffix_counts(v.lines(spark, sf_dir).where("split = 'train'"), DEEP)
 
 
-@query(_decode_sql(f"SELECT base, row_idx, rank, text, round(score, 6) AS score FROM lbeam WHERE rank < {BEAM}"))
+@query(_decode_sql("SELECT base, row_idx, rank, text, round(score, 6) AS score FROM lbeam", language_only=True))
 def b5_language_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return la.language_beam(la.lattice(v.logits(spark, sf_dir), 3), _train(spark, sf_dir), ORDER, 1.0, BEAM).select("base", "row_idx", "rank", "text", F.round("score", 6).alias("score"))
+    beams = la.language_beam(la.lattice(v.whole_logits(spark, sf_dir), TOP), _deep_counts(spark, sf_dir), DEEP, 1.0, BEAM)
+    return beams.select("base", "row_idx", "rank", "text", F.round("score", 6).alias("score"))
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truth(spark: SparkSession, sf_dir: str, logits: DataFrame | None = None) -> DataFrame:
     letters = F.array(*[F.lit(c) for c in "ABCDEFGHIKLMNOPQRSTUWXYZ&:)"])
-    lab = v.logits(spark, sf_dir).groupBy("base", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "label"))), lambda x: F.get(letters, x["label"].cast("int"))).alias("t"))
+    lab = (logits or v.logits(spark, sf_dir)).groupBy("base", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "label"))), lambda x: F.get(letters, x["label"].cast("int"))).alias("t"))
     return lab.select("base", "row_idx", F.array_join("t", "").alias("truth"))
 
 
 def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate table of all folds, each with the counts of the others."""
-    fold = F.col("base") % 5
-    by_fold = ng.counts(v.lines(spark, sf_dir).withColumn("fold", fold), ORDER, by=["fold"])
-    others = ng.excluded(by_fold, spark.range(5).withColumnRenamed("id", "fold"))
-    table = la.candidate_table(v.logits(spark, sf_dir).withColumn("fold", fold), _truth(spark, sf_dir).withColumn("fold", fold), others, order=ORDER, beam=BEAM, top=3, include_truth=True, keys=["fold", "base", "row_idx"], by=["fold"])
+    fold, logits = F.col("base") % 5, v.whole_logits(spark, sf_dir)
+    by_fold = cx.suffix_counts(v.lines(spark, sf_dir).withColumn("fold", fold), DEEP, by=["fold"])
+    truth = _truth(spark, sf_dir, logits).withColumn("fold", fold)
+    table = la.candidate_table(logits.withColumn("fold", fold), truth, by_fold, order=DEEP, beam=BEAM, top=TOP, include_truth=True, keys=["fold", "base", "row_idx"], by=["fold"], others=True)
     return la.fold_rows(table, "oof")
 
 
@@ -332,11 +358,46 @@ def r6_decoded_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("fold", F.col("i").cast("bigint").alias("i"), "train_errors", "errors", "chars")
 
 
-@query(_decode_sql("SELECT base, row_idx, text AS pred, round(visual_sum + 0.84 * ppm_sum, 5) AS score, candidates FROM (SELECT *, row_number() OVER (PARTITION BY base, row_idx ORDER BY visual_sum + 0.84 * ppm_sum DESC, candidate_index) AS r, count(*) OVER (PARTITION BY base, row_idx) AS candidates FROM features) a WHERE r = 1"))
+@query(_decode_sql(f"SELECT base, row_idx, text AS pred, round(visual_sum + {CHOSEN} * ppm_sum, 5) AS score, candidates FROM (SELECT *, row_number() OVER (PARTITION BY base, row_idx ORDER BY visual_sum + {CHOSEN} * ppm_sum DESC, candidate_index) AS r, count(*) OVER (PARTITION BY base, row_idx) AS candidates FROM features) a WHERE r = 1"))
 def r9_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lg = v.logits(spark, sf_dir)
-    table = la.candidate_table(lg, _truth(spark, sf_dir), _train(spark, sf_dir), order=ORDER, beam=BEAM, top=3)
-    return la.decode(table, 0.84, lg.select("base", "row_idx").distinct()).withColumn("score", F.round("score", 5))
+    lg = v.whole_logits(spark, sf_dir)
+    table = la.candidate_table(lg, _truth(spark, sf_dir, lg), _deep_counts(spark, sf_dir), order=DEEP, beam=BEAM, top=TOP)
+    return la.decode(table, CHOSEN, lg.select("base", "row_idx").distinct()).withColumn("score", F.round("score", 5))
+
+
+#: Counts of order 12, summed by the last two letters of the context.
+_DEEP_SUMS = "SELECT {0}m, right(ctx, 2) AS nearest, ch, count(*) AS contexts, sum(n)::BIGINT AS n, sum(tot)::BIGINT AS tot, sum(dis)::BIGINT AS dis, max(n) AS most FROM {1} GROUP BY {0}m, right(ctx, 2), ch"
+
+
+def _deep_sums(counts: DataFrame, by: list[str]) -> DataFrame:
+    m = F.col("m").cast("bigint").alias("m")
+    nearest = F.expr("right(ctx, 2)").alias("nearest")
+    ch = F.substring(F.lit(ALPHABET), F.col("ch_id"), F.lit(1)).alias("ch")
+    named = counts.withColumn("ctx", cx.context_text(F.col("code"), F.col("m"))).select(*by, m, nearest, ch, "n", "tot", "dis")
+    return named.groupBy(*by, "m", "nearest", "ch").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"), F.sum("tot").alias("tot"), F.sum("dis").alias("dis"), F.max("n").alias("most"))
+
+
+_DEEP_STEPS = _STEPS.replace(f"least({ORDER}, i)", f"least({DEEP}, i)")
+
+
+@query(v.sql(_DEEP_SUMS.format("", "(SELECT c.*, t.tot, t.dis FROM counts c JOIN totals t ON c.m = t.m AND c.ctx = t.ctx) x"), "v_lines", steps=_DEEP_STEPS, counts=_COUNTS, totals=_TOTALS))
+def l1_deep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deep_sums(_deep_counts(spark, sf_dir), [])
+
+
+@query(v.sql(_DEEP_SUMS.format("fold, ", "(SELECT c.*, sum(n) OVER w AS tot, count(*) OVER w AS dis FROM counts c WINDOW w AS (PARTITION BY fold, m, ctx)) x"), "v_lines", steps=_DEEP_STEPS, counts="SELECT base % 5 AS fold, m, ctx, ch, count(*) AS n FROM steps GROUP BY ALL"))
+def l2_deep_fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deep_sums(cx.suffix_counts(v.lines(spark, sf_dir).withColumn("fold", F.col("base") % 5), DEEP, by=["fold"]), ["fold"])
+
+
+def _deep_sql(body: str) -> str:
+    return v.sql(body, "v_lines", steps=_DEEP_STEPS, counts=_COUNTS, totals=_TOTALS, found=_FOUND, inter=_INTER.replace(f"{ORDER} - m", f"{DEEP} - m").replace(f", {ORDER})", f", {DEEP})"), ppm=_PPM)
+
+
+@query(_deep_sql("SELECT i.base, i.row_idx, round(sum(i.lp), 5) AS interpolated, round(sum(p.lp), 5) AS ppm, count(*) AS n FROM inter i JOIN ppm p ON i.base = p.base AND i.row_idx = p.row_idx AND i.pos = p.pos GROUP BY i.base, i.row_idx"))
+def l5_deep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ng.step_scores(v.lines(spark, sf_dir), _deep_counts(spark, sf_dir), DEEP, ["base", "row_idx"], share=SHARE)
+    return scored.groupBy("base", "row_idx").agg(F.round(F.sum("interpolated"), 5).alias("interpolated"), F.round(F.sum("ppm"), 5).alias("ppm"), F.count("*").alias("n"))
 
 
 @query(v.sql("SELECT base, row_idx, chunk_idx, label, i - 1 AS i, round(CAST(logits[i] AS FLOAT), 5) AS v FROM (SELECT *, unnest(range(1, 28)) AS i FROM v_logits) a", "v_logits"))

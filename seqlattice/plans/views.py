@@ -85,6 +85,11 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 13).cast("bigint").alias("base"), F.floor(F.col("vec_id") % 13 / 4).cast("bigint").alias("row_idx"), (F.col("vec_id") % 13 % 4).cast("bigint").alias("chunk_idx"), F.col("label").cast("bigint").alias("label"), F.slice("embedding", 1, 27).cast("array<double>").alias("logits"))
 
 
+def whole_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`logits`, with all thirteen positions of an object in one row."""
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 13).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("row_idx"), (F.col("vec_id") % 13).cast("bigint").alias("chunk_idx"), F.col("label").cast("bigint").alias("label"), F.slice("embedding", 1, 27).cast("array<double>").alias("logits"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``base, row_idx, chunk_idx, t``: rows cut into fours."""
     cut = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 4).cast("int") - 1))
@@ -122,6 +127,7 @@ SELECT l_suppkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_sup
     "v_segments": """SELECT file_id, g * 2 + half AS seg_id, CAST(80 + 410 * half AS DOUBLE) AS x0, CAST(100 + 60 * g AS DOUBLE) AS y0, CAST(490 + 410 * half AS DOUBLE) AS x1, CAST(100 + 60 * g AS DOUBLE) AS y1
 FROM (SELECT DISTINCT file_id, CAST(floor(box_id / 20.0) AS BIGINT) AS g FROM v_boxes) a CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1 AS half) b""",
     "v_logits": "SELECT CAST(floor(vec_id / 13.0) AS BIGINT) AS base, CAST(floor((vec_id % 13) / 4.0) AS BIGINT) AS row_idx, CAST(vec_id % 13 % 4 AS BIGINT) AS chunk_idx, CAST(label AS BIGINT) AS label, list_transform(embedding[1:27], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings",
+    "v_whole": "SELECT CAST(floor(vec_id / 13.0) AS BIGINT) AS base, 0::BIGINT AS row_idx, CAST(vec_id % 13 AS BIGINT) AS chunk_idx, CAST(label AS BIGINT) AS label, list_transform(embedding[1:27], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings",
     "v_chunks1": "SELECT base, row_idx, chunk_idx, substring(text, CAST(chunk_idx * 4 + 1 AS BIGINT), 4) AS t FROM (SELECT base, row_idx, text, unnest(range(0, CAST(ceil(length(text) / 4.0) AS BIGINT))) AS chunk_idx FROM v_rows WHERE length(text) > 0) a",
     "v_chunks2": "SELECT base, row_idx, chunk_idx, CASE WHEN (base + row_idx + chunk_idx) % 97 = 0 THEN concat(t, 'A') ELSE t END AS t FROM v_chunks1 WHERE NOT (base % 11 = 0 AND row_idx = 0)",
     "v_conf": "SELECT base, row_idx, i - 1 AS pos, substring(text, i, 1) AS ch, (ascii(substring(text, i, 1)) + i + base) % 7 <> 0 AS conf FROM (SELECT base, row_idx, text, unnest(range(1, length(text) + 1)) AS i FROM v_rows WHERE length(text) > 0) a",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlattice.functions import text as tx
+from seqlattice.operators import contexts
 from seqlattice.operators import evaluate as ev
 from seqlattice.operators import explain as ex
 from seqlattice.operators import folds as fo
@@ -212,13 +213,19 @@ def plain_ppm(counts, order, prefix, ch):
 
 def plain_interpolated(counts, order, prefix, ch, share):
     p = 1 / 27
-    for m in range(1, min(order, len(prefix) + 1) + 1):
-        seen = counts.get((m, prefix[len(prefix) - m + 1 :] if m > 1 else ""), {})
+    for m in range(1, order + 1):
+        seen = counts.get((m, prefix[len(prefix) - m + 1 :] if m > 1 else ""), {}) if m <= len(prefix) + 1 else {}
         p = share * (seen.get(ch, 0) / sum(seen.values()) if seen else 0) + (1 - share) * p
     return math.log(max(p, 1e-12))
 
 
-def test_scorers(spark):
+#: Counts in a packed model, and counts that are joined.
+PACKED = pytest.mark.parametrize("most", [contexts.MOST_NGRAMS, 0])
+
+
+@PACKED
+def test_scorers(spark, monkeypatch, most):
+    monkeypatch.setattr(contexts, "MOST_NGRAMS", most)
     train, test = ["ABABC", "ABCABD", "A", ""], ["ABABD", "ZZ", "CAB", ""]
     counts = plain_counts(train, 3)
     model = ng.counts(spark.createDataFrame([(t,) for t in train], "text string"), 3)
@@ -233,6 +240,70 @@ def test_scorers(spark):
     assert sums[3] == 0 and sums[0] == pytest.approx(sum(got[0, k].ppm for k in range(5)))
 
 
+@pytest.mark.parametrize("order", [1, 2, 5, 12])
+@pytest.mark.parametrize("by", [[], ["fold"]])
+def test_suffix_counts(spark, order, by):
+    """Contexts across the ends of small batches and partitions, against the counts of every order one by one."""
+    rng = random.Random(order)
+    rows = [(i % 3, "".join(rng.choices("AB&)E", k=rng.randint(0, 40)))) for i in range(60)] + [(1, None), (2, "AB" * 300)]
+    texts = spark.createDataFrame(rows, "fold int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = contexts.suffix_counts(texts, order, by=by).withColumn("ctx", contexts.context_text(F.col("code"), F.col("m"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {(*[r[b] for b in by], r.m, r.ctx, tx.ALPHABET[r.ch_id - 1]): (r.n, r.tot, r.dis) for r in got}
+    assert len(found) == len(got)
+    plain = ng.counts(texts, order, by=by)
+    want = {(*[r[b] for b in by], r.m, r.ctx, r.ch): (r.n, r.tot, r.dis) for r in plain.join(ng.totals(plain, by), [*by, "m", "ctx"]).collect()}
+    assert found == want
+
+
+def test_suffix_counts_keep_the_alphabet(spark):
+    with pytest.raises(Exception, match="outside of the alphabet"):
+        contexts.suffix_counts(spark.createDataFrame([("ABc",)], "text string"), 3).collect()
+    assert contexts.suffix_counts(spark.createDataFrame([("",)], "text string"), 3).count() == 0
+
+
+def test_packed_model_of_both_tables(spark):
+    texts = spark.createDataFrame([(i % 2, t) for i, t in enumerate(["ABABCD", "HELLO", "&:)", "ABAB"])], "fold int, text string")
+    a, b = contexts.pack(ng.counts(texts, 12, by=["fold"]), 12, ["fold"]), contexts.pack(contexts.suffix_counts(texts, 12, by=["fold"]), 12, ["fold"])
+    assert a.groups == b.groups and all((x == y).all() for x, y in zip(a[2:], b[2:], strict=True))
+    assert contexts.pack(ng.counts(spark.createDataFrame([("ab",)], "text string"), 2), 2) is None
+    assert contexts.pack(ng.counts(texts, 14), 14) is None
+    assert contexts.pack(ng.counts(texts, 3).where("m <> 2"), 3) is None
+
+
+@PACKED
+def test_candidates_by_the_counts_of_other_folds(spark, monkeypatch, most):
+    """One job for all folds, against a table of its own for each fold."""
+    rng = random.Random(4)
+    texts = spark.createDataFrame([(i % 3, "".join(rng.choices("ABCDE&", k=12))) for i in range(30)], "fold bigint, text string")
+    logits = random_logits(spark, [2, 5, 3, 6]).withColumn("fold", F.col("base") % 4)
+    truth = logits.select("fold", "base", "row_idx").distinct().withColumn("truth", F.lit("ABC"))
+    keys = ["fold", "base", "row_idx"]
+    want = {}
+    for fold in range(4):
+        own = lambda df: df.where(F.col("fold") == fold)  # noqa: B023, E731
+        counts = ng.counts(texts.where(F.col("fold") != fold), 5)
+        for r in la.candidate_table(own(logits), own(truth), counts, order=5, beam=6, top=4, keys=keys).collect():
+            want[r.base, r.text] = (r.candidate_index, r.visual_sum, r.ppm_sum)
+    monkeypatch.setattr(contexts, "MOST_NGRAMS", most)
+    table = la.candidate_table(logits, truth, contexts.suffix_counts(texts, 5, by=["fold"]), order=5, beam=6, top=4, keys=keys, by=["fold"], others=True)
+    got = {(r.base, r.text): (r.candidate_index, r.visual_sum, r.ppm_sum) for r in table.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_order_profile(spark):
+    texts = spark.createDataFrame(list(enumerate(["ABABD", "ZZ"])), "id int, text string")
+    counts = plain_counts(["ABABC", "ABCABD"], 4)
+    model = ng.counts(spark.createDataFrame([("ABABC",), ("ABCABD",)], "text string"), 4)
+    for r in ng.step_profiles(texts, model, 4, ["id"], share=0.6).collect():
+        prefix = ["ABABD", "ZZ"][r.id][: r.pos]
+        assert r.profile == pytest.approx([plain_interpolated(counts, k, prefix, r.ch, 0.6) for k in range(1, 5)])
+
+
 def test_ppm_probabilities_of_the_alphabet_add_to_at_most_one():
     counts = plain_counts(["ABABC", "ABCABD"], 3)
     for prefix in ("", "A", "AB", "ZZ"):
@@ -269,7 +340,9 @@ def test_ties_follow_the_alphabet(spark):
     assert la.top_k_accuracy(df).first()[:] == (2, 2, 0.0, 0.5, 1.0)
 
 
-def test_language_beam(spark):
+@PACKED
+def test_language_beam(spark, monkeypatch, most):
+    monkeypatch.setattr(contexts, "MOST_NGRAMS", most)
     df, order, beam = random_logits(spark, [1, 3, 6]), 3, 5
     lat = la.lattice(df, 4)
     train = ["ABABCD", "HELLO", "&:)"]
