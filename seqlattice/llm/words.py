@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -51,18 +52,19 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(batches: Iterator, most_chars: int = 4_000_000) -> Iterator[dict[str, list]]:
-    """Columns of whole rows in portions of about ``most_chars`` characters of the column ``text``.
+def pieces(batches: Iterator, most_bytes: int = 4_000_000) -> Iterator[dict[str, list]]:
+    """Columns of whole rows in portions of about ``most_bytes`` UTF-8 bytes of the column ``text``.
 
-    A portion ends after the row that reaches the bound, so a single longer text is a portion of its own.
+    A portion ends after the row that reaches the bound, so a single longer text is a portion of its own.  Batches are cut
+    before their rows become Python objects, so no more than a portion of them is held at once.
     """
     for batch in batches:
-        columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        start, size = 0, 0
-        for i, text in enumerate(columns["text"]):
-            size += len(text) if text else 0
-            if size >= most_chars:
-                yield {k: v[start : i + 1] for k, v in columns.items()}
-                start, size = i + 1, 0
-        if start < batch.num_rows:
-            yield {k: v[start:] for k, v in columns.items()}
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        filled = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = int(filled[start - 1]) if start else 0
+            end = min(int(np.searchsorted(filled, before + most_bytes)) + 1, batch.num_rows)
+            part = batch.slice(start, end - start)
+            yield {name: part.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            start = end
