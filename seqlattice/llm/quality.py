@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import saved
 from .words import pieces
 
 _WORD = re.compile(r"\w+")
@@ -126,18 +128,18 @@ def fit_flat(flat: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades:
     return OrdinalModel(w[:size], np.concatenate([first, first + np.cumsum(np.exp(gaps))]), bits)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
+def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for rows in pieces(batches):
-        # of a text with more slots those of the smallest hash stand for it
-        slots = [sorted(sorted(own, key=lambda s: s * 0x9E3779B1 & 0xFFFFFFFF)[:most]) if len(own) > most else own for own in (features(t, bits) for t in rows["text"])]
+        slots = [features(t, bits) for t in rows["text"]]
         yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["grade"], pa.int32()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "grade", "slots"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, bits: int = 18, most_labels: int = 20000, most_slots: int = 4096) -> OrdinalModel | None:
+def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, bits: int = 18, most_labels: int = 20000, most_slots: int = 16_000_000) -> OrdinalModel | None:
     """Fit on ``ratings(id, grade)`` with grades from 0 to ``n_grades - 1``.
 
-    At most ``most_labels`` rated ids take part, those with the smallest hash, and ``most_slots`` hashed slots of each: that
-    bounds what the driver holds and what is broadcast to find their texts.  Scoring takes all slots of whole texts.  An id
+    At most ``most_labels`` rated ids take part, those with the smallest hash, and of these the first whose texts have ``most_slots``
+    hashed slots together: that bounds what the driver holds and what is broadcast to find their texts.  A text takes part
+    with all its slots or not at all, as in scoring.  An id
     that is rated several times has its lowest grade; of rows that share it, one text takes part.  Null ids and null or foreign
     grades are left out.  Without two grades there is no model, and the result is None.
     """
@@ -145,8 +147,14 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     rated = usable.groupBy("__id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("__id"), "__id").limit(most_labels)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     own = texts.join(F.broadcast(rated), F.col("__doc") == F.col("__id")).select(F.col("__id").cast("bigint").alias("id"), "grade", "text")
-    slots = own.mapInArrow(lambda it: _slots(it, bits, most_slots), "id bigint, grade int, slots array<int>")
-    rows = slots.groupBy("id", "grade").agg(F.min("slots").alias("slots")).select("grade", "slots").toArrow()
+    slots = own.mapInArrow(lambda it: _slots(it, bits), "id bigint, grade int, slots array<int>")
+    found = saved(slots.groupBy("id", "grade").agg(F.min("slots").alias("slots")).withColumn("order", F.xxhash64("id")))
+    sizes = sorted(found.select("order", "id", F.size("slots").alias("n")).collect())
+    inside = [r for r, filled in zip(sizes, accumulate(r.n for r in sizes), strict=True) if filled <= most_slots]
+    if not inside:
+        return None
+    last = inside[-1]
+    rows = found.where((F.col("order") < last.order) | ((F.col("order") == last.order) & (F.col("id") <= last.id))).select("grade", "slots").toArrow()
     grades, slots = rows["grade"].to_numpy().astype(np.int64), rows["slots"].combine_chunks()
     if len(np.unique(grades)) < 2:
         return None
