@@ -27,7 +27,7 @@ from .words import pieces
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never shown as text.
 HIDDEN = frozenset("button canvas datalist head iframe label legend math noembed noframes noscript object option script search select style svg template textarea title".split())
-#: Elements that hold no main text, unless nearly all text of the page stands in them.
+#: Elements that hold no main text, unless all text of the page stands in such parts.
 OUTSIDE = frozenset("aside dialog fieldset footer form header menu nav".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,8 +42,6 @@ COMMENT_NAMES = re.compile(rf"{_BEFORE}(?:(?:post|entry|article|page)[_-]+)?(?:c
 OUTSIDE_NAMES = re.compile(rf"{_BEFORE}(?:ads?|advert\w*|aside|banner|breadcrumbs?|complementary|contentinfo|cookies?(?:[_-]+(?:notice|consent|banner))?|consent|discuss\w*|disqus|(?:post[_-]+|entry[_-]+|article[_-]+|page[_-]+)?footer|gdpr|(?:page[_-]+)?header|masthead|menu|modal|(?:post[_-]+|page[_-]+)?nav(?:bar|igation)?|newsletter|notices?|pager|pagination|popup|promo\w*|related(?:[_-]+(?:posts?|articles?|stories))?|respond|(?:social[_-]+)?shar(?:e|ing)(?:[_-]+buttons?)?|sidebar|site-?header|skip(?:[_-]+(?:to|link))?|social|sponsor\w*|subscribe|toolbar|widget){_AFTER}", re.I)
 #: Elements that can hold a whole text; others, sections too, are parts of one.
 CONTAINERS = ("article", "main", "body", "div", "td")
-#: Share of the text without links that stands outside of a menu or the like.
-LEAST_CLEAN = 0.1
 #: Share of the dense text that a container must hold; what smoothing adds at its edges is less.
 MOST_TEXT = 0.95
 
@@ -63,16 +61,18 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, whether links hold most of it, part, part around its block
         self.names, self.parents, self.outside, self.last = [""], [0], [False], [0]
-        self.open: list[tuple[str, int, bool]] = []  # name, number of its part or -1, whether it hides text
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, number of its part or -1, whether it hides text, whether it links
         self.count: Counter = Counter()  # open elements by name
-        self.part = self.tags = self.hidden = self.links = 0
+        self.blocks: list[tuple[str, int, Counter]] = []  # name and part of each open block, its open inline elements by name
+        self.loose: Counter = Counter()  # inline elements open outside of any block
+        self.part = self.tags = self.hidden = self.links = self.linking = 0
         self.parts: list[str] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             # the block of the line itself, if a container, isn't around it
-            own = next((n for name, n, _ in reversed(self.open[-8:]) if name in BLOCKS), -1)
+            own = self.blocks[-1][1] if self.blocks else -1
             around = self.parents[own] if own == self.part and self.names[own] in ("div", "td") else self.part
             self.lines.append((text, self.tags, 2 * self.links > len(text), self.part, around))
             self.tags = 0
@@ -81,10 +81,12 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in CLOSES_P and any(name == "p" for name, *_ in self.open[-6:]):
+        if tag in CLOSES_P and self.blocks and self.blocks[-1][0] == "p":
             self.leave("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.leave(tag)
+        if tag == "a" and self.inline()["a"]:
+            self.leave("a")
         if tag in BLOCKS:
             self.end_line()
         elif tag == "br":
@@ -109,19 +111,35 @@ class Lines(HTMLParser):
             for column, value in ((self.names, tag), (self.parents, self.part), (self.outside, out), (self.last, number)):
                 column.append(value)
             self.part = number
-        self.open.append((tag, number, hidden))
+        given = {k for k, _ in attrs}
+        link = tag == "a" and ("href" in given or not given & {"name", "id"})  # else a place to link to
+        self.open.append((tag, number, hidden, link))
         self.count[tag] += 1
+        if tag in BLOCKS:
+            self.blocks.append((tag, number, Counter()))
+        else:
+            self.inline()[tag] += 1
         self.hidden += hidden
+        self.linking += link
+
+    def inline(self) -> Counter:
+        """Open inline elements of the innermost block."""
+        return self.blocks[-1][2] if self.blocks else self.loose
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def drop(self, at: int = -1) -> str:
-        name, number, hidden = self.open.pop(at)
+    def drop(self) -> str:
+        name, number, hidden, link = self.open.pop()
         self.count[name] -= 1
+        if name in BLOCKS:
+            self.blocks.pop()
+        else:
+            self.inline()[name] -= 1
         self.hidden -= hidden
+        self.linking -= link
         if number >= 0:
             self.last[number] = len(self.names) - 1
             self.part = self.parents[number]
@@ -141,18 +159,14 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in HIDDEN:
             self.leave(tag)
             return
-        for at in range(1, min(8, len(self.open)) + 1):  # an inline element ends where it is near and in the same block
-            name = self.open[-at][0]
-            if name == tag:
-                self.drop(-at)
-            if name == tag or name in BLOCKS:
-                return
+        if self.inline()[tag]:  # an inline element ends in the block that it started in, and with it those inside it
+            self.leave(tag)
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
             return
         self.parts.append(data)
-        if any(name == "a" for name, *_ in self.open[-3:]):
+        if self.linking:
             self.links += len(data)
 
     def finish(self) -> None:
@@ -197,10 +211,9 @@ def _sums(own: np.ndarray, parents: list[int]) -> np.ndarray:
 
 
 def _left_out(page: Lines, part: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """Which lines lie in outside parts; a part that holds nearly all text without links is none, nor is the largest if all
-    text lies in some."""
+    """Which lines lie in outside parts, whatever their size; only if no text without links is left, the largest part is none."""
     sums = _sums(np.bincount(part, mass, len(page.names)), page.parents)
-    outside = np.array(page.outside) & (sums <= (1 - LEAST_CLEAN) * sums[0])
+    outside = np.array(page.outside)
 
     def inside() -> np.ndarray:
         found = outside.tolist()
@@ -284,7 +297,8 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     with one line feed between them.  Pages whose ``article`` or ``main`` elements hold most high-ratio text give the whole of
     the one that has most of it; others give the whole of the innermost container around their high-ratio lines, but for lines of links in
     front of and behind those.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-    are left out by element and by whole class, id and role names, unless nearly all text stands in such a part.
+    are left out by element and by whole class, id and role names, whatever their size; only where all text stands in such parts,
+    the largest of them counts as a wrapper of the text.
 
     A null, empty or text-free page gives an empty text; a page cut off anywhere is read as far as it goes; nulls in other
     columns, repeated rows and further columns are of no effect.

@@ -239,10 +239,14 @@ def test_quality_takes_one_row_of_each_rated_id(spark):
     fit = quality.fit_flat
     quality.fit_flat = lambda flat, counts, grades, *rest, **more: seen.append((counts.tolist(), grades.tolist())) or fit(flat, counts, grades, *rest, **more)
     try:
-        quality.fit(docs, rated, most_slots=5)
+        quality.fit(docs, rated)
+        # rows are taken whole until their slots together reach the bound
+        slots = [len(quality.features(t, 18)) for t in ("good text here", "bad bad bad")]
+        quality.fit(docs, rated, most_slots=sum(slots))
+        assert quality.fit(docs, rated, most_slots=sum(slots) - 1) is None
     finally:
         quality.fit_flat = fit
-    assert [sorted(x) for x in seen[0]] == [[5, 5], [0, 2]]
+    assert [sorted(x) for x in seen[0]] == [sorted(slots), [0, 2]] and len(seen) == 2
 
 
 def test_ordinal_fit_is_the_likelihood_maximum():
@@ -476,6 +480,83 @@ def test_html_names_of_wrappers_and_headlines():
     assert html_text.main_text(f"<body><div><div>{text}</div><div class='comments'>{f'<p>{long}</p>' * 9}</div></div></body>") == want
 
 
+def test_html_outside_parts_stay_out_whatever_their_size():
+    short, long = "The whole article stands here. " * 9, "Words of a part beside it that go on and on. " * 90
+    for part in (f"<form>{long}</form>", f"<footer>{long}</footer>", f"<div class='footer'>{long}</div>", f"<aside>{long}</aside>"):
+        for text in (f"<article>{short}</article>", f"<main><p>{short}</p></main>", f"<div class='post'>{short}</div>", f"<div>{short}</div>"):
+            assert html_text.main_text(f"<body>{text}{part}</body>") == short.strip(), (text, part)
+            assert html_text.main_text(f"<body>{part}{text}</body>") == short.strip(), (text, part)
+
+
+def test_html_links_under_other_elements():
+    long = "A sentence of the text that goes on for quite some time. " * 6
+    menu = "".join(f"<li><a href='/{i}'><b><i><u><span>A long entry of the menu, number {i}, of many words</span></u></i></b></a>" for i in range(9))
+    page = f"<body><ul>{menu}</ul><div><p>{long}</p><a name='here'><p>{long}</p></div></body>"
+    assert html_text.main_text(page) == f"{long.strip()}\n{long.strip()}"
+    assert html_text.main_text(f"<article><p><b><i><u><s><q><em><em><em><em>{long}</b> more</p></article>") == f"{long}more"
+
+
+def plain_region(html, cut):
+    """Ratios, smoothing, the two clusters and the region, restated over lists, for pages of nested ``div`` with ``p`` and ``ul``."""
+    lines, path, tags, ids = [], [], 0, 0
+    for token in re.findall(r"<[^>]+>|[^<]+", html):
+        if token.startswith("<"):
+            tags += 1
+            if token.startswith("<div"):
+                ids += 1
+                path.append(ids)
+            elif token == "</div>":
+                path.pop()
+        elif token.strip():
+            lines.append((token.strip(), tags, tuple(path)))
+            tags = 0
+    ratio = [len(t) / (1 + n) for t, n, _ in lines]
+    weight = [math.exp(-(d**2) / 2) for d in range(4)]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(weight[abs(i - j)], ratio[j]) for j in range(len(ratio)) if abs(i - j) <= 3]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    logs = [math.log1p(r) for r in smooth]
+    at = sum(logs) / len(logs)
+    for _ in range(20):
+        low, high = [x for x in logs if x < at], [x for x in logs if x >= at]
+        if low and high:
+            at = (sum(low) / len(low) + sum(high) / len(high)) / 2
+    dense = [i for i, x in enumerate(logs) if x >= (at if cut else 0) - 1e-9]
+    total = sum(len(lines[i][0]) for i in dense)
+    best = max((p for _, _, full in lines for p in [full[:k] for k in range(len(full) + 1)] if sum(len(lines[i][0]) for i in dense if lines[i][2][: len(p)] == p) >= 0.95 * total), key=len)
+    return "\n".join(t for t, _, full in lines if full[: len(best)] == best)
+
+
+def test_html_region_equals_its_plain_form(monkeypatch):
+    """Pages without names or elements that tell parts apart: density alone picks the region."""
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join("abcdefgh"[: int(k)] for k in rng.integers(2, 9, n))
+    pages = []
+    for _ in range(60):
+        menu = "<div>" + "".join(f"<ul><li><i>{words(2)}</i></li></ul>" for _ in range(int(rng.integers(5, 30)))) + "</div>"
+        text = "<div>" + "".join(f"<p>{words(int(n))}</p>" for n in rng.integers(15, 90, int(rng.integers(3, 9)))) + "</div>"
+        pages.append("<div>" + "".join(rng.permutation([menu, text, menu.replace("i>", "b>")])) + "</div>")
+    with_cut = [html_text.main_text(p) for p in pages]
+    assert with_cut == [plain_region(p, True) for p in pages]
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    without = [html_text.main_text(p) for p in pages]
+    assert without == [plain_region(p, False) for p in pages]
+    assert sum(a != b for a, b in zip(with_cut, without, strict=True)) > 50
+
+
+def test_html_threshold_decides_on_given_pages_without_names(spark, small, monkeypatch):
+    """Given pages whose parts are all ``div``, without class, id or role: the text is found, and not without the threshold."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form|section)\b[^>]*>", r"<\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", p)) for p in pages]
+    want, got = [html_text.main_text(p) for p in pages], [html_text.main_text(p) for p in bare]
+    share = [len(set(g.split("\n")) & set(w.split("\n"))) / max(len(set(g.split("\n")) | set(w.split("\n"))), 1) for g, w in zip(got, want, strict=True)]
+    assert np.mean(share) > 0.75
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    changed = sum(a != html_text.main_text(p) for a, p in zip(got, bare, strict=True))
+    assert changed > 0
+
+
 def test_html_threshold_decides(monkeypatch):
     long = ("A sentence of the text that goes on for quite some time. " * 6).strip()
     items = "".join(f"<ul><li><span><i>Topic</i> <b>{i}</b></span></li></ul>" for i in range(30))
