@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import convert, latin_swap, normalise
+from .contexts import portions
+from .distances import edit_distances, masked_many
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Unit-cost edit distance."""
+    """Unit-cost edit distance of rows; ``distances.edit_distances`` is the one for whole texts."""
     return F.levenshtein(a, b)
 
 
@@ -51,14 +53,14 @@ def all_letter_score(scored: DataFrame, use_old: bool = False) -> DataFrame:
     """``n_all_err, n_all_char`` of rows ``pred, truth``: all letters and the line breaks between rows."""
     pred = latin_swap(F.col("pred")) if use_old else F.col("pred")
     p, t = F.array_join(normalise(pred, use_old), "\n"), F.array_join(normalise(F.col("truth"), use_old), "\n")
-    return scored.withColumns({"n_all_err": edits(p, t).cast("bigint"), "n_all_char": F.length(t).cast("bigint")})
+    return scored.withColumns({"n_all_err": edit_distances(p, t), "n_all_char": F.length(t).cast("bigint")})
 
 
 def first_version_score(scored: DataFrame) -> DataFrame:
     """The earlier scorer: the reference ends with a line feed, and the prediction is converted with the old map twice."""
     p = convert(convert(F.col("pred"), True), True)
     t = F.concat(convert(F.col("truth"), True), F.lit("\n"))
-    return scored.withColumns({"errors": edits(p, t).cast("bigint"), "chars": F.length(t).cast("bigint")})
+    return scored.withColumns({"errors": edit_distances(p, t), "chars": F.length(t).cast("bigint")})
 
 
 def confident_rows(letters: DataFrame, by: list[str]) -> DataFrame:
@@ -87,39 +89,21 @@ def object_letters(letters: DataFrame, by: list[str]) -> DataFrame:
     return parts.select(*by, F.array_join(F.transform("__r", lambda x: x["__t"]), "\n").alias("truth"), flags.alias("flags"))
 
 
-def masked_edits(reference: str, clear: np.ndarray, hypothesis: str) -> tuple[int, int]:
-    """Least cost and, along the preferred alignment, the matched unclear characters.
-
-    Leaving out an unclear character is free.  Ties prefer the diagonal, then leaving out, then inserting; that choice does
-    not depend on the way taken later, so the count goes forward with the cost, a whole row of the table at a time.
-    """
-    other = np.frombuffer(hypothesis.encode("utf-32-le"), "<u4")
-    at = np.arange(len(other) + 1, dtype=np.int32)
-    cost, hits = at.copy(), np.zeros_like(at)
-    for ch, is_clear in zip(reference, clear, strict=True):
-        same = other == ord(ch)
-        diagonal, best = cost[:-1] + ~same, cost + np.int32(bool(is_clear))
-        np.minimum(best[1:], diagonal, out=best[1:])
-        cost = np.minimum.accumulate(best - at) + at
-        came = hits.copy()
-        np.copyto(came[1:], hits[:-1] if is_clear else hits[:-1] + same, where=cost[1:] == diagonal)
-        # an inserted character keeps the count of the last cell before it that was not reached by inserting
-        hits = came[np.maximum.accumulate(np.where(cost == best, at, 0))]
-    return int(cost[-1]), int(hits[-1])
-
-
 def masked_score(scored: DataFrame) -> DataFrame:
-    """``key, n_opt_err, n_opt_char`` of rows ``key, truth, flags, pred``; ``flags`` has one boolean for each character."""
+    """``key, n_opt_err, n_opt_char`` of rows ``key, truth, flags, pred``; ``flags`` has one boolean for each character.
+
+    Leaving out an unclear character is free; the characters that count are the clear ones and the matched unclear ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, truth, flags, pred in zip(*(b.column(c).to_pylist() for c in ("key", "truth", "flags", "pred")), strict=True):
-                if len(truth) != len(flags):
-                    raise ValueError(f"{key}: {len(flags)} flags for {len(truth)} characters")
-                cost, hits = masked_edits(truth, flags, pred or "")
-                out.append((key, cost, sum(flags) + hits))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i in range(3)], names=["key", "n_opt_err", "n_opt_char"])
+        for batch in batches:
+            for b in portions(batch, "truth"):
+                rows = list(zip(*(b.column(c).to_pylist() for c in ("key", "truth", "flags", "pred")), strict=True))
+                for key, truth, flags, _ in rows:
+                    if len(truth) != len(flags):
+                        raise ValueError(f"{key}: {len(flags)} flags for {len(truth)} characters")
+                found = masked_many([(truth, np.array(flags, bool), pred or "") for _, truth, flags, pred in rows])
+                errors, chars = [cost for cost, _ in found], [sum(flags) + hits for (_, _, flags, _), (_, hits) in zip(rows, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(errors, pa.int64()), pa.array(chars, pa.int64())], names=["key", "n_opt_err", "n_opt_char"])
 
     return scored.select(F.col("key").cast("string").alias("key"), "truth", "flags", "pred").mapInArrow(run, "key string, n_opt_err bigint, n_opt_char bigint")
 
@@ -141,7 +125,7 @@ def object_pairs(preds: DataFrame, letters: DataFrame, by: list[str], use_old: b
 
 def confident_score(pairs: DataFrame) -> DataFrame:
     """``n_err`` of rows ``pred, text``: the prediction against the confident letters."""
-    return pairs.withColumn("n_err", edits(F.col("pred"), F.col("text")).cast("bigint"))
+    return pairs.withColumn("n_err", edit_distances(F.col("pred"), F.col("text")))
 
 
 def object_scores(preds: DataFrame, letters: DataFrame, by: list[str], use_old: bool = False) -> DataFrame:

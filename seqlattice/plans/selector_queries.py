@@ -134,35 +134,27 @@ def b9_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.preds(spark, sf_dir).select("base", "row_idx", ev.edits(F.col("pred"), F.col("truth")).cast("bigint").alias("edits"))
 
 
-#: Rows of an object: a document is several objects of some hundred letters each.
-PART = 4
-
-
-def _object_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base, truth, pred``: for each PART rows of a document the joined rows and their reading."""
-    rows = v.preds(spark, sf_dir).withColumn("part", F.floor(F.row_number().over(_by_base()) / PART))
-    t = ev.joined_rows(rows, "truth", ["base", "part"]).withColumnRenamed("text", "truth")
-    p = ev.joined_rows(rows, "pred", ["base", "part"]).withColumnRenamed("text", "pred")
-    return t.join(p, ["base", "part"])
-
-
-def _by_base():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("base").orderBy("row_idx")
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``base, truth, pred``: the whole text of each document and its reading."""
+    rows = v.preds(spark, sf_dir)
+    t, p = (ev.joined_rows(rows, side, ["base"]).withColumnRenamed("text", side) for side in ("truth", "pred"))
+    return t.join(p, ["base"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "base")
 
 
-_PARTS = f"SELECT base, CAST(floor(rn / {PART}.0) AS BIGINT) AS part, string_agg(truth, chr(10) ORDER BY row_idx) AS truth, string_agg(pred, chr(10) ORDER BY row_idx) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY row_idx) AS rn FROM v_preds) a GROUP BY 1, 2"
+_WHOLE = "SELECT base, string_agg(truth, chr(10) ORDER BY row_idx) AS truth, string_agg(pred, chr(10) ORDER BY row_idx) AS pred FROM v_preds GROUP BY base"
+_FIRST_SQL = v.sql("SELECT base, levenshtein(pred, truth || chr(10)) AS errors, length(truth) + 1 AS chars FROM whole", "v_preds", whole=_WHOLE)
+_ALL_SQL = v.sql("SELECT base, levenshtein(pred, truth) AS n_all_err, length(truth) AS n_all_char FROM whole", "v_preds", whole=_WHOLE)
+_BEST_SQL = v.sql("SELECT round(sum(a) / sum(n)::DOUBLE, 6) AS new_cer, round(sum(b) / sum(n)::DOUBLE, 6) AS old_cer, round(least(sum(a), sum(b)) / sum(n)::DOUBLE, 6) AS best_cer FROM (SELECT levenshtein(pred, truth) AS a, levenshtein(translate(pred, 'YCU', 'CUY'), truth) AS b, length(truth) AS n FROM whole) x", "v_preds", whole=_WHOLE)
 
 
-@query(v.sql("SELECT base, part, levenshtein(pred, truth || chr(10)) AS errors, length(truth) + 1 AS chars FROM parts", "v_preds", parts=_PARTS))
+@query(_FIRST_SQL)
 def e2_object_cer_first_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.first_version_score(_object_pairs(spark, sf_dir)).select("base", F.col("part").cast("bigint").alias("part"), "errors", "chars")
+    return ev.first_version_score(_whole_pairs(spark, sf_dir)).select("base", "errors", "chars")
 
 
-@query(v.sql("SELECT base, part, levenshtein(pred, truth) AS n_all_err, length(truth) AS n_all_char FROM parts", "v_preds", parts=_PARTS))
+@query(_ALL_SQL)
 def e3_all_letter_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.all_letter_score(_object_pairs(spark, sf_dir)).select("base", F.col("part").cast("bigint").alias("part"), "n_all_err", "n_all_char")
+    return ev.all_letter_score(_whole_pairs(spark, sf_dir)).select("base", "n_all_err", "n_all_char")
 
 
 @query(v.sql("SELECT base, string_agg(r, chr(10) ORDER BY row_idx) AS text, (sum(length(r)) + count(*) - 1)::BIGINT AS n_char FROM (SELECT base, row_idx, string_agg(ch, '' ORDER BY pos) AS r FROM v_conf WHERE conf GROUP BY base, row_idx) a GROUP BY base", "v_conf"))
@@ -180,7 +172,10 @@ def _whole_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return ev.joined_rows(v.preds(spark, sf_dir), "pred", ["base"]).withColumnRenamed("text", "pred"), v.confidence(spark, sf_dir), ["base"]
 
 
-@query()
+_CONFIDENT = "SELECT base, string_agg(r, chr(10) ORDER BY row_idx) AS text FROM (SELECT base, row_idx, string_agg(ch, '' ORDER BY pos) AS r FROM v_conf WHERE conf GROUP BY base, row_idx) a GROUP BY base"
+
+
+@query(v.sql("SELECT w.base, levenshtein(w.pred, coalesce(c.text, '')) AS n_err, coalesce(length(c.text), 0) AS n_char FROM whole w LEFT JOIN confident c ON w.base = c.base", "v_preds", "v_conf", whole=_WHOLE, confident=_CONFIDENT))
 def e4_confident_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confident_score(ev.object_pairs(*_whole_objects(spark, sf_dir))).select("base", "n_err", "n_char")
 
@@ -190,25 +185,23 @@ def e6_masked_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.masked_score(ev.object_pairs(*_whole_objects(spark, sf_dir)))
 
 
-def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base, truth, pred``: the whole text of each document and its reading."""
-    rows = v.preds(spark, sf_dir)
-    t, p = (ev.joined_rows(rows, side, ["base"]).withColumnRenamed("text", side) for side in ("truth", "pred"))
-    return t.join(p, ["base"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "base")
-
-
-@query()
+@query(_FIRST_SQL)
 def e2_whole_object_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.first_version_score(_whole_pairs(spark, sf_dir)).select("base", "errors", "chars")
+    return e2_object_cer_first_version(spark, sf_dir)
 
 
-@query()
+@query(_ALL_SQL)
 def e3_whole_object_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.all_letter_score(_whole_pairs(spark, sf_dir)).select("base", "n_all_err", "n_all_char")
+    return e3_all_letter_cer(spark, sf_dir)
 
 
-@query()
+@query(_BEST_SQL)
 def e9_whole_best_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e9_best_converter(spark, sf_dir)
+
+
+@query(_BEST_SQL)
+def e9_best_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _whole_pairs(spark, sf_dir)
     new = ev.all_letter_score(pairs).select("base", F.col("n_all_err").alias("a"), F.col("n_all_char").alias("n"))
     old = ev.all_letter_score(pairs, True).select("base", F.col("n_all_err").alias("b"))
@@ -228,9 +221,9 @@ def e7_prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.with_prediction(files, t).select("name", "base", "pred")
 
 
-@query(v.sql("SELECT round(sum(levenshtein(pred, truth)) / sum(length(truth))::DOUBLE, 6) AS all_cer, round(sum(levenshtein(pred, truth || chr(10))) / sum(length(truth) + 1)::DOUBLE, 6) AS first_cer FROM parts", "v_preds", parts=_PARTS))
+@query(v.sql("SELECT round(sum(levenshtein(pred, truth)) / sum(length(truth))::DOUBLE, 6) AS all_cer, round(sum(levenshtein(pred, truth || chr(10))) / sum(length(truth) + 1)::DOUBLE, 6) AS first_cer FROM whole", "v_preds", whole=_WHOLE))
 def e8_micro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ev.all_letter_score(ev.first_version_score(_object_pairs(spark, sf_dir)))
+    scored = ev.all_letter_score(ev.first_version_score(_whole_pairs(spark, sf_dir)))
     m = ev.micro(scored, {"all_cer": ("n_all_err", "n_all_char"), "first_cer": ("errors", "chars")})
     return m.select(F.round("all_cer", 6).alias("all_cer"), F.round("first_cer", 6).alias("first_cer"))
 
@@ -241,15 +234,6 @@ def e8_micro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*[F.round(name, 6).alias(name) for name in ev.SCORES])
 
 
-@query(v.sql("SELECT round(sum(a) / sum(n)::DOUBLE, 6) AS new_cer, round(sum(b) / sum(n)::DOUBLE, 6) AS old_cer, round(least(sum(a), sum(b)) / sum(n)::DOUBLE, 6) AS best_cer FROM (SELECT levenshtein(pred, truth) AS a, levenshtein(translate(pred, 'YCU', 'CUY'), truth) AS b, length(truth) AS n FROM parts) x", "v_preds", parts=_PARTS))
-def e9_best_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _object_pairs(spark, sf_dir)
-    new = ev.all_letter_score(pairs).select("base", "part", F.col("n_all_err").alias("a"), F.col("n_all_char").alias("n"))
-    old = ev.all_letter_score(pairs, True).select("base", "part", F.col("n_all_err").alias("b"))
-    s = new.join(old, ["base", "part"]).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-    return s.select(F.round(F.col("a") / F.col("n"), 6).alias("new_cer"), F.round(F.col("b") / F.col("n"), 6).alias("old_cer"), F.round(F.least("a", "b") / F.col("n"), 6).alias("best_cer"))
-
-
 # --- tables of runs
 
 

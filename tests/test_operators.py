@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlattice.functions import text as tx
-from seqlattice.operators import contexts
+from seqlattice.operators import contexts, distances
 from seqlattice.operators import evaluate as ev
 from seqlattice.operators import explain as ex
 from seqlattice.operators import folds as fo
@@ -75,14 +75,45 @@ def traced_masked(ref, clear, hyp):
     return int(d[n, m]), hits
 
 
+def noisy(rng, text, share, letters="ABC"):
+    """A text with some characters left out, replaced and added."""
+    out = ""
+    for c in text:
+        kind = rng.random()
+        out += "" if kind < share / 3 else rng.choice(letters) if kind < 2 * share / 3 else c
+        out += rng.choice(letters) if rng.random() < share / 3 else ""
+    return out
+
+
+@pytest.mark.parametrize("first_band", [1, 3, 32])
+def test_edit_distance(monkeypatch, first_band):
+    """Bands that hold the result at once and bands that must double."""
+    monkeypatch.setattr(distances, "FIRST_BAND", first_band)
+    rng = random.Random(first_band)
+    for k in range(500):
+        a = "".join(rng.choices("ABÉ\n", k=rng.randint(0, 70)))
+        b = noisy(rng, a, rng.random()) if k % 4 else "".join(rng.choices("ABC", k=rng.randint(0, 70)))
+        assert distances.edit_distance(a, b) == distances.edit_distance(b, a) == plain_levenshtein(a, b), (a, b)
+
+
+def test_edit_distances_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(t, noisy(rng, t, 0.2)) for t in ("", "A", "ABC" * 90, "".join(rng.choices("ABCD", k=1500)))] + [(None, "A"), ("A", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.withColumn("d", distances.edit_distances("a", "b")).collect():
+        assert r.d == (None if r.a is None or r.b is None else plain_levenshtein(r.a, r.b))
+
+
 def test_masked_edits():
     rng = random.Random(1)
-    for _ in range(2000):
-        ref = "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 7)))
-        hyp = "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 7)))
-        clear = [rng.random() < 0.6 for _ in ref]
-        assert ev.masked_edits(ref, clear, hyp) == traced_masked(ref, clear, hyp)
-        assert ev.masked_edits(ref, [True] * len(ref), hyp) == (plain_levenshtein(ref, hyp), 0)
+    pairs = [("", np.zeros(0, bool), ""), ("", np.zeros(0, bool), "AB"), ("AB", np.zeros(2, bool), "")]
+    for k in range(1500):
+        ref = "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 7 if k % 5 else 60)))
+        hyp = noisy(rng, ref, rng.random(), "AB\n") if k % 3 else "".join(rng.choice("AB\n") for _ in range(rng.randint(0, 9)))
+        pairs.append((ref, np.array([rng.random() < 0.6 for _ in ref], bool), hyp))
+    assert distances.masked_many(pairs) == [traced_masked(*p) for p in pairs]
+    clear = [(ref, np.ones(len(ref), bool), hyp) for ref, _, hyp in pairs]
+    assert distances.masked_many(clear) == [(plain_levenshtein(ref, hyp), 0) for ref, _, hyp in pairs]
 
 
 def test_masked_score_needs_one_flag_a_character(spark):
