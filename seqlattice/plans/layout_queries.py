@@ -341,6 +341,16 @@ def s1_letter_file_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.letter_tables(_letter_files(spark, sf_dir))["segments"]
 
 
+@query(v.sql(f"SELECT {_FILE} AS file, row_number() OVER (PARTITION BY file_id ORDER BY box_id) - 1 AS box_id, xnw, ynw, xse, yse FROM (SELECT c.* FROM corners c JOIN letters l ON c.file_id = l.file_id AND c.box_id = l.box_id WHERE l.conf) a", "v_boxes", corners=_CORNERS, letters=_LETTERS))
+def s1_confident_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.confident_tables(ingest.letter_tables(_letter_files(spark, sf_dir)))["boxes"].select("file", "box_id", "xnw", "ynw", "xse", "yse")
+
+
+@query(v.sql(f"SELECT {_FILE} AS file, CAST(floor(box_id / 20.0) AS BIGINT) AS line_no, coalesce(string_agg(CASE WHEN conf THEN ch END, '' ORDER BY box_id), '') AS text FROM letters GROUP BY 1, 2", "v_boxes", letters=_LETTERS))
+def s1_confident_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.confident_tables(ingest.letter_tables(_letter_files(spark, sf_dir)))["transcript_lines"]
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 6
     s = lambda c: F.col(c).cast("string")
@@ -365,6 +375,22 @@ def s2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.resolve_metadata(_records(spark, sf_dir))[0].select("base", "rotation", "file_name")
 
 
+_IMAGES = "SELECT 'Rotation1/s' || o_orderkey || '_Rotation1_300dpi.png' AS name, o_orderkey AS k FROM orders"
+_PLACES = "SELECT 'set/meta/' || name AS path FROM images WHERE k % 5 = 0 UNION ALL SELECT 'set/' || name FROM images WHERE k % 3 = 0 UNION ALL SELECT 'set/data/' || name FROM images WHERE k % 7 <> 1"
+
+
+@query(v.sql("SELECT name AS file_name, CASE WHEN k % 5 = 0 THEN 'set/meta/' || name WHEN k % 3 = 0 THEN 'set/' || name WHEN k % 7 <> 1 THEN 'set/data/' || name END AS image_path FROM images", images=_IMAGES))
+def s2_image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    images = v.table(spark, sf_dir, "orders").select(key, F.concat(F.lit("Rotation1/s"), key.cast("string"), F.lit("_Rotation1_300dpi.png")).alias("image"))
+    places = [("set/meta/", key % 5 == 0), ("set/", key % 3 == 0), ("set/data/", key % 7 != 1)]
+    listing = images.select(F.explode(F.array_compact(F.array(*[F.when(there, F.concat(F.lit(p), "image")) for p, there in places]))).alias("path"))
+    blank = [F.lit(None).cast("string").alias(f.name) for f in ingest.METADATA if f.name not in ("file_name", "image")]
+    records = ingest.resolve_metadata(images.select(F.when(key % 2 == 0, F.col("image")).otherwise("").alias("file_name"), "image", *blank))[0]
+    found, missing = ingest.resolve_images(records, listing, "set/meta", "set")
+    return found.select("file_name", "image_path").unionByName(missing.select("file_name", F.lit(None).cast("string").alias("image_path")))
+
+
 @query(v.sql("SELECT base, rotation, file_name, CASE k WHEN 3 THEN 'inline' || chr(10) || 'text' WHEN 5 THEN 'named' ELSE 'stem' END AS annotation FROM recs WHERE k IN (3, 5) OR (k = 4 AND o_orderkey % 4 = 0)", recs=_RECORDS))
 def s3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = v.table(spark, sf_dir, "orders")

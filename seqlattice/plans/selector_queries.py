@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import folds as fo
 from ..operators import selector as se
+from ..session import new_folder
 from ..sources import ingest
+from ..sources import transcript_files as tf
 from . import views as v
 from .registry import query
 
@@ -242,6 +244,13 @@ def s12_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.transcripts(v.preds(spark, sf_dir))
 
 
+@query(v.sql("SELECT CAST(base AS VARCHAR) AS base, text, strlen(text) AS n_bytes FROM (SELECT base, regexp_replace(string_agg(pred, chr(10) ORDER BY row_idx), '\\s+$', '') AS text FROM v_preds GROUP BY base) a", "v_preds"))
+def s12_transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "transcripts")
+    tf.write_transcripts(ingest.transcripts(v.preds(spark, sf_dir)), folder)
+    return tf.read_transcripts(spark, folder).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+
+
 @query(v.sql("SELECT 'run' AS run, count(*) AS rows, count(DISTINCT base) AS objects, sum(levenshtein(pred, truth))::BIGINT AS errors, sum(length(truth))::BIGINT AS chars, round(sum(levenshtein(pred, truth)) / sum(length(truth))::DOUBLE, 6) AS cer FROM v_preds", "v_preds"))
 def s13_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_summary(v.preds(spark, sf_dir), "run").withColumn("cer", F.round("cer", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import numbering as nu
 from . import views as v
 from .registry import query
 
@@ -122,6 +123,13 @@ def t12_row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(((F.col("rn") - 1) % 8).cast("bigint").alias("shard")).agg(F.count("*").alias("n"), F.min("row_key").alias("first_key"), F.sum("rn").alias("numbers"))
 
 
+@query("SELECT row_key, rn AS number, (rn - 1) % 8 AS shard, (rn - 1) // 8 < 100 AS within_limit FROM (SELECT o_orderkey AS row_key, row_number() OVER (ORDER BY o_custkey % 5, o_orderkey) AS rn FROM orders) a")
+def t12_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("fold"), F.col("o_orderkey").alias("row_key"))
+    place = F.col("number") - 1
+    return nu.numbered(rows, ["fold", "row_key"]).select("row_key", "number", (place % 8).alias("shard"), (F.floor(place / 8) < 100).alias("within_limit"))
+
+
 @query("SELECT doc_id, pos, line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) a WHERE length(line) > 0 AND length(line) <= 64")
 def t13_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = v.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))

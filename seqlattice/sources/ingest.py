@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ALPHABET, base_id, rotation
+from ..functions.text import ALPHABET, base_id, rotation, safe_base
 
 #: Explicit schemas of the tables that are read.
 METADATA = T.StructType([T.StructField(n, T.StringType()) for n in ("file_name", "image", "rotation", "squeeze_id", "base_id", "source_base_id", "annotation_file", "raw_annotation")])
@@ -84,7 +84,26 @@ def letter_tables(files: DataFrame) -> dict[str, DataFrame]:
         .unionByName(seg_lines.where("reason IS NOT NULL").select("file", "line_no", "reason"))
         .unionByName(counts)
     )
-    return {"files": head, "boxes": boxes, "transcript_lines": transcript, "segments": segments, "confidence": confidence, "parse_errors": errors}
+    return {"files": head, "boxes": boxes, "transcript_lines": transcript, "segments": segments, "confidence": confidence, "digits": digits.withColumnRenamed("d", "digits"), "parse_errors": errors}
+
+
+def confident_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of :func:`letter_tables` as a letter file is read by default: without unclear boxes and letters.
+
+    The digits of a file go through its boxes, and through the letters of its transcript lines one after the other; letters beyond the last
+    digit go.  Boxes are numbered anew, lines stay even if empty.  A file without digits stays as it is; one with more
+    or fewer digits than boxes has neither boxes nor lines (it is a row of ``parse_errors``).
+    """
+    unfit = tables["parse_errors"].where("line_no IS NULL").select("file").distinct()
+    boxes = tables["boxes"].join(tables["confidence"].where("conf").select("file", "box_id"), ["file", "box_id"]).join(unfit, "file", "left_anti")
+    order = Window.partitionBy("file").orderBy("box_id")
+    again = boxes.withColumn("__k", (F.row_number().over(order) - 1).cast("bigint")).withColumn("box_id", F.col("__k")).drop("__k")
+    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = tables["transcript_lines"].join(unfit, "file", "left_anti").withColumn("__at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int"))
+    told = lines.join(tables["digits"], "file", "left")
+    letters = F.filter(F.split("text", ""), lambda c, i: F.substring(F.col("digits"), F.col("__at") + i + 1, F.lit(1)) == "1")
+    kept = told.withColumn("text", F.when(F.col("digits").isNull() | (F.length("digits") == 0), F.col("text")).otherwise(F.array_join(letters, "")))
+    return tables | {"boxes": again, "transcript_lines": kept.select(tables["transcript_lines"].columns)}
 
 
 def letter_texts(boxes: DataFrame, letters: DataFrame, segments: DataFrame | None = None, angle: float = 0.0, view: int = 1) -> DataFrame:
@@ -112,28 +131,53 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA).json(path)
 
 
+def _given(text: Column) -> Column:
+    """A text that isn't empty, else null."""
+    return F.nullif(text, F.lit(""))
+
+
 def resolve_metadata(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted ``base, rotation, file_name, annotation_file, raw_annotation`` and rejected records with their ``reason``.
 
-    The object is the first of squeeze_id, base_id, source_base_id and the name's own; the rotation comes from its column, else the name.
+    The image is ``file_name``, else ``image``.  The object is the first of squeeze_id, base_id, source_base_id and the name's own, without merge
+    marks and safe in a path; the rotation comes from its column, else the name.  Empty texts count as missing.
     """
-    full = records.withColumns({"base": F.coalesce("squeeze_id", "base_id", "source_base_id", base_id(F.col("file_name"))), "rotation": F.coalesce("rotation", rotation(F.col("file_name")))})
-    known = F.col("rotation").isin("Rotation1", "Rotation2")
+    named = records.withColumn("file_name", F.coalesce(_given(F.col("file_name")), _given(F.col("image"))))
+    base = F.coalesce(*[_given(F.col(c)) for c in ("squeeze_id", "base_id", "source_base_id")], base_id(F.col("file_name")))
+    full = named.withColumns({"base": safe_base(F.replace(base, F.lit("_Merged"), F.lit(""))), "rotation": F.coalesce(_given(F.col("rotation")), rotation(F.col("file_name")))})
+    known = F.col("file_name").isNotNull() & F.coalesce(F.col("rotation").isin("Rotation1", "Rotation2"), F.lit(False))
     good = full.where(known).select("base", "rotation", "file_name", "annotation_file", "raw_annotation")
-    return good, full.where(~F.coalesce(known, F.lit(False))).select("file_name", "rotation", F.lit("unknown rotation").alias("reason"))
+    reason = F.when(F.col("file_name").isNull(), "no file name").otherwise("unknown rotation")
+    return good, full.where(~known).select("file_name", "rotation", reason.alias("reason"))
+
+
+def resolve_images(records: DataFrame, listing: DataFrame, folder: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """``records`` with ``image_path``, and those whose image is missing with the ``tried`` paths.
+
+    An image is looked for beside the metadata (``folder``), under ``root`` and under its ``data``, and the first place that
+    ``listing(path)`` has counts.
+    """
+    places = F.array(*[F.concat(F.lit(p.rstrip("/") + "/"), F.col("file_name")) for p in (folder, root, f"{root.rstrip('/')}/data")])
+    names = records.select("file_name").distinct().select("file_name", F.posexplode(places).alias("__rank", "__path"))
+    there = listing.select(F.col("path").alias("__path")).distinct()
+    found = names.join(there, "__path").groupBy("file_name").agg(F.min_by("__path", "__rank").alias("image_path"))
+    joined = records.join(found, "file_name", "left").select(*records.columns, "image_path")
+    return joined.where("image_path IS NOT NULL"), joined.where("image_path IS NULL").drop("image_path").withColumn("tried", places)
 
 
 def resolve_annotations(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``base, rotation, file_name, annotation`` and the records without any.
 
-    First the record's own text, then the file it names, then ``<image stem>_letters.txt``; line ends become line feeds.
+    First the record's own text, then the file it names, then ``<image stem>_letters.txt``, of each only if it holds any (the own
+    text more than white space); line ends become line feeds.
     """
-    by_name = files.select(F.col("file").alias("__named"), F.col("value").alias("__v1"))
-    by_stem = files.select(F.col("file").alias("__stem"), F.col("value").alias("__v2"))
+    by_name = files.select(F.col("file").alias("__named"), _given(F.col("value")).alias("__v1"))
+    by_stem = files.select(F.col("file").alias("__stem"), _given(F.col("value")).alias("__v2"))
     name = F.regexp_extract("annotation_file", "([^/]*)$", 1)
     stem = F.concat(F.regexp_replace(F.regexp_extract("file_name", "([^/]*)$", 1), "\\.[^.]*$", ""), F.lit("_letters.txt"))
     joined = records.withColumn("__n", name).withColumn("__s", stem).join(by_name, F.col("__n") == F.col("__named"), "left").join(by_stem, F.col("__s") == F.col("__stem"), "left")
-    found = joined.withColumn("annotation", F.replace(F.coalesce("raw_annotation", "__v1", "__v2"), F.lit("\r\n"), F.lit("\n")))
+    own = F.when(F.col("raw_annotation").rlike("\\S"), F.col("raw_annotation"))
+    found = joined.withColumn("annotation", F.replace(F.coalesce(own, "__v1", "__v2"), F.lit("\r\n"), F.lit("\n")))
     columns = ["base", "rotation", "file_name"]
     return found.where("annotation IS NOT NULL").select(*columns, "annotation"), found.where("annotation IS NULL").select(*columns)
 
