@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters of a text row.
-ROW = 64
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +27,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`lines`, cut into rows of 64 letters, for queries that compare rows letter by letter."""
-    tiles = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / ROW).cast("int") - 1, F.lit(0)))).alias("t")
-    cut = lines(spark, sf_dir).select("base", "row_idx", "text", "split", tiles)
-    return cut.select("base", (F.col("row_idx") * 100000 + F.col("t")).alias("row_idx"), F.substring("text", F.col("t") * ROW + 1, F.lit(ROW)).alias("text"), "split")
+    """The rows that other views and queries are made of: whole lines."""
+    return lines(spark, sf_dir)
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +110,7 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "v_lines": """SELECT base, CAST(pos AS BIGINT) AS row_idx, regexp_replace(upper(regexp_replace(line, '[^A-Za-z&:)]', '', 'g')), '[JV]', '', 'g') AS text, CASE base % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split
 FROM (SELECT doc_id AS base, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) l""",
-    "v_rows": f"""SELECT base, CAST(row_idx * 100000 + t AS BIGINT) AS row_idx, substring(text, CAST(t * {ROW} + 1 AS BIGINT), {ROW}) AS text, split
-FROM (SELECT *, unnest(range(0, greatest(CAST(ceil(length(text) / {ROW}.0) AS BIGINT), 1))) AS t FROM v_lines) n""",
+    "v_rows": "SELECT base, row_idx, text, split FROM v_lines",
     "v_preds": "SELECT base, row_idx, split, text AS truth, translate(replace(text, 'AN', 'A'), 'OSI', 'QZL') AS pred FROM v_rows WHERE length(text) > 0",
     "v_candidates": """SELECT CAST(l_orderkey % 5 AS BIGINT) AS fold, CAST(l_orderkey AS BIGINT) AS row_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS candidate_index,
 CAST(20 + l_orderkey % 7 AS BIGINT) AS chars, CAST(l_partkey % 6 AS BIGINT) AS edit_distance, -CAST(l_extendedprice AS DOUBLE) / 1000 AS visual_sum, -CAST(l_quantity AS DOUBLE) AS ppm_sum FROM lineitem""",
