@@ -260,3 +260,12 @@ def s13_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s14_content_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v.table(spark, sf_dir, "documents")
     return ingest.once_per_content(docs, "text", lambda t: (F.length(t) - F.length(F.replace(t, F.lit("e"), F.lit("")))).cast("bigint")).select("doc_id", "result")
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS result FROM documents")
+def s14_reuse_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run over a third of the documents, and a second one over all of them that computes the rest."""
+    docs, store = v.table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "results")
+    work = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("e"), F.lit("")))).cast("bigint")
+    ingest.once_across_runs(docs.where("doc_id % 3 = 0"), "text", work, store)
+    return ingest.once_across_runs(docs, "text", work, store, shards=2).select("doc_id", "result")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -316,3 +319,38 @@ def once_per_content(rows: DataFrame, payload: str, work) -> DataFrame:  # noqa:
     key = F.sha2(payload, 256)
     done = rows.select(key.alias("content_key"), payload).dropDuplicates(["content_key"]).select("content_key", work(F.col(payload)).alias("result"))
     return rows.withColumn("content_key", key).join(done, "content_key", "left")
+
+
+def once_across_runs(rows: DataFrame, payload: str, work, store: str, shards: int = 1) -> DataFrame:  # noqa: ANN001
+    """``rows`` with ``content_key, result`` of :func:`once_per_content`, results being kept in the folder ``store`` for later runs.
+
+    A run computes only payloads whose key the store lacks, in ``shards`` parts by key.  A part is written under a name of its own and
+    counts from when the ledger names it, so a run that fails loses no more than the part that it was at, and what it
+    left behind is never read.  Two runs at once may both compute a payload; readers take one result of each key.  Null
+    payloads have null keys and results, and are not stored.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("content_key", F.sha2(payload, 256))
+    asked = keyed.where(F.col("content_key").isNotNull()).select("content_key", F.col(payload).alias("__payload"))
+    parts = finished_parts(spark, store)
+    kept = spark.read.parquet(*parts) if parts else None
+    fresh = asked if kept is None else asked.join(kept.select("content_key"), "content_key", "left_anti")
+    run = uuid.uuid4().hex
+    for shard in range(shards):
+        own = fresh.where(F.pmod(F.xxhash64("content_key"), F.lit(shards)) == shard).dropDuplicates(["content_key"])
+        name = f"{run}-{shard}"
+        own.select("content_key", work(F.col("__payload")).alias("result")).write.parquet(f"{store}/parts/{name}")
+        spark.createDataFrame([(name,)], "part string").coalesce(1).write.mode("append").parquet(f"{store}/ledger")
+    done = spark.read.parquet(*finished_parts(spark, store)).groupBy("content_key").agg(F.first("result").alias("result"))
+    return keyed.join(done, "content_key", "left")
+
+
+def finished_parts(spark: SparkSession, store: str) -> list[str]:
+    """Folders of the parts that the ledger of ``store`` names; none where there is no ledger yet."""
+    try:
+        names = spark.read.schema("part string").parquet(f"{store}/ledger").distinct().collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(f"{store}/parts/{r.part}" for r in names)

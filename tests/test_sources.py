@@ -100,3 +100,24 @@ def test_transcript_files(spark, tmp_path):
     assert not [n for n in os.listdir(tmp_path / "twice") if n.endswith(".txt")] if (tmp_path / "twice").exists() else True
     with pytest.raises(Exception, match="mounted"):
         tf.write_transcripts(df.withColumn("text", F.lit("x")), "s3://bucket/x")
+
+
+def test_results_are_kept_over_runs(spark, tmp_path):
+    store = str(tmp_path / "store")
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(texts):
+        calls.add(len(texts))
+        return texts.str.len()
+
+    length = F.pandas_udf(count, "long")
+    first = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
+    assert {r.id: r.result for r in ingest.once_across_runs(first, "text", length, store).collect()} == {1: 1, 2: 2, 3: 1, 4: None}
+    assert calls.value == 2
+    # a part that no ledger names is what a failed run leaves behind
+    spark.createDataFrame([("x", 99)], "content_key string, result long").write.parquet(f"{store}/parts/left-0")
+    later = first.union(spark.createDataFrame([(5, "ccc"), (6, "")], "id int, text string"))
+    assert {r.id: r.result for r in ingest.once_across_runs(later, "text", length, store, shards=3).collect()} == {1: 1, 2: 2, 3: 1, 4: None, 5: 3, 6: 0}
+    assert calls.value == 4
+    assert {r.id: r.result for r in ingest.once_across_runs(later, "text", length, store).collect()}[5] == 3
+    assert calls.value == 4 and len(ingest.finished_parts(spark, store)) == 5
