@@ -437,3 +437,15 @@ def e8_run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e10_run_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = sc.score_run(*_run(spark, sf_dir))
     return card.select(*[F.round(c, 6).alias(c) if c in ev.SCORES else F.col(c) for c in card.columns])
+
+
+_RUN_TOTALS = f"""SELECT count(*) AS scored_files, round(sum(n_err) / sum(n_char)::DOUBLE, 6) AS cer, round(sum(n_all_err) / sum(n_all_char)::DOUBLE, 6) AS all_cer, sum(n_err)::BIGINT AS n_err, sum(n_char)::BIGINT AS n_char, sum(n_all_err)::BIGINT AS n_all_err, sum(n_all_char)::BIGINT AS n_all_char,
+(SELECT 2 * count(DISTINCT file_id) FROM letters) AS files, (SELECT 2 * count(DISTINCT file_id) FROM letters) AS files_with_section, (SELECT 2 * count(*) FROM letters) AS boxes, (SELECT count(*) FILTER (WHERE NOT conf) + count(*) FILTER (WHERE box_id % 5 <> 0) FROM letters) AS obscured, 0::BIGINT AS files_grouped_differently
+FROM ({_RUN_SCORES}) scores"""
+
+
+@query(v.sql(_RUN_TOTALS, "v_boxes", letters=_LETTERS, rr=_RUN_ROWS, run_pairs=_RUN))
+def e10_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run card but for the masked score, which SQL can't state."""
+    card = sc.score_run(*_run(spark, sf_dir)).drop("opt_cer", "n_opt_err", "n_opt_char")
+    return card.select(*[F.round(c, 6).alias(c) if c in ev.SCORES else F.col(c) for c in card.columns])
