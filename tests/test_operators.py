@@ -250,6 +250,30 @@ def plain_interpolated(counts, order, prefix, ch, share):
     return math.log(max(p, 1e-12))
 
 
+@pytest.mark.parametrize("kind", ["real", "ties", "line", "hull"])
+def test_weight_grid_of_large_pools(spark, kind):
+    rng = np.random.default_rng(3)
+    n, rows, errors = 300, [], np.zeros(401, int)
+    for row in range(4):
+        v, p = -50 * rng.random(n), -30 * rng.random(n)
+        if kind == "ties":
+            v, p = np.round(v), np.round(p)
+        elif kind == "line":  # all candidates tie at one weight
+            p = np.round(p)
+            v = -1.25 * p + np.where(rng.random(n) < 0.1, -1.0, 0.0)
+        elif kind == "hull":
+            p = -np.sort(rng.random(n))
+            v = -40 * (p + 1) ** 2
+        e = rng.integers(0, 9, n)
+        rows += [(row % 2, row, i, 9, int(e[i]), float(v[i]), float(p[i])) for i in range(n)]
+        for i in range(401):
+            score = v + i * 0.01 * p
+            errors[i] += e[np.flatnonzero(score == score.max())[0]]
+    df = spark.createDataFrame(rows, "fold bigint, row_key bigint, candidate_index bigint, chars bigint, edit_distance bigint, visual_sum double, ppm_sum double")
+    got = se.grid_errors(df).groupBy("i").agg(F.sum("errors").alias("e")).orderBy("i").collect()
+    assert [r.e for r in got] == errors.tolist()
+
+
 #: Counts in a packed model, and counts that are joined.
 PACKED = pytest.mark.parametrize("most", [contexts.MOST_NGRAMS, 0])
 
