@@ -32,8 +32,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null texts and rows with a null id stay as they are; repeated rows are treated alike.
     """
-    out = line_dedup.line_dedup(docs)
-    return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # other columns go along in a struct, so they may have any name
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    out = line_dedup.line_dedup(docs.select("doc_id", "text", rest.alias("rest")))
+    kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

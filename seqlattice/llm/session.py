@@ -1,35 +1,5 @@
-"""Where intermediate tables go, and how lineage is cut."""
+"""Where intermediate tables go, and how lineage is cut: as in the rest of the library."""
 
-from __future__ import annotations
+from ..session import new_folder, saved, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where none is named, a temporary folder is made on one machine (``local`` masters), as in tests; a cluster must name one.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="seqlattice-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` by checkpoint(): computed once, kept in the shared folder, so lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["new_folder", "saved", "shared_folder"]
