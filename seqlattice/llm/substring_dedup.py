@@ -2,24 +2,25 @@
 
 Every document is parsed against the text of all documents with a smaller id.  That reference is cut into blocks: a
 window of ``width`` consecutive words belongs to the block that its smallest three-word hash names, so equal windows
-always meet in one block, and runs of neighbouring windows stay together.  In its block a document is factored greedily:
-a factor starts at the first window that the reference holds, takes the window's first holder as its source, and goes on
-word by word as long as the source goes on alike; behind its end, the next window is looked up anew.  Factors of one document
-from different blocks are checked at their boundaries: where one goes on along the source of the one before, they are one
-factor.  No window is missed, and every factor has ``width`` words or more, so it is a duplicate span.
+always meet in one block, and runs of neighbouring windows stay together.  A block is indexed: its windows, sorted, each with
+its first holder.  A cursor then walks each document's words through the block.  It looks its window up; if a smaller
+document holds that, a factor begins there and goes on word by word as long as the source goes on alike; behind the factor's
+end the next window is looked up anew.  What no cursor finds stays.  Factors of one document from different stretches and
+blocks are checked at their boundaries: where one goes on along the source of the one before, they are one factor.  No window
+is missed, and every factor has ``width`` words or more, so it is a duplicate span.
 
 A seed that a third of all documents hold would make one huge block.  Seeds that are frequent in a sample of the documents
-name blocks together with the whole window, so their windows spread over all blocks, and equal ones still meet; the
-sample decides on where the work is done alone.
+name blocks together with the whole window, so their windows spread over all blocks, and equal ones still meet; the number of
+blocks grows with the words.  The sample decides on where the work is done alone.
 
-One shuffle carries the windows: per batch of documents and block one row of arrays.  Before it, each batch settles its
-own repeats and sends a window only for its smallest document, so a passage that a third of all documents share costs one
-entry a batch.  Spans come back by document and meet the texts in one join.
+One shuffle carries the windows: per batch of documents and block one row of arrays.  Before it, each batch is parsed in
+the same way against itself, its factors compared word by word, and what lies in none is sent on; so a passage that a third of
+all documents share costs one entry a batch.  Spans come back by document and meet the texts in one join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,12 @@ from .words import mix, pieces, rolling, word_hashes, words_of
 
 #: Words of the hash that names a window's block.
 SEED_WORDS = 3
-#: One in so many documents shows which seeds are frequent; seeds that are spread, at most.
-SAMPLE, MOST_SPREAD = 64, 1000
+#: One in so many documents shows which seeds are frequent; seeds that are spread, at most (8 bytes each in a task).
+SAMPLE, MOST_SPREAD = 64, 100_000
+#: Words of a block on average, in tables that are large enough.
+BLOCK_WORDS = 4_000_000
+#: Windows that one cursor walks; longer runs have several, whose factors are joined at their boundaries.
+STRETCH = 64
 
 _BLOCK_ROW = "block int, settled boolean, ids array<bigint>, marks array<bigint>, doc array<int>, start array<int>, n array<int>, seed array<bigint>, prints array<int>"
 _FACTOR = "doc_id bigint, mark bigint, start int, n_words int, ref_doc bigint, ref_start int"
@@ -76,15 +81,20 @@ def _count_seeds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n, pa.int64())], names=["seed", "n"])
 
 
-def frequent_seeds(rows: DataFrame, width: int, n_blocks: int) -> np.ndarray:
-    """Seeds with at least an eighth of a block's even share of the windows, in a sample of ``rows(doc_id, text)``; at most
-    MOST_SPREAD of them, sorted."""
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(lambda it: _count_seeds(it, width), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).where("n >= 100")
+def _sample(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+
+
+def sampled_words(rows: DataFrame) -> int:
+    """Words of the sample of ``rows(doc_id, text)``."""
+    return _sample(rows).agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
+
+
+def frequent_seeds(rows: DataFrame, width: int, n_blocks: int, words: int) -> np.ndarray:
+    """Seeds with at least an eighth of a block's even share of the windows, in a sample of ``rows(doc_id, text)`` with ``words``
+    words; at most MOST_SPREAD of them, sorted."""
+    counts = _sample(rows).mapInArrow(lambda it: _count_seeds(it, width), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).where("n >= 100")
     top = counts.orderBy(F.col("n").desc(), "seed").limit(MOST_SPREAD).collect()
-    if not top:
-        return np.zeros(0, np.uint64)
-    words = sample.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0]
     return np.sort(np.array([r.seed for r in top if r.n * 8 * n_blocks >= words], np.int64).view(np.uint64))
 
 
@@ -103,12 +113,12 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int, spread:
         named = seeds
         if len(spread):
             named = np.where(spread[np.minimum(np.searchsorted(spread, seeds), len(spread) - 1)] == seeds, mix(seeds ^ prints), seeds)
-        # the smallest document of each window in this portion; documents are in the order of their ids
-        by_key = np.argsort(prints, kind="stable")
-        groups = _runs(prints[by_key], seeds[by_key])
-        lead = np.empty(len(prints), np.int64)
-        lead[by_key] = np.repeat(by_key[groups], np.diff(np.append(groups, len(prints))))
-        own = ids[doc] == ids[doc[lead]]
+        own_id, word = ids[doc], np.arange(width)
+        begin, source, long = parse(prints, own_id, doc, lambda i, j: (hashes[first[i][:, None] + word] == hashes[first[j][:, None] + word]).all(axis=1))
+        covered = np.zeros(len(prints) + 1, np.int64)
+        np.add.at(covered, begin, 1)
+        np.add.at(covered, begin + long, -1)
+        own = np.cumsum(covered[:-1]) == 0
         out: dict[str, list] = {k: [] for k in ("block", "settled", "ids", "marks", "doc", "start", "n", "seed", "prints")}
 
         def put(block: int, settled: bool, docs: np.ndarray, starts: np.ndarray, n: np.ndarray, seed: np.ndarray, fine: np.ndarray) -> None:
@@ -116,12 +126,9 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int, spread:
             for k, v in (("block", block), ("settled", settled), ("ids", ids[used]), ("marks", marks[used]), ("doc", local.astype(np.int32)), ("start", starts), ("n", n.astype(np.int32)), ("seed", seed), ("prints", fine)):
                 out[k].append(v)
 
-        at = np.flatnonzero(~own)
-        if len(at):
-            r = _runs(doc[at], start[at] - np.arange(len(at)), doc[lead[at]], start[lead[at]] - np.arange(len(at)))
-            n = np.diff(np.append(r, len(at)))
+        if len(begin):
             # seed and prints hold the source of a settled span
-            put(int(named[at[0]] % np.uint64(n_blocks)), True, doc[at][r], start[at][r], n, ids[doc[lead[at]][r]], start[lead[at]][r])
+            put(int(named[begin[0]] % np.uint64(n_blocks)), True, doc[begin], start[begin], long, own_id[source], start[source])
         at = np.flatnonzero(own)
         r = _runs(doc[at], start[at] - np.arange(len(at)), named[at])
         n = np.diff(np.append(r, len(at)))
@@ -139,29 +146,41 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, n_blocks: int, spread:
         )
 
 
-def _greedy(code: np.ndarray, lead: np.ndarray, held: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, source and number of windows of each factor.
+def parse(key: np.ndarray, doc: np.ndarray, run: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, source and number of windows of each factor of the documents of a block against the smaller ones in it.
 
-    ``code`` numbers windows by their words, ``lead`` is each one's first holder, ``held`` those that a smaller document holds,
-    and ``run`` numbers runs of neighbouring windows.  All stretches of held windows are parsed side by side, a step at a time.
+    Windows are in the order of their documents, neighbours of one ``run`` side by side; ``alike`` compares windows whose keys
+    are equal.  The index is the sorted keys with their first holders.  A cursor for each stretch of a run looks its window
+    up, walks along the source while that goes on alike, and looks up anew behind the factor's end; all cursors go a window a step.
     """
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]])))
-    cut = np.flatnonzero(held[1:] & held[:-1] & (run[1:] != run[:-1])) + 1
-    begin, stop = np.sort(np.concatenate([edge[::2], cut])), np.sort(np.concatenate([edge[1::2], cut]))
-    source, at = lead[begin], begin + 1
+    index, holder = np.unique(key, return_index=True)
+    first = _runs(run)
+    within = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    at = np.flatnonzero(within % STRETCH == 0)
+    stop = np.append(at[1:], len(key))
+    begin, source = np.full(len(at), -1), np.full(len(at), -1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(begin):
-        ahead = np.minimum(source + (at - begin), len(code) - 1)
+    while len(at):
         inside = at < stop
-        on = inside & (run[ahead] == run[source]) & (code[ahead] == code[np.minimum(at, len(code) - 1)])
-        found.append((begin[~on], source[~on], (at - begin)[~on]))
-        anew = inside & ~on  # behind the factor's end the next held window starts another
-        begin, source = np.where(anew, at, begin), np.where(anew, lead[np.minimum(at, len(lead) - 1)], source)
-        begin, source, at, stop = begin[inside], source[inside], at[inside] + 1, stop[inside]
+        on = (begin >= 0) & inside
+        i = np.flatnonzero(on)
+        ahead = np.minimum(source[i] + at[i] - begin[i], len(key) - 1)
+        same = (run[ahead] == run[source[i]]) & (key[ahead] == key[at[i]])
+        same[same] = alike(ahead[same], at[i[same]])
+        on[i] = same
+        ends = (begin >= 0) & ~on
+        found.append((begin[ends], source[ends], (at - begin)[ends]))
+        begin[ends] = -1
+        i = np.flatnonzero(inside & ~on)
+        holds = holder[np.searchsorted(index, key[at[i]])]
+        held = doc[holds] < doc[at[i]]
+        held[held] = alike(holds[held], at[i[held]])
+        begin[i[held]], source[i[held]] = at[i[held]], holds[held]
+        at, stop, begin, source = at[inside] + 1, stop[inside], begin[inside], source[inside]
     return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
 
 
-def _parse(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+def _parse_block(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     """Greedy factors of the documents of one block against the smaller documents in it."""
     found = []
     settled = rows["settled"].to_numpy(bool)
@@ -171,21 +190,18 @@ def _parse(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     if len(rows):
         ids = np.concatenate([i[d] for i, d in zip(rows["ids"], rows["doc"], strict=True)])
         marks = np.concatenate([i[d] for i, d in zip(rows["marks"], rows["doc"], strict=True)])
-        n = np.concatenate(list(rows["n"])).astype(np.int64)
-        run = np.repeat(np.arange(len(n)), n)
-        start = np.concatenate(list(rows["start"]))[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        seed = np.concatenate(list(rows["seed"]))[run]
-        fine = np.concatenate(list(rows["prints"]))
-        doc = ids[run]
-        # windows of equal words next to each other, the smallest document first
-        by_key = np.lexsort((start, doc, fine, seed))
-        groups = _runs(seed[by_key], fine[by_key])
-        times = np.diff(np.append(groups, len(by_key)))
-        lead, code = np.empty(len(by_key), np.int64), np.empty(len(by_key), np.int64)
-        lead[by_key], code[by_key] = np.repeat(by_key[groups], times), np.repeat(np.arange(len(groups)), times)
-        begin, source, long = _greedy(code, lead, doc[lead] < doc, run)
+        starts, n = np.concatenate(list(rows["start"])), np.concatenate(list(rows["n"])).astype(np.int64)
+        _, seed = np.unique(np.concatenate(list(rows["seed"])), return_inverse=True)
+        by_doc = np.lexsort((starts, ids))
+        offset = (np.cumsum(n) - n)[by_doc]
+        ids, marks, starts, n, seed = ids[by_doc], marks[by_doc], starts[by_doc], n[by_doc], seed[by_doc]
+        run, within = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        fine = np.concatenate(list(rows["prints"]))[offset[run] + within].astype(np.int32, copy=False).view(np.uint32)
+        key = (seed.astype(np.uint64) << np.uint64(32))[run] | fine  # the whole seed, by its number, and the window's print
+        begin, source, long = parse(key, ids[run], run, lambda i, j: np.ones(len(i), bool))
         if len(begin):
-            found.append((doc[begin], marks[run[begin]], start[begin], long, doc[source], start[source]))
+            at, of = run[begin], run[source]
+            found.append((ids[at], marks[at], starts[at] + within[begin], long, ids[of], starts[of] + within[source]))
     columns = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(6)]
     columns[3] = columns[3] + (width - 1)
     return pd.DataFrame(dict(zip(("doc_id", "mark", "start", "n_words", "ref_doc", "ref_start"), columns, strict=True)))
@@ -200,25 +216,26 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Factors of ``width`` words or more, by block: ``doc_id, mark, start, n_words, ref_doc, ref_start``.
 
     Words ``start`` to ``start + n_words`` of the document are those from ``ref_start`` of document ``ref_doc``, whose id is
-    smaller.  ``mark`` is xxhash64 of the text.  ``blocks`` (four for each shuffle partition unless given) only spreads the
-    work.  Every repeated window lies in a factor, but its source need not be the smallest document that holds it.  Windows
-    are equal if 96 bits of hash are: among 1e13 windows fewer than one in a thousand runs meets a false one.  Runs a job on the
+    smaller.  ``mark`` is xxhash64 of the text.  ``blocks`` (unless given one for BLOCK_WORDS words, by the sample, and four for
+    each shuffle partition at least) only spreads the work.  Every repeated window lies in a factor, but its source need not be the smallest document that holds it.  Windows
+    are equal if 96 bits of hash are: among 1e13 windows fewer than one in a thousand runs meets a false one.  Runs jobs on the
     sample when called.
 
     Null ids take no part; null and empty texts, and texts of fewer than ``width`` words, have no factors.  Rows with one id
     aren't compared with each other.  Other columns may have any name.
     """
-    n_blocks = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _marked(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spread = frequent_seeds(rows, width, n_blocks)
+    words = sampled_words(rows)
+    n_blocks = blocks or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * SAMPLE // BLOCK_WORDS)
+    spread = frequent_seeds(rows, width, n_blocks, words)
     windows = rows.mapInArrow(lambda it: _index(it, width, n_blocks, spread), _BLOCK_ROW)
-    return windows.groupBy("block").applyInPandas(lambda g: _parse(g, width), _FACTOR)
+    return windows.groupBy("block").applyInPandas(lambda g: _parse_block(g, width), _FACTOR)
 
 
 def chained(spans: list, width: int) -> list[list[int]]:
     """``start, n_words, ref_doc, ref_start`` of a document's factors in order, those joined that go on along one source.
 
-    The window behind a factor's last one lies in another block; if that holds it, its factor begins there.
+    The window behind a factor's last one lies in another stretch or block; if that holds it, its factor begins there.
     """
     out: list[list[int]] = []
     for s in sorted(spans, key=lambda s: (s["start"], -s["n_words"])):

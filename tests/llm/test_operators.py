@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,10 +392,35 @@ def test_substring_factors_are_greedy(spark):
     made = [" ".join(a), " ".join(b), " ".join(["x", *a[10:100], "y"]), " ".join([*a[:40], *b[50:90]]), " ".join(a[:30] + ["z"] + a[30:60]), " ".join(b[5:17])]
     got = by_id(substring_dedup.substring_dedup(documents(spark, made), blocks=5))
     assert [got[i]["n_factors"] for i in range(6)] == [0, 0, 1, 2, 2, 0]
-    code, lead = np.array([0, 1, 2, 3, 0, 1, 9, 3, 0, 1, 2]), np.array([0, 1, 2, 3, 0, 1, 6, 3, 0, 1, 2])
-    run = np.array([0] * 4 + [1] * 4 + [2] * 3)
-    begin, source, long = substring_dedup._greedy(code, lead, np.array([False] * 4 + [True, True, False, True] + [True] * 3), run)
+    key, doc = np.array([5, 1, 2, 3, 5, 1, 9, 3, 5, 1, 2, 8], np.uint64), np.array([0] * 4 + [1] * 4 + [2] * 4)
+    begin, source, long = substring_dedup.parse(key, doc, doc, lambda i, j: np.ones(len(i), bool))
     assert sorted(zip(begin.tolist(), source.tolist(), long.tolist(), strict=True)) == [(4, 0, 2), (7, 3, 1), (8, 0, 3)]
+    # equal keys of different words are no factor, and a window that no smaller document holds ends one
+    begin, source, long = substring_dedup.parse(key, doc, doc, lambda i, j: (i != 1) & (j != 1))
+    assert sorted(zip(begin.tolist(), source.tolist(), long.tolist(), strict=True)) == [(4, 0, 1), (7, 3, 1), (8, 0, 1), (10, 2, 1)]
+
+
+def test_substring_parser_decides(spark, docs, monkeypatch):
+    """Without the parser's factors nothing is removed, and stretches of one window give the same texts."""
+    want = by_id(substring_dedup.substring_dedup(docs))
+    assert sum(r["n_removed"] for r in want.values()) > 0
+    nothing = np.zeros(0, np.int64)
+    plain = pd.DataFrame({"doc_id": np.repeat([1, 2], 40), "w": [f"w{i}" for i in range(40)] * 2})
+    hashes, counts = substring_dedup.word_hashes([" ".join(plain.w[plain.doc_id == i]) for i in (1, 2)])
+    first, doc, _ = substring_dedup._windows(counts, len(hashes), 13)
+    prints = substring_dedup.rolling(hashes, 13)[first]
+    for stretch in (1, 5, 64):
+        monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+        begin, source, long = substring_dedup.parse(prints, doc, doc, lambda i, j: np.ones(len(i), bool))
+        assert long.sum() == 28 and (source == begin - 28).all() and len(begin) == -(-28 // stretch)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "mark": i, "text": " ".join(plain.w[plain.doc_id == i])} for i in (1, 2)])
+    sent = pa.Table.from_batches(list(substring_dedup._index(iter([batch]), 13, 4, nothing.view(np.uint64)))).to_pylist()
+    assert [r["ids"] for r in sent if r["settled"]] == [[2]] and {i for r in sent if not r["settled"] for i in r["ids"]} == {1}
+    monkeypatch.setattr(substring_dedup, "parse", lambda *_: (nothing,) * 3)
+    sent = pa.Table.from_batches(list(substring_dedup._index(iter([batch]), 13, 4, nothing.view(np.uint64)))).to_pylist()
+    assert not any(r["settled"] for r in sent) and {i for r in sent for i in r["ids"]} == {1, 2}
+    rows = pd.DataFrame(sent).map(lambda x: np.array(x) if isinstance(x, list) else x)
+    assert not len(substring_dedup._parse_block(rows, 13))
 
 
 def test_substring_dedup_with_frequent_seeds(spark, docs, texts, monkeypatch):
@@ -408,8 +435,8 @@ def test_substring_dedup_with_frequent_seeds(spark, docs, texts, monkeypatch):
 def test_frequent_seeds(spark):
     made = [f"one two three w{i} " * 40 for i in range(3000)]
     rows = documents(spark, made).select("doc_id", "text")
-    assert 0 < len(substring_dedup.frequent_seeds(rows, 13, 16)) <= substring_dedup.MOST_SPREAD
-    assert not len(substring_dedup.frequent_seeds(rows.limit(0), 13, 16))
+    assert 0 < len(substring_dedup.frequent_seeds(rows, 13, 16, substring_dedup.sampled_words(rows))) <= substring_dedup.MOST_SPREAD
+    assert not len(substring_dedup.frequent_seeds(rows.limit(0), 13, 16, 0))
 
 
 def test_substring_dedup_repeated_rows(spark):
