@@ -3,7 +3,8 @@
 Vectors are dealt to cells of space: each to the nearest of a few centres, which are fitted on a bounded sample.  A cell is a
 ball around its centre, so it bounds the inner products of a query (q . centre + |q| radius).  A query first meets the cell of the
 highest bound; the k-th score found there is a floor that it takes to those other cells only whose bound reaches it.  Large
-cells are cut into shards of a bounded number of rows and queries into blocks, and each pair of a shard and a block is a group.
+cells are cut into shards of a bounded number of rows.  Queries whose best cell is one cell, or neighbours in number, form a
+block, so a block asks for few shards; a shard is copied to the blocks that ask for it, and each such pair is a group.
 In a shard the nodes of a ball tree are visited in the order of their bounds until no bound reaches the current k-th
 score.  What comes back is at most k rows for each query and shard.
 """
@@ -23,7 +24,7 @@ from .session import saved
 
 #: Rows that the centres are fitted on, rows of a centre at least, and centres at most.
 SAMPLE, ROWS_A_CENTRE, MOST_CENTRES = 4096, 200, 256
-#: Rows of a shard and queries of a block, on average.
+#: Rows of a shard and queries of a block, about.
 SHARD_ROWS, BLOCK_QUERIES = 20_000, 20_000
 _LONG = (1 << 63) - 1
 _FOUND = "q bigint, query_id bigint, vec_id bigint, score bigint"
@@ -66,7 +67,7 @@ class BallTree:
             centres.append(centre)
             radii.append(np.sqrt(((points - centre) ** 2).sum(axis=1).max()))
             spread = points.max(axis=0) - points.min(axis=0)
-            if len(own) > leaf and spread.max():
+            if len(own) > leaf and spread.any():
                 at = np.argsort(points[:, spread.argmax()], kind="stable")
                 self.children[node] = [-1, -1]
                 half = len(own) // 2
@@ -183,10 +184,24 @@ def _route(batches: Iterator[pa.RecordBatch], balls: dict[int, tuple], scale: in
                 goes = [best[row]] if first else [c for c in np.flatnonzero(bound[row] >= (-np.inf if floors[i] is None else floors[i])) if c != best[row]]
                 took += [int(i)] * len(goes)
                 cells += [int(numbers[c]) for c in goes]
-        out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("q", "id", "v", "home", *([] if first else ["floor"]))], names=["q", "id", "v", "home", *([] if first else ["floor"])]).take(pa.array(took, pa.int64()))
+        names = ["q", *([] if first else ["block", "floor"])]
+        out = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).take(pa.array(took, pa.int64()))
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells, pa.int32())], names=[*out.schema.names, "cell"])
 
 
+def query_blocks(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """For each (cell, queries) the number of its first block and how many it has: small cells share one, large ones have several."""
+    out: list[tuple[int, int, int]] = []
+    block = filled = 0
+    for cell, n in counts:
+        if filled and filled + n > BLOCK_QUERIES:
+            block, filled = block + 1, 0
+        own = max(1, -(-n // BLOCK_QUERIES))
+        out.append((cell, block, own))
+        block, filled = (block, filled + n) if own == 1 else (block + own, 0)
+    return out
+
+
 def _search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
     found: list[tuple[int, int, int, int]] = []
     if len(vectors) and len(queries):
@@ -209,10 +224,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id, v array<double>``; rows with a null id, a null or empty vector, or null or non-finite components are left out."""
+    """``id, v array<double>``; rows with a null id, a null vector, or null or non-finite components are left out."""
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), x.alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), x.alias("v"))
 
 
 def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, centres: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -221,7 +236,7 @@ def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, centres: int
 
     Queries are rows of the table too; a row never answers itself, ties go to the smaller id, and a query with fewer than k
     other rows gets them all.  Rows that :func:`usable` leaves out take no part.  Rows that share an id are rows of their own,
-    as queries too; vectors of different lengths have no product and never answer each other; a score beyond the range of a
+    as queries too; vectors of different lengths have no product and never answer each other, empty ones have the product 0; a score beyond the range of a
     long is ordered by its true value within a shard and shown as the nearest long.
 
     Centres (one for ROWS_A_CENTRE rows, MOST_CENTRES at most, unless given) are fitted on the SAMPLE rows of smallest hash; every
@@ -234,7 +249,7 @@ def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, centres: int
         drawn.setdefault(len(r.v), []).append(r.v)
     count = rows.count()
     n = centres or int(np.clip(count // ROWS_A_CENTRE, 1, MOST_CENTRES))
-    fitted = {dim: fit_centres(own, min(n, max(1, len(own) // 4))) for dim, own in drawn.items()}
+    fitted = {dim: fit_centres(own, min(n, max(1, len(own) // 4))) for dim, own in drawn.items() if dim}
     dealt = saved(rows.mapInArrow(lambda it: _deal(it, fitted), "id bigint, v array<double>, dim int, cell int, far double"))
     # one row for each length and cell, and lengths outside of the sample have one cell
     cells = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("dim", "cell").collect()
@@ -245,7 +260,6 @@ def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, centres: int
             part.append(x)
     balls = {dim: tuple(map(np.array, x)) for dim, x in balls.items()}
     numbered = spark.createDataFrame([(c["dim"], c["cell"], i, max(1, -(-c["n"] // SHARD_ROWS))) for i, c in enumerate(cells)], "dim int, cell int, number int, parts int")
-    blocks = max(1, -(-(count // every) // BLOCK_QUERIES))
 
     def shard(number: Column, part: Column) -> Column:
         return number.cast("bigint") * (1 << 32) + part
@@ -253,14 +267,18 @@ def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, centres: int
     placed = dealt.join(numbered, ["dim", "cell"]).select("id", "v", shard(F.col("number"), F.pmod(F.xxhash64("id", "v"), "parts")).alias("shard"))
     queries = saved(placed.where(F.col("id") % every == 0).select(F.monotonically_increasing_id().alias("q"), "id", "v", F.col("shard").alias("home")))
     parts = numbered.select(F.col("number").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    by_group = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
 
     def visit(sent: DataFrame) -> DataFrame:
-        meets = sent.join(parts, "cell").withColumn("shard", shard(F.col("cell"), F.col("part"))).withColumn("block", block.cast("int")).drop("cell", "part")
-        return by_group.cogroup(meets.groupBy("shard", "block")).applyInPandas(lambda v, q: _search(v, q, k, scale), _FOUND)
-
-    first = saved(visit(queries.mapInArrow(lambda it: _route(it, balls, scale, True), "q bigint, id bigint, v array<double>, home bigint, cell int")))
+        meets = sent.join(parts, "cell").withColumn("shard", shard(F.col("cell"), F.col("part"))).drop("cell", "part")
+        asked = placed.join(meets.select("shard", "block").distinct(), "shard").select(*[F.col(c).alias(c) for c in ("id", "v", "shard", "block")])
+        return asked.groupBy("shard", "block").cogroup(meets.join(queries, "q").groupBy("shard", "block")).applyInPandas(lambda v, q: _search(v, q, k, scale), _FOUND)
+
+    # what is saved of a visit holds numbers only; vectors join them on their way to the groups
+    start = saved(queries.mapInArrow(lambda it: _route(it, balls, scale, True), "q bigint, cell int"))
+    spans = spark.createDataFrame(query_blocks([(r["cell"], r["count"]) for r in start.groupBy("cell").count().orderBy("cell").collect()]), "cell int, first int, own int")
+    blocked = start.join(spans, "cell").select("q", "cell", (F.col("first") + F.pmod(F.xxhash64("q"), F.col("own"))).cast("int").alias("block"))
+    first = saved(visit(blocked))
     floors = _best(first, k).groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("q", F.when(F.col("n") == k, F.col("least")).cast("double").alias("floor"))
-    away = visit(queries.join(floors, "q", "left").mapInArrow(lambda it: _route(it, balls, scale, False), "q bigint, id bigint, v array<double>, home bigint, floor double, cell int"))
+    others = queries.join(blocked.drop("cell"), "q").join(floors, "q", "left").mapInArrow(lambda it: _route(it, balls, scale, False), "q bigint, block int, floor double, cell int")
+    away = visit(saved(others))
     return _best(first.unionByName(away), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -324,6 +324,20 @@ def test_top_k_shards_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, topk.exact_top_k(df, centres=4).collect())) == plain_top_k(dict(rows), 50, 5)
 
 
+def test_top_k_blocks_ask_for_their_cells():
+    """Cells of few queries share a block, large ones have several of their own; no block number is used twice."""
+    blocks = topk.query_blocks([(0, 3), (1, 15_000), (2, 4_000), (4, 1_500), (7, 90_000), (8, 2)])
+    assert blocks == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (4, 1, 1), (7, 2, 5), (8, 7, 1)]
+    assert topk.query_blocks([]) == []
+
+
+def test_top_k_empty_vectors(spark):
+    rows = [(0, []), (1, []), (50, []), (2, [1.0])] + [(i, []) for i in range(101, 180)]
+    got = sorted(map(tuple, topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()))
+    want = {0: [1, 50, 101, 102, 103], 50: [0, 1, 101, 102, 103], 150: [0, 1, 50, 101, 102]}
+    assert got == [(q, r, i, 0) for q, ids in want.items() for r, i in enumerate(ids, 1)]
+
+
 def test_top_k_shared_ids_lengths_and_large_components(spark):
     rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (0, [3.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (50, [2.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
