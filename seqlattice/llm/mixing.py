@@ -2,24 +2,21 @@
 
 Every source's target is cut into blocks of equally many words.  Blocks are the seats and targets the votes: the
 quotients target / (2 k + 1) are given out from the highest on.  A source's seats are apportioned in the same way to its
-shards, by their sizes.  A shard is an order of its documents by a seeded hash; its quota takes the words of that order
-from the start, as often as needed.  There are the more shards the more words there are, so a shard stays a task's work.
+256 parts, by their sizes, and a part's to its 256 shards, so no window holds more rows than that.  Parts and shards are named
+by the first digits of a seeded hash, in tables of every size alike.  A shard is an order of its documents by that hash; its
+quota takes the words of that order from the start, as often as needed.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a table up to which a source has 256 shards; sixteen times as many words have sixteen times as many shards.
-PLAIN_WORDS = 1 << 32
-#: Digits of the hash by which sizes are first summed, so that texts are read once for all that follows; the most of a shard.
-FINE = 6
+#: Hexadecimal digits of the hash that name a part of a source, and a shard of it.
+PART, SHARD = 2, 4
 
 
 def n_words(text: Column) -> Column:
@@ -79,11 +76,6 @@ def apportion(votes: DataFrame, *, seats: Column, vote: str, within: list[str],
     return base.join(moved, on, "left").withColumn("seats", F.col("__base") + F.coalesce("__moved", F.lit(0))).select(*votes.columns, "seats")
 
 
-def shard_digits(words: int) -> int:
-    """Hexadecimal digits of the hash that name a shard of a source."""
-    return min(FINE, 2 + max(0, math.ceil(math.log2(max(words, 1) / PLAIN_WORDS) / 4)))
-
-
 def _key(source: Column) -> Column:
     """A source's name that is never null, so that rows are dealt out by it once for a window and for a join."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
@@ -106,17 +98,20 @@ def mix_rows(
         F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("hash"),
         F.xxhash64(text_col).alias("mark"),
     )
-    fine = saved(sizes.groupBy("source", F.substring("hash", 1, FINE).alias("cell")).agg(F.sum("size").alias("size")))
-    digits = shard_digits(fine.agg(F.sum("size")).first()[0] or 0)
-    goals = targets(fine.select("source", "size"), weights, most_passes).withColumn("one", F.lit(1))
+    fine = saved(sizes.groupBy("source", F.substring("hash", 1, SHARD).alias("shard")).agg(F.sum("size").alias("shard_size")))
+    goals = targets(fine.select("source", F.col("shard_size").alias("size")), weights, most_passes).withColumn("one", F.lit(1))
     total = F.sum("source_size").over(Window.partitionBy("one"))
     sources = apportion(goals, seats=F.round(total / block_words), vote="target", within=["one"], tie=["source"]).select(_key(F.col("source")).alias("key"), "source_size", "target", F.col("seats").alias("source_seats"))
-    shards = fine.groupBy(_key(F.col("source")).alias("key"), F.substring("cell", 1, digits).alias("shard")).agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(shards.join(sources, "key"), seats=F.col("source_seats"), vote="shard_size", within=["key"], tie=["shard"])
-    quota = F.least(F.col("seats") * block_words, F.col("shard_size") * most_passes)
+    shards = fine.select(_key(F.col("source")).alias("key"), F.substring("shard", 1, PART).alias("part"), "shard", "shard_size")
+    parts = shards.groupBy("key", "part").agg(F.sum("shard_size").alias("part_size")).join(sources, "key")
+    parts = apportion(parts, seats=F.col("source_seats"), vote="part_size", within=["key"], tie=["part"]).select("key", "part", "source_size", "target", F.col("seats").alias("part_seats"))
+    quotas = apportion(shards.join(parts, ["key", "part"]), seats=F.col("part_seats"), vote="shard_size", within=["key", "part"], tie=["shard"])
+    # a source that stops at its cap gives all that it has
+    most = F.col("shard_size") * most_passes
+    quota = F.when(F.col("target") >= F.col("source_size") * most_passes, most).otherwise(F.least(F.col("seats") * block_words, most))
     quotas = quotas.select("key", "shard", "shard_size", "source_size", "target", quota.alias("quota"))
     before = Window.partitionBy("key", "shard").orderBy("hash", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = sizes.withColumns({"key": _key(F.col("source")), "shard": F.substring("hash", 1, digits)}).drop("source")
+    dealt = sizes.withColumns({"key": _key(F.col("source")), "shard": F.substring("hash", 1, SHARD)}).drop("source")
     placed = dealt.withColumn("from", F.coalesce(F.sum("size").over(before), F.lit(0)))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0))
     rest = F.col("quota") - passes * F.col("shard_size") - F.col("from")
@@ -130,8 +125,7 @@ def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
     Options: ``id_col``, ``text_col``, ``source_col``, ``weights``, ``most_passes``, ``block_words``, ``seed``.  ``size`` counts
     words (null text: 0).  For ``target`` see :func:`targets`; the words taken of a source differ from it by a few blocks of
     ``block_words`` at most.  ``taken`` counts repeats and never exceeds ``most_passes`` times the size.  Shards are the first
-    digits of md5(seed:id), two in tables of up to PLAIN_WORDS words, and their order is that hash, so reruns agree; rows
-    that share an id follow each other in the order of their sizes, and each takes its own words.
+    digits of md5(seed:id), and their order is that hash, so reruns agree; rows that share an id follow each other in the order of their sizes, and each takes its own words.
 
     Rows with a null id are hashed by their text; null sources form a source of their own, the last; a source without words,
     or an empty table, takes nothing.  Other columns may have any name.

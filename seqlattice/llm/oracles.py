@@ -5,7 +5,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
@@ -38,17 +38,20 @@ FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
 MIXING = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS hash FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-dh AS (SELECT *, substring(hash, 1, (SELECT CAST(least(6, 2 + greatest(0, ceil(log2(greatest(sum(size), 1) / 4294967296.0) / 4))) AS INTEGER) FROM d)) AS shard FROM d),
+dh AS (SELECT *, substring(hash, 1, 2) AS part, substring(hash, 1, 4) AS shard FROM d),
 wgt AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS cap FROM src),
 lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wgt),
 tgt AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM lev WHERE cap >= level * weight)) AS target FROM lev),
 sq AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS r FROM (SELECT source, target, unnest(range(0, CAST(ceil(target / 4) AS BIGINT) + 2)) AS k FROM tgt) a),
 ss AS (SELECT source, count(*) AS seats FROM sq WHERE r <= (SELECT round(sum(source_size) / 4.0) FROM src) GROUP BY source),
-shd AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM dh GROUP BY 1, 2),
-cell AS (SELECT h.source, h.shard, h.shard_size, t.source_size, t.target, coalesce(s.seats, 0) AS all_seats FROM shd h JOIN tgt t ON h.source IS NOT DISTINCT FROM t.source LEFT JOIN ss s ON h.source IS NOT DISTINCT FROM s.source),
-cq AS (SELECT source, shard, all_seats, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k + 1)::DOUBLE DESC, shard, k) AS r FROM (SELECT *, unnest(range(0, CAST(ceil(all_seats * shard_size / greatest(source_size, 1)::DOUBLE) AS BIGINT) + 2)) AS k FROM cell) a),
+prt AS (SELECT h.source, h.part, h.part_size, t.source_size, coalesce(s.seats, 0) AS all_seats FROM (SELECT source, part, sum(size)::BIGINT AS part_size FROM dh GROUP BY 1, 2) h JOIN tgt t ON h.source IS NOT DISTINCT FROM t.source LEFT JOIN ss s ON h.source IS NOT DISTINCT FROM s.source),
+pq AS (SELECT source, part, all_seats, row_number() OVER (PARTITION BY source ORDER BY part_size / (2 * k + 1)::DOUBLE DESC, part, k) AS r FROM (SELECT *, unnest(range(0, CAST(ceil(all_seats * part_size / greatest(source_size, 1)::DOUBLE) AS BIGINT) + 2)) AS k FROM prt) a),
+ps AS (SELECT source, part, count(*) AS seats FROM pq WHERE r <= all_seats GROUP BY source, part),
+shd AS (SELECT source, part, shard, sum(size)::BIGINT AS shard_size FROM dh GROUP BY 1, 2, 3),
+cell AS (SELECT h.*, p.part_size, t.source_size, t.target, coalesce(s.seats, 0) AS all_seats FROM shd h JOIN tgt t ON h.source IS NOT DISTINCT FROM t.source JOIN prt p ON h.source IS NOT DISTINCT FROM p.source AND h.part = p.part LEFT JOIN ps s ON h.source IS NOT DISTINCT FROM s.source AND h.part = s.part),
+cq AS (SELECT source, part, shard, all_seats, row_number() OVER (PARTITION BY source, part ORDER BY shard_size / (2 * k + 1)::DOUBLE DESC, shard, k) AS r FROM (SELECT *, unnest(range(0, CAST(ceil(all_seats * shard_size / greatest(part_size, 1)::DOUBLE) AS BIGINT) + 2)) AS k FROM cell) a),
 cs AS (SELECT source, shard, count(*) AS seats FROM cq WHERE r <= all_seats GROUP BY source, shard),
-quo AS (SELECT c.*, least(coalesce(s.seats, 0) * 4, 3 * c.shard_size) AS quota FROM cell c LEFT JOIN cs s ON c.source IS NOT DISTINCT FROM s.source AND c.shard = s.shard),
+quo AS (SELECT c.*, CASE WHEN target >= 3 * c.source_size THEN 3 * c.shard_size ELSE least(coalesce(s.seats, 0) * 4, 3 * c.shard_size) END AS quota FROM cell c LEFT JOIN cs s ON c.source IS NOT DISTINCT FROM s.source AND c.shard = s.shard),
 pl AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM dh)
 SELECT p.doc_id, p.size, q.source_size, q.target, CAST(CASE WHEN q.shard_size > 0 THEN (q.quota // q.shard_size) * p.size + greatest(0, least(q.quota % q.shard_size - p.lo, p.size)) ELSE 0 END AS BIGINT) AS taken
 FROM pl p JOIN quo q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
