@@ -714,6 +714,25 @@ def test_probability_jaccard():
         assert near_dedup.probability_jaccard(a, wa, b, wb) == pytest.approx(want)
 
 
+def test_links_of_near_copies_are_kept(spark):
+    """Near copies of one text that is itself absent: nine of ten links of all pairs lie in one class, and every class is linked."""
+    rng = np.random.default_rng(21)
+    base = [f"t{i}" for i in range(220)]
+    made = []
+    for _ in range(160):
+        own = list(base)
+        for at in rng.choice(len(own), rng.integers(2, 6), replace=False):
+            own[at] = f"x{rng.integers(10**6)}"
+        made.append(" ".join(own))
+    cls = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, made)).collect()}
+    links = [(i, j) for i in range(len(made)) for j in range(i) if plain_similarity(made[i], made[j]) >= 0.8]
+    assert len(links) > 100
+    assert sum(cls[i] == cls[j] for i, j in links) >= 0.9 * len(links)
+    linked = {i for pair in links for i in pair}
+    sizes = Counter(cls.values())
+    assert all(i in linked for i, c in cls.items() if sizes[c] > 1)
+
+
 def test_signatures_estimate_it():
     rng = np.random.default_rng(4)
     a = np.arange(1, 200, dtype=np.uint64)
