@@ -86,8 +86,8 @@ def mix_rows(
 ) -> DataFrame:
     """``row, doc_id, size, source_size, target, taken``: as :func:`mix_sources`, with each input row as a struct.
 
-    The rows travel through one shuffle, by shard, so each has its own ``taken`` however often its id or text occurs.  Runs a
-    job when called, which sums the sizes.
+    The rows travel through one shuffle, by shard, so each has its own ``taken`` however often its id or text occurs.  Runs
+    jobs when called, which sum the sizes and deal the seats out to sources and parts.
     """
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     sizes = docs.select(
@@ -102,9 +102,12 @@ def mix_rows(
     goals = targets(fine.select("source", F.col("shard_size").alias("size")), weights, most_passes).withColumn("one", F.lit(1))
     total = F.sum("source_size").over(Window.partitionBy("one"))
     sources = apportion(goals, seats=F.round(total / block_words), vote="target", within=["one"], tie=["source"]).select(_key(F.col("source")).alias("key"), "source_size", "target", F.col("seats").alias("source_seats"))
+    # an apportionment reads its votes twice, so plans of one upon another would double with each
+    sources = saved(sources)
     shards = fine.select(_key(F.col("source")).alias("key"), F.substring("shard", 1, PART).alias("part"), "shard", "shard_size")
     parts = shards.groupBy("key", "part").agg(F.sum("shard_size").alias("part_size")).join(sources, "key")
     parts = apportion(parts, seats=F.col("source_seats"), vote="part_size", within=["key"], tie=["part"]).select("key", "part", "source_size", "target", F.col("seats").alias("part_seats"))
+    parts = saved(parts)
     quotas = apportion(shards.join(parts, ["key", "part"]), seats=F.col("part_seats"), vote="shard_size", within=["key", "part"], tie=["shard"])
     # a source that stops at its cap gives all that it has
     most = F.col("shard_size") * most_passes
