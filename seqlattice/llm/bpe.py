@@ -27,6 +27,8 @@ _LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Texts of these characters only are split here, all others by the library's own pre-tokenizer.
 PLAIN = re.compile(r"[\x00-\x1B\x20-\x84\x86-ɏ‐-‧₠-₿]*")
+#: Pairs of tokens that a Python worker keeps at hand; all are looked up anew beyond.
+MOST_FITS = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -102,7 +104,7 @@ class Vocabulary:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 1, self.parts[b][0]
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > MOST_FITS:
             self._fits.clear()
         self._fits[left << 32 | right] = apart
         return apart
